@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language, lm, mixing
+from . import chat, exact_dedup, language, lm, mixing, suffix
 from .common import held_out, read, remainder
 
 #: The control-string conversation that the formatting query adds to the table.
@@ -46,6 +46,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     left_out = remainder(F.col("doc_id"), 5) == 1
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
     "op5_chat_format": op5_chat_format,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_lm_score": op10_lm_score,
 }
 
