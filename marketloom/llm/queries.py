@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language, lm, mixing, suffix
+from . import chat, exact_dedup, jaccard, language, lm, mixing, suffix
 from .common import held_out, read, remainder
 
 #: The control-string conversation that the formatting query adds to the table.
@@ -50,6 +50,11 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.similar_classes(read(spark, sf_dir, "documents"), width=3, percent=90)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     left_out = remainder(F.col("doc_id"), 5) == 1
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_chat_format": op5_chat_format,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_lm_score": op10_lm_score,
 }
 
