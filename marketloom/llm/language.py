@@ -74,7 +74,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     w = raw[s:e]
                     mine[w] = mine.get(w, 0) + k
                 waiting += len(mine) - before
-        if waiting > 1_500_000:
+        if waiting > 250_000:
             yield from flush()
             waiting = 0
     yield from flush()
