@@ -1 +1,6 @@
+"""Registered queries of the market engine."""
 
+from . import lists  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
