@@ -5,8 +5,9 @@ d <= eps, the steps are:
 
 1. Equal sets form one class (distance 0); only one set of each class goes on.
 2. Cells. Two linked sets share at least one of their first n - ceil(t n) + 1 shingles in hash order, and at least k of
-   the first n - ceil(t n) + k. Sets with fewer than k shingles known to any other set are alone. The others meet in
-   cells of one shingle and one band of sizes.
+   the first n - ceil(t n) + k. Sets with fewer than k of these known to any other set are alone. Of k shared shingles
+   the rarest is not among the k - 1 most frequent of either set's, which are left out. The sets meet in cells of one
+   shingle and one band of sizes.
 3. Pivots. The most central set of a cell is its pivot; cells with the same pivot are one region, so that every linked
    pair lies in at least one region. All distances to the pivot are computed, row by row, without gathering a region.
    Sets within eps of it are linked to it.
@@ -14,7 +15,8 @@ d <= eps, the steps are:
    the part of the ball within eps of their distances, go on.
 5. Regions with many open sets are divided anew: pivots spread over the region make Voronoi cells, and a set goes to
    its nearest pivot's cell and, as a boundary set, to every cell whose pivot is at most 2 eps farther. Every linked
-   pair meets in the cell of either set's nearest pivot. Small regions are joined within a task, exactly.
+   pair meets in the cell of either set's nearest pivot. Small regions are joined within a task, exactly; regions that
+   pivots cannot divide are joined block by block.
 
 The links are a spanning part of all links: two sets are connected by them if and only if they are by all links.
 """
@@ -135,10 +137,11 @@ def _distances(width: int) -> object:
 
 
 def local_links(uids: list[int], sets: list[np.ndarray], group: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked among some sets. ``group``: sets with the same non-zero number are connected
-    already. An index over prefix shingles, in order of size, finds the candidates."""
-    order = sorted(range(len(uids)), key=lambda i: (len(sets[i]), uids[i]))
-    parent = list(range(len(uids)))
+    """Links that connect what is linked among some sets. Sets with the same non-zero ``group`` are connected already
+    and only met by the others. For each other set, one pass over the places of its shingles counts what it shares
+    with every set."""
+    n = len(uids)
+    parent = list(range(n))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -147,28 +150,28 @@ def local_links(uids: list[int], sets: list[np.ndarray], group: list[int], perce
         return i
 
     first: dict[int, int] = {}
-    for i in range(len(uids)):
+    for i in range(n):
         if group[i]:
             parent[root(i)] = root(first.setdefault(group[i], i))
-    index: dict[int, list[int]] = {}
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), size)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    by = np.argsort(code, kind="stable")
+    places = owner[by]
+    first_at = np.searchsorted(code[by], np.arange(int(code.max()) + 2))
+    border = np.concatenate([[0], np.cumsum(size)])
     links = []
-    for i in order:
-        s, n = sets[i], len(sets[i])
-        seen: set[int] = set()
-        head = s[: prefix_length(n, percent)].tolist()
-        for h in head:
-            for j in index.get(h, ()):
-                if j in seen:
-                    continue
-                seen.add(j)
-                if 100 * len(sets[j]) < percent * n or root(i) == root(j):
-                    continue
-                both, union = jaccard(s, sets[j])
-                if 100 * both >= percent * union:
-                    parent[root(i)] = root(j)
-                    links.append((uids[i], uids[j]))
-        for h in head:
-            index.setdefault(h, []).append(i)
+    for i in range(n):
+        if group[i]:
+            continue
+        own = code[border[i] : border[i + 1]]
+        lo, m = first_at[own], first_at[own + 1] - first_at[own]
+        at = np.repeat(lo - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        both = np.bincount(places[at], minlength=n)
+        for j in np.flatnonzero(100 * both >= percent * (size + size[i] - both)).tolist():
+            if root(i) != root(j):
+                parent[root(i)] = root(j)
+                links.append((uids[i], uids[j]))
     return links
 
 
@@ -222,10 +225,11 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = prefix.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     met = prefix.join(shared, "h")
     alive = met.groupBy("rep").agg(
-        F.first("n").alias("n"), F.first("need").alias("need"), F.count("*").alias("k"), F.sum(F.log2("df")).alias("weight"),
-        F.collect_list(F.when(F.col("at") < F.expr(f"n - ({percent} * n + 99) div 100 + 1"), F.col("h"))).alias("hs"),
+        F.first("n").alias("n"), F.first("need").alias("need"), F.count("*").alias("k"), F.sum(F.log2("df")).alias("weight"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"),
     )
-    alive = written(alive.where("k >= need").select("rep", "n", "weight", "hs"))
+    # of what a linked pair shares, its rarest shingle is not among the need - 1 most frequent of either set
+    rare = F.transform(F.slice("hs", F.lit(1), F.col("k").cast("int") - F.col("need") + 1), lambda x: x["h"])
+    alive = written(alive.where("k >= need").select("rep", "n", "weight", rare.alias("hs")))
     band = F.floor(F.log("n") / F.lit(-math.log(percent / 100)) + 1e-9)
     cell = alive.select("rep", "n", "weight", band.alias("b"), F.explode("hs").alias("h")).select("rep", "n", "weight", "h", F.explode(F.array("b", F.col("b") + 1)).alias("b"))
     centre = F.max_by("rep", F.struct(F.col("weight") / F.col("n"), -F.col("rep")))
@@ -266,10 +270,18 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         cells = cells.join(large.select("region", "uid", "home"), ["region", "uid"])
         cells = cells.select(F.xxhash64("region", "pivot").alias("region"), "uid", "home", "d", "linked")
         sizes = cells.groupBy("region").agg(F.count("*").alias("size"), F.count_if(~F.col("linked")).alias("out"))
+        # a division that repeats most sets is none; such a region is dealt in blocks below
+        if cells.count() > 1.5 * large.count():
+            break
         cells = cells.join(sizes, "region").where("size > 1 and out > 0").select("region", "uid", "home", "size")
         open_ = written(open_.where(F.col("size") <= local_sets).unionByName(cells))
-    fed = open_.join(texts, "uid").select("region", "uid", "packed", F.when(F.col("home") >= 0, F.col("home") + 1).otherwise(0).alias("ball"))
-    found.append(fed.groupBy("region").applyInPandas(_local(width, percent), "a long, b long"))
+    # a region that is still large is met block by block: each block of its sets with all sets outside the ball
+    slices = F.ceil(F.col("size") / local_sets).cast("int")
+    mine = F.pmod(F.xxhash64("uid"), slices).cast("int")
+    everywhere = F.when((F.col("size") > local_sets) & (F.col("home") < 0), F.sequence(F.lit(0), slices - 1)).otherwise(F.array(mine))
+    open_ = open_.select(F.explode(everywhere).alias("block"), "region", "uid", "home")
+    fed = open_.join(texts, "uid").select("region", "block", "uid", "packed", F.when(F.col("home") >= 0, F.col("home") + 1).otherwise(0).alias("ball"))
+    found.append(fed.groupBy("region", "block").applyInPandas(_local(width, percent), "a long, b long"))
     all_links = found[0]
     for x in found[1:]:
         all_links = all_links.union(x)
