@@ -16,7 +16,8 @@ def days_between(a: Column, b: Column) -> Column:
 
 def weekly_snapshot(listings: DataFrame, week_start: Column, next_year: int, least: int = 3, sold_least: int = 5) -> DataFrame:
     """Per model, year bucket and mileage bucket: exact price statistics of active adverts, sales of the week and their
-    median lifetime. One aggregation; lists of prices are never gathered."""
+    median lifetime. One aggregation; lists of prices are never gathered. Means are summed in whole cents, so that no
+    order of rows changes their rounding."""
     rows = listings.where(
         F.col("model_id").isNotNull() & F.col("canonical_listing_id").isNull() & F.col("is_vehicle") & home_market() & F.col("year").isNotNull() & (F.col("mileage_km") >= 0)
     )
@@ -26,12 +27,12 @@ def weekly_snapshot(listings: DataFrame, week_start: Column, next_year: int, lea
     life = days_between(F.coalesce("sold_at", "removed_at"), F.col("first_seen_alive_at"))
     life = F.when(sold & (life >= 0), life)
     out = rows.groupBy("model_id", year_bucket(F.col("year")).alias("year_bucket"), mileage_bucket(F.col("mileage_km")).alias("mileage_bucket")).agg(
-        F.count(price).alias("count_active"), F.avg(price).alias("mean"), F.percentile(price, 0.5).alias("p50"), F.percentile(price, 0.25).alias("p25"), F.percentile(price, 0.75).alias("p75"),
+        F.count(price).alias("count_active"), (F.sum(half_up(price * 100)) / F.count(price)).alias("cents"), F.percentile(price, 0.5).alias("p50"), F.percentile(price, 0.25).alias("p25"), F.percentile(price, 0.75).alias("p75"),
         F.count_if(sold).alias("count_sold"), F.count(life).alias("lives"), F.percentile(life, 0.5).alias("life"),
     )
     out = out.where(F.col("count_active") >= least)
     return out.select(
-        "model_id", "year_bucket", "mileage_bucket", "count_active", half_up_to(F.col("mean"), 2).alias("avg_price_eur"), half_up(F.col("p50")).alias("median_price_eur"),
+        "model_id", "year_bucket", "mileage_bucket", "count_active", (half_up(F.col("cents")) / 100).alias("avg_price_eur"), half_up(F.col("p50")).alias("median_price_eur"),
         half_up(F.col("p25")).alias("p25_price_eur"), half_up(F.col("p75")).alias("p75_price_eur"), "count_sold",
         F.when(F.col("lives") >= sold_least, half_up_to(F.col("life"), 2)).alias("days_to_sell"),
     )
