@@ -143,9 +143,7 @@ SNAP_SQL = f"""{SOLD_SQL}, s as (select model_id, {D.YEAR_BUCKET_SQL} as year_bu
 
 def with_sales(spark, d) -> DataFrame:  # noqa: ANN001
     """Adverts of which some removals count as sales."""
-    rows = D.listings(spark, d)
-    tax = D.table(spark, d, "lineitem").where("l_tax >= 0.03").select((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 100000 + F.col("l_suppkey")).alias("id"), F.lit(True).alias("sells"))
-    return rows.join(tax, "id", "left").withColumn("sold_at", F.when(F.col("sells"), F.col("removed_at"))).drop("sells")
+    return D.listings(spark, d).withColumn("sold_at", F.when(F.col("sells"), F.col("removed_at")))
 
 
 def snapshot(spark, d) -> DataFrame:  # noqa: ANN001

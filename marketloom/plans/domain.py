@@ -46,6 +46,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(c("l_linenumber") != 5, first_seen + F.expr("interval 40 days")).alias("price_checked_at"),
         F.lit(None).cast("long").alias("canonical_listing_id"),
         (c("l_discount") < 0.095).alias("is_vehicle"),
+        (c("l_tax") >= 0.03).alias("sells"),
         (c("l_discount") >= 0.09).alias("is_featured"),
         F.when(c("p_size") % 7 != 0, c("p_size") * 4 + 40).alias("power_kw"),
         F.when(c("l_linenumber") > 1, c("l_linenumber")).otherwise(0).alias("photo_count"),

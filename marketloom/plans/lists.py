@@ -219,10 +219,10 @@ def weighted_mean(spark, d):  # noqa: ANN001, ANN201
     return s.groupBy("model_id").agg(F.round(F.sum(F.col("m") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0)), 4).alias("wm"))
 
 
-@query("weekly_rollup", "select strftime(date_trunc('week', ts), '%Y-%m-%d') as week, event_type, count(*) as n, round(avg(value), 4) as mean, round(sum(value), 2) as total from events group by all")
+@query("weekly_rollup", "select strftime(date_trunc('week', ts), '%Y-%m-%d') as week, event_type, count(*) as n, floor(sum(floor(value * 100 + 0.5)::bigint) * 100 / count(*) + 0.5) / 10000 as mean, sum(floor(value * 100 + 0.5)::bigint) / 100 as total from events group by all")
 def weekly_rollup(spark, d):  # noqa: ANN001, ANN201
     e = D.table(spark, d, "events")
-    return e.groupBy(F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), R2(F.sum("value")).alias("total"))
+    return e.groupBy(F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week"), "event_type").agg(F.count("*").alias("n"), F.sum(half_up(F.col("value") * 100)).alias("c")).select("week", "event_type", "n", (half_up(F.col("c") * 100 / F.col("n")) / 10000).alias("mean"), (F.col("c") / 100).alias("total"))
 
 
 @query("overview_kpi", f"{L}, m as (select model_id, count(*) as n, median(price_eur) as med from listings where {D.ACTIVE_SQL} group by all) select sum(n)::bigint as active, round(avg(med), 4) as mean_median, count(*) as models from m")
