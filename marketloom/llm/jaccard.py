@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import shared_dir, small_batches, written
+from .common import numbered, shared_dir, small_batches, written
 from .tokens import U, mixed, pieces, ranges, signed
 
 
@@ -214,7 +214,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared_dir(spark)
     small_batches(spark)
     eps = 1 - percent / 100
-    base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = numbered(docs, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = written(base.select("uid", "text").mapInArrow(_sets(width, percent), "uid long, n long, need int, one long, two long, heads array<long>"))
     key = ["n", "one", "two"]
     reps = sets.where("n > 0").groupBy(*key).agg(F.min_by(F.struct("need", "heads"), "uid").alias("s"), F.min("uid").alias("rep"))

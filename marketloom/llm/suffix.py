@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import small_batches, written
+from .common import numbered, small_batches, written
 from .tokens import U, Piece, mixed, pieces, powers, ranges, signed
 
 SEED, Q, PLACE_BITS = 8, 16, 26
@@ -219,7 +219,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("window must leave room for the sampled q-gram")
     small_batches(docs.sparkSession)
     id_field = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    base = numbered(docs, F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     ranked = base.select("uid", "text").mapInArrow(_ranked(length, window), "core long, around long, uid long, at long, lo long, hi long, n int")
     ranked = written(ranked)
     within = ranked.where("core is null").select("uid", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
