@@ -137,7 +137,7 @@ def _distances(width: int) -> object:
 
 
 def local_links(uids: list[int], sets: list[np.ndarray], group: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked among some sets. Sets with the same non-zero ``group`` are connected already
+    """Pairs that connect what is linked among some sets. Sets with the same non-zero ``group`` are connected already
     and only met by the others. For each other set, one pass over the places of its shingles counts what it shares
     with every set."""
     n = len(uids)
@@ -160,7 +160,7 @@ def local_links(uids: list[int], sets: list[np.ndarray], group: list[int], perce
     places = owner[by]
     first_at = np.searchsorted(code[by], np.arange(int(code.max()) + 2))
     border = np.concatenate([[0], np.cumsum(size)])
-    links = []
+    touched: set[int] = set()
     for i in range(n):
         if group[i]:
             continue
@@ -171,8 +171,12 @@ def local_links(uids: list[int], sets: list[np.ndarray], group: list[int], perce
         for j in np.flatnonzero(100 * both >= percent * (size + size[i] - both)).tolist():
             if root(i) != root(j):
                 parent[root(i)] = root(j)
-                links.append((uids[i], uids[j]))
-    return links
+                touched |= {i, j}
+    # every connected part as a star, so that components need few rounds
+    centre: dict[int, int] = {}
+    for i in sorted(touched, key=lambda i: uids[i]):
+        centre.setdefault(root(i), i)
+    return [(uids[i], uids[centre[root(i)]]) for i in touched if centre[root(i)] != i]
 
 
 def _local(width: int, percent: int) -> object:
