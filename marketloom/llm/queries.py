@@ -23,8 +23,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = toxicity.train(docs.where(~held_out(F.col("doc_id"))).join(labels, "doc_id", "left"))
+    model = toxicity.train(docs.where(~held_out(F.col("doc_id"))), read(spark, sf_dir, "labels"))
     out = toxicity.score(docs, model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

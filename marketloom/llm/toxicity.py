@@ -128,7 +128,7 @@ def _patterns(shared, with_keys: bool) -> object:  # noqa: ANN001
             if with_keys:
                 yield pa.RecordBatch.from_arrays([pa.array(all_bits), pa.array(lists, pa.list_(pa.int32()))], ["bits", "keys"])
             else:
-                yield pa.RecordBatch.from_arrays([pa.array(all_bits), batch.column(1)], ["bits", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(all_bits), batch.column(1)], ["bits", "id"])
 
     return run
 
@@ -184,15 +184,21 @@ def label_model(bits: np.ndarray, n: np.ndarray, known: np.ndarray, voters: int,
     return fit(blocks, post)
 
 
-def train(docs: DataFrame, text_col: str = "text", label_col: str = "toxic", max_keys: int = 2000, voters: int = 16, min_texts: int = 5, min_share: float = 0.6, min_deviation: float = 6.0, fit_rows: int = 40_000) -> Model:
-    """A model of all rows of ``docs``; rows with a null label are unlabelled. ``fit_rows`` bounds the sample of the
-    linear classifier (chosen by hash of the text), ``max_keys`` the lexicon."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_keys: int = 2000, voters: int = 16, min_texts: int = 5, min_share: float = 0.6, min_deviation: float = 6.0, fit_rows: int = 40_000) -> Model:
+    """A model of all rows of ``docs``. Those without a label 0 or 1 in ``labels`` are unlabelled; of several labels of
+    one id the largest counts. ``fit_rows`` bounds the sample of the linear classifier (chosen by hash of the text),
+    ``max_keys`` the lexicon.
+
+    Texts move once, to meet their labels; the same join is asked for at every size, so that the plan does not change
+    with it. Firing patterns meet labels as narrow rows.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"), F.col(label_col).cast("int").alias("toxic"))
-    totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0, everything = totals.get(1, 0), totals.get(0, 0), sum(totals.values())
-    counts = rows.where("toxic in (0, 1)").mapInArrow(_count, "key long, toxic int, n long")
+    rows = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic")).hint("merge")
+    totals = {r["toxic"]: r["n"] for r in rows.select("id").join(known, "id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n1, n0, everything = totals.get(1, 0), totals.get(0, 0), rows.count()
+    counts = rows.join(known, "id").select("text", "toxic").mapInArrow(_count, "key long, toxic int, n long")
     counts = counts.groupBy("key").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
     # keys whose share of toxic texts is high, and higher than chance by many standard deviations
     both, rate = F.col("a") + F.col("b"), max(n1, 1) / max(n1 + n0, 1)
@@ -202,7 +208,8 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "toxic", max
     chosen = strong.orderBy(F.desc("strength"), F.desc("a"), "key").limit(max_keys).collect()
     keys = Keys(unsigned(np.array([r["key"] for r in chosen], np.int64)), np.arange(len(chosen)) * voters // max(len(chosen), 1), voters)
     shared = spark.sparkContext.broadcast(keys)
-    seen = rows.mapInArrow(_patterns(shared, False), "bits long, toxic int")
+    id_type = rows.schema["id"].dataType.simpleString()
+    seen = rows.select("text", "id").mapInArrow(_patterns(shared, False), f"bits long, id {id_type}").join(known, "id", "left")
     one = lambda c: F.count_if(F.col("toxic") == c)
     table = seen.groupBy("bits").agg(F.count("*").alias("n"), one(0).alias("zero"), one(1).alias("one")).orderBy(F.desc("n"), "bits").limit(1 << 16).collect()
     bits = np.array([r["bits"] for r in table], np.int64)

@@ -79,12 +79,13 @@ def test_toxicity_learns_words_and_beginnings(spark):
         w = prose(r, 40).split() + extra
         r.shuffle(w)
         rows.append((i, " ".join(w), int(bad) if i % 3 else None))
-    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic"))
     new = docs(spark, ["w1 w2 vilecur w3 grubsot", "w1 w2 w3", None, "", "snarlzz muckwit w9"])
     s = {r.doc_id: r.score for r in toxicity.score(new, model).collect()}
     assert s[0] > 0.7 and s[1] < 0.3 and s[2] == s[3] < 0.3 and s[4] > 0.5
     assert toxicity.score(docs(spark, []), model).count() == 0
-    unlabelled = toxicity.train(docs(spark, ["a b"]).withColumn("toxic", F.lit(None).cast("int")))
+    unlabelled = toxicity.train(docs(spark, ["a b"]), df.select("doc_id", "toxic").where("false"))
     assert toxicity.score(new, unlabelled).where("score > 0.7").count() == 0
 
 
