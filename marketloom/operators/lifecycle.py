@@ -71,7 +71,7 @@ def detect_sold(listings: DataFrame, days: int = 30) -> DataFrame:
         (F.col("fingerprint") == F.col("a_fp")) & (F.col("source") == F.col("a_source")) & (F.col("id") != F.col("a_id"))
         & (F.col("a_seen") > F.col("first_seen_at")) & F.col("a_seen").between(F.col("removed_at") - span, F.col("removed_at") + span)
     )
-    return gone.join(again, relisted, "left_anti").select("id", F.col("removed_at").alias("sold_at"))
+    return gone.join(again, relisted, "left_anti").select("id", "source", F.col("removed_at").alias("sold_at"))
 
 
 def daily_prices(listings: DataFrame, history: DataFrame, day: Column, days: int = 7) -> DataFrame:

@@ -373,7 +373,7 @@ def detect_sold(spark, d):  # noqa: ANN001, ANN201
 @query("sold_interval_anti", f"{SOLD_ANTI.replace('select id, strftime(removed_at, ' + chr(39) + DAY + chr(39) + ') as sold', 'select source, count(*) as sold')} group by source")
 def sold_interval_anti(spark, d):  # noqa: ANN001, ANN201
     rows = D.listings(spark, d).withColumn("fingerprint", F.concat("seller", F.col("model_id").cast("string")))
-    return M.detect_sold(rows).join(rows.select("id", "source"), "id").groupBy("source").agg(F.count("*").alias("sold"))
+    return M.detect_sold(rows).groupBy("source").agg(F.count("*").alias("sold"))
 
 
 @query("daily_snapshot", f"{L} select id as listing_id, '2025-08-10' as day, price_eur from listings where price_eur is not null and removed_at is null and price_checked_at >= timestamp '2025-08-10' - interval 7 days and id % 10 <> 0")
