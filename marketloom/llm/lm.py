@@ -1,16 +1,19 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Tokens are the words of a text, A-Z lower-cased, then one end token. Training counts them all; an n-gram becomes a
-state, and may be extended, if its share of all training tokens reaches the share of its order, so at most 1 / share
-states exist per order and the automaton has a fixed size bound. Counting n-grams of order k needs only pairs of a kept
-(k-1)-gram and a word whose own (k-1)-gram is kept, since no n-gram is more frequent than its parts.
+Tokens are the words of a text, A-Z lower-cased, then one end token. Training counts them all, and all n-grams; an n-gram
+seen ``least`` times or more is kept, whatever the size of the corpus.
 
 Probabilities are absolutely discounted and back off to the next shorter history; a state's failure arc carries the
 backoff weight that makes its distribution sum to one. The shortest history has the additive unigram estimate over all
-training tokens and one unseen token. The vocabulary is not cut: words too rare for the automaton leave it in its empty
-state and get their unigram probability from a join with the table of all counted tokens.
+training tokens and one unseen token. The vocabulary is not cut.
 
-Scoring reads each text from left to right once. A position's state is the longest kept n-gram that ends there; it is
+Arcs and backoff weights are computed by joins and stay in a Spark table. As every shorter part of a kept n-gram is kept
+as well, the log probability of a token is a sum over the n-grams that end at it or before it: what each adds to the next
+shorter estimate, and its backoff weight. Scoring is therefore one join of the texts' n-grams, counted by text, with the
+table. The n-grams with a share of all training tokens of ``head_share`` or more, at most 1 / share of each order, are
+broadcast as an automaton and need no join.
+
+Scoring reads each text from left to right once. A position's state is the longest broadcast n-gram that ends there; it is
 carried from the position before: the state of length k at a position is the arc of the state of length k-1 before it.
 """
 
@@ -21,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
@@ -29,16 +32,19 @@ from .tokens import Counter, Index, Piece, mixed, per_text, pieces, ranges, sign
 
 #: The key of the end token. Word keys come from a 64-bit mixer; this one is reserved.
 END = np.uint64(0x5851F42D4C957F2D)
+#: Bigram and trigram keys are drawn apart by these.
+SALTS = {2: np.uint64(0xA24BAED4963EE407), 3: np.uint64(0x9FB21C651E98DF25)}
 
 
 @dataclass
 class Level:
-    """The kept n-grams of one order: state before, word, log10 probability, and log10 backoff weight of each."""
+    """The broadcast n-grams of one order: state before, word, log10 probability, log10 backoff weight, and what each adds to a text's score."""
 
     before: np.ndarray
     word: np.ndarray
     log_p: np.ndarray
     log_back: np.ndarray
+    gain: np.ndarray
     index: Index
 
 
@@ -52,6 +58,8 @@ class Automaton:
     spoken: int
     levels: list[Level]
     word_back: np.ndarray
+    #: whether all kept n-grams are broadcast
+    whole: bool
 
     def unigram_log(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
@@ -97,111 +105,163 @@ def carried(a: Automaton, keys: np.ndarray, borders: np.ndarray) -> tuple[np.nda
     return word, found
 
 
-def _count_arcs(shared) -> object:  # noqa: ANN001
+def keyed(order: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from those of their two parts: words for bigrams, first and last bigram for trigrams."""
+    return mixed(mixed(a ^ SALTS[order]) + b)
+
+
+def grams(order: int, keys: np.ndarray, borders: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """By order from 2 on: the places where n-grams end, and the keys of both parts."""
+    lead = np.arange(len(keys)) - np.repeat(borders[:-1], np.diff(borders))
+    own = keys
+    for k in range(2, order + 1):
+        at = np.flatnonzero(lead >= k - 1)
+        yield k, at, own[at - 1], own[at]
+        own, parts = np.zeros(len(keys), np.uint64), own
+        own[at] = keyed(k, parts[at - 1], parts[at])
+
+
+def _count_grams(order: int, backlog: int = 1 << 20) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, c = shared.value, Counter()
+        held: dict[int, list] = {k: [] for k in range(2, order + 1)}
+
+        def merged(k: int) -> int:
+            a, b, n = (np.concatenate(x) for x in zip(*held[k], strict=True))
+            _, at, to = np.unique(keyed(k, a, b), return_index=True, return_inverse=True)
+            held[k] = [(a[at], b[at], np.bincount(to, n, len(at)).astype(np.int64))]
+            return len(at)
+
+        def flush(k: int) -> Iterator[pa.RecordBatch]:
+            for a, b, n in held[k]:
+                for i in range(0, len(a), 100_000):
+                    part = slice(i, i + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[part]), k, np.int32)), pa.array(signed(a[part])), pa.array(signed(b[part])), pa.array(n[part])], ["ord", "a", "b", "n"])
+            held[k] = []
+
         for batch in batches:
             for p in pieces(batch.column(0)):
-                keys, borders = token_keys(p)
-                word, found = carried(a, keys, borders)
-                # the kept gram of the last counted order that ends before, and the one that ends here
-                grams = found[-1] if found else np.where(word < a.spoken, word, -1)
-                before = np.empty_like(grams)
-                before[0:1], before[1:] = -1, grams[:-1]
-                before[borders[:-1]] = -1
-                ok = (before >= 0) & (grams >= 0)
-                c.add((before[ok].astype(np.uint64) << np.uint64(32)) | word[ok].astype(np.uint64))
-        k, n = c.merge()
-        for i in range(0, len(k), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(signed(k[i : i + 100_000])), pa.array(n[i : i + 100_000])], ["arc", "n"])
+                for k, _, a, b in grams(order, *token_keys(p)):
+                    held[k].append((a, b, np.ones(len(a), np.int64)))
+                    # what is held stays bounded however long a task is
+                    if sum(len(x[0]) for x in held[k]) > 2 * backlog and merged(k) > backlog:
+                        yield from flush(k)
+        for k in held:
+            if held[k]:
+                merged(k)
+                yield from flush(k)
 
     return run
 
 
-def _level(a: Automaton, arcs: np.ndarray, n: np.ndarray, history: np.ndarray, discount: float) -> tuple[Level, np.ndarray]:
-    """The kept n-grams as a level; also the log10 backoff weights of their histories. ``history``: counts of those."""
-    before, word = (arcs >> np.uint64(32)).astype(np.int64), (arcs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    p = (n - discount) / history[before]
-    lower = 10.0 ** shorter_log(a, before, word)
-    used, below = np.bincount(before, p, len(history)), np.bincount(before, lower, len(history))
-    back = np.log10(np.maximum(1 - used, 1e-12) / np.maximum(1 - below, 1e-12))
-    return Level(before, word, np.log10(p), np.zeros(len(arcs)), Index(arc(before, word))), back
+def _add_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        order, a, b = batch.column(0).to_numpy(), unsigned(batch.column(1).to_numpy()), unsigned(batch.column(2).to_numpy())
+        k = np.where(order == 2, keyed(2, a, b), keyed(3, a, b))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(k))], ["ord", "a", "b", "n", "k"])
+
+
+def _looked_up(df: DataFrame, col: str, table: DataFrame, head: float) -> DataFrame:
+    """``df`` with the row of ``table`` whose first column is ``col``; all have one. Rows counted ``head`` times or more (column m), which many may ask for, go to all tasks."""
+    key = table.columns[0]
+    often = F.broadcast(table.where(F.col("m") >= head))
+    near = df.join(often, F.col(col) == F.col(key)).drop(key)
+    far = df.join(F.broadcast(table.where(F.col("m") >= head).select(key)), F.col(col) == F.col(key), "left_anti")
+    return near.unionByName(far.join(table.where(F.col("m") < head), F.col(col) == F.col(key)).drop(key))
+
+
+def _backoff(states: DataFrame, key: str, arcs: DataFrame, discount: float) -> DataFrame:
+    """``states`` (``key``, n, ...) with back, the log10 backoff weight of each from its kept arcs (a, n, lower)."""
+    sums = arcs.groupBy(F.col("a").alias("_a")).agg(F.sum(F.col("n") - discount).alias("_used"), F.sum(F.pow(F.lit(10.0), "lower")).alias("_below"))
+    back = F.log10(F.greatest(1 - F.col("_used") / F.col("n"), F.lit(1e-12)) / F.greatest(1 - F.col("_below"), F.lit(1e-12)))
+    return states.join(sums, F.col(key) == F.col("_a"), "left").withColumn("back", F.coalesce(back, F.lit(0.0))).drop("_a", "_used", "_below")
+
 
+def _arcs(arcs: DataFrame, states: DataFrame, key: str, head: float, discount: float) -> DataFrame:
+    """``arcs`` (a, n, lower, ...) with log_p, and gain over the shorter estimate with the backoff weight."""
+    before = states.select(F.col(key).alias("_k"), F.col("n").alias("m"), "back")
+    out = _looked_up(arcs, "a", before, head).withColumn("log_p", F.log10((F.col("n") - discount) / F.col("m")))
+    return out.withColumn("gain", F.col("log_p") - F.col("back") - F.col("lower")).drop("m", "back")
 
-def shorter_log(a: Automaton, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """log10 P(word | history without its first word), for histories that are states of the last level."""
-    if not a.levels:
-        return a.unigram_log(a.counts[word])
-    # a kept trigram's last two words are a kept bigram, so the shorter history always has this arc
-    bigrams = a.levels[-1]
-    return bigrams.log_p[bigrams.index.find(arc(bigrams.word[before], word))]
 
+def train(
+    docs: DataFrame, text_col: str = "text", order: int = 3, word_share: float = 2.0**-20, gram_share: float = 0.0, discount: float = 0.75, least: int = 2, head_share: float = 2.0**-17,
+) -> tuple[Automaton, DataFrame]:
+    """The automaton of the frequent part, and the table of all words and kept n-grams. ``order`` is 2 or 3.
 
-def train(docs: DataFrame, text_col: str = "text", order: int = 3, word_share: float = 2.0**-20, gram_share: float = 2.0**-17, discount: float = 0.75) -> tuple[Automaton, DataFrame]:
-    """The automaton of all texts, and the table of all token counts (w, n). ``order`` is 2 or 3."""
+    Kept is what was seen ``least`` times (or ``gram_share`` of all tokens, if that is more). ``word_share`` and
+    ``head_share`` only say which words and n-grams are broadcast.
+    """
     if order not in (2, 3):
         raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(text_col).alias("text"))
-    table = written(texts.mapInArrow(_count_tokens, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
-    total, distinct = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    rows = table.where(F.col("n") >= max(1.0, word_share * total)).toPandas().sort_values(["n", "w"], ascending=[False, True])
-    words, counts = unsigned(rows["w"].to_numpy(np.int64)), rows["n"].to_numpy(np.int64)
-    least = max(2.0, gram_share * total)
-    a = Automaton(total, distinct, words, counts, Index(words), int((counts >= least).sum()), [], np.zeros(len(words)))
-    history = counts[: a.spoken]
-    for k in range(2, order + 1):
-        shared = spark.sparkContext.broadcast(a)
-        kept = texts.mapInArrow(_count_arcs(shared), "arc long, n long").groupBy("arc").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
-        shared.unpersist()
-        arcs = unsigned(kept["arc"].to_numpy(np.int64))
-        by = np.argsort(arcs)
-        arcs, n = arcs[by], kept["n"].to_numpy(np.int64)[by]
-        level, back = _level(a, arcs, n, history, discount)
-        if k == 2:
-            a.word_back[: a.spoken] = back
-        else:
-            a.levels[-1].log_back[:] = back
-        a.levels.append(level)
-        history = n
+    tokens = written(texts.mapInArrow(_count_tokens, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    unit = total + 0.5 * (distinct + 1)
+    kept_from = max(float(least), gram_share * total)
+    head = max(kept_from, head_share * total)
+    # the words of all broadcast n-grams are broadcast
+    word_head = min(max(1.0, word_share * total), head)
+
+    def unigram(n: Column) -> Column:
+        return F.log10((n + 0.5) / F.lit(unit))
+
+    # counted in the tasks already: dealt out at once
+    counts = texts.mapInArrow(_count_grams(order), "ord int, a long, b long, n long").repartition("ord", "a", "b").groupBy("ord", "a", "b").agg(F.sum("n").alias("n"))
+    kept = written(counts.where(F.col("n") >= kept_from).mapInArrow(_add_keys, "ord int, a long, b long, n long, k long"))
+    pairs = kept.where("ord = 2").drop("ord")
+    pairs = _looked_up(pairs, "b", tokens.select(F.col("w").alias("_k"), F.col("n").alias("m")), head).withColumn("lower", unigram(F.col("m"))).drop("m")
+    words = written(_backoff(tokens, "w", pairs, discount))
+    pairs = written(_arcs(pairs, words, "w", head, discount))
+    base = unigram(F.col("n")) - unigram(F.lit(0))
+    parts = [words.select("w", F.lit(1).alias("known"), base.alias("more"), (base + F.col("back")).alias("gain"), (F.col("n") >= word_head).alias("cached"))]
+    threes = None
+    if order == 3:
+        threes = _looked_up(kept.where("ord = 3").drop("ord"), "b", pairs.select(F.col("k").alias("_k"), F.col("n").alias("m"), F.col("log_p").alias("lower")), head).drop("m")
+        pairs = written(_backoff(pairs, "k", threes, discount))
+        threes = written(_arcs(threes, pairs, "k", head, discount))
+    else:
+        pairs = pairs.withColumn("back", F.lit(0.0))
+    for level in [pairs.withColumn("gain", F.col("gain") + F.col("back"))] + ([threes] if threes is not None else []):
+        parts.append(level.select(F.col("k").alias("w"), F.lit(0).alias("known"), F.lit(0.0).alias("more"), "gain", (F.col("n") >= head).alias("cached")))
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
+
+    rows = words.where(F.col("n") >= word_head).toPandas().sort_values(["n", "w"], ascending=[False, True])
+    own, n = unsigned(rows["w"].to_numpy(np.int64)), rows["n"].to_numpy(np.int64)
+    a = Automaton(total, distinct, own, n, Index(own), int((n >= head).sum()), [], rows["back"].to_numpy(float), head <= kept_from)
+    states, last = a.index, np.arange(len(own))
+    for level in [pairs] + ([threes] if threes is not None else []):
+        rows = level.where(F.col("n") >= head).toPandas()
+        before, word = states.find(unsigned(rows["a"].to_numpy(np.int64))), last[states.find(unsigned(rows["b"].to_numpy(np.int64)))]
+        back = rows["back"].to_numpy(float) if "back" in rows else np.zeros(len(rows))
+        a.levels.append(Level(before, word, rows["log_p"].to_numpy(float), back, rows["gain"].to_numpy(float) + back, Index(arc(before, word))))
+        states, last = Index(unsigned(rows["k"].to_numpy(np.int64))), word
     return a, table
 
 
 def score_piece(a: Automaton, p: Piece) -> tuple[np.ndarray, ...]:
-    """Per text: tokens, known tokens, base and score without rare words; and the rare words (text, key, times)."""
+    """Per text: tokens, known tokens, base and score, as if what is not broadcast were unseen; and the words and n-grams to look up (text, key, times)."""
     keys, borders = token_keys(p)
     word, found = carried(a, keys, borders)
     common = word >= 0
-    base = np.zeros(len(keys))
-    base[common] = a.unigram_log(a.counts[word[common]])
+    base = a.unigram_log(np.where(common, a.counts[word] if len(a.counts) else 0, 0))
     logs = base.copy()
-    # follow failure arcs from the longest history: each that lacks the arc adds its backoff weight
-    first = np.zeros(len(keys), bool)
-    first[borders[:-1]] = True
-
-    def prior(x: np.ndarray) -> np.ndarray:
-        out = np.empty_like(x)
-        out[0:1], out[1:] = -1, x[:-1]
-        out[first] = -1
-        return out
-
-    settled = np.zeros(len(keys), bool)
-    extra = np.zeros(len(keys))
-    chain = [np.where((word >= 0) & (word < a.spoken), word, -1), *found]
-    backs = [a.word_back, *(level.log_back for level in a.levels)]
-    for k in range(len(a.levels) - 1, -1, -1):
-        before, here = prior(chain[k]), found[k]
-        hit = ~settled & (here >= 0)
-        logs[hit] = a.levels[k].log_p[here[hit]] + extra[hit]
-        settled |= hit
-        fail = ~settled & (before >= 0)
-        extra[fail] += backs[k][before[fail]]
-    logs[~settled] += extra[~settled]
-    rare = np.flatnonzero(~common)
-    text = np.searchsorted(borders, rare, side="right") - 1
-    by = np.lexsort((keys[rare], text))
-    t, w = text[by], keys[rare][by]
+    logs[common] += a.word_back[word[common]]
+    lost = [np.flatnonzero(~common)]
+    asked = [keys[lost[0]]]
+    for level, here, (k, at, left, right) in zip(a.levels, found, grams(len(a.levels) + 1, keys, borders), strict=True):
+        hit = here >= 0
+        logs[hit] += level.gain[here[hit]]
+        if not a.whole:
+            miss = here[at] < 0
+            lost.append(at[miss])
+            asked.append(keyed(k, left[miss], right[miss]))
+    text, w = np.searchsorted(borders, np.concatenate(lost), side="right") - 1, np.concatenate(asked)
+    by = np.lexsort((w, text))
+    t, w = text[by], w[by]
     new = np.ones(len(t), bool)
     new[1:] = (t[1:] != t[:-1]) | (w[1:] != w[:-1])
     at = np.flatnonzero(new)
@@ -245,15 +305,11 @@ def score(docs: DataFrame, model: tuple[Automaton, DataFrame], id_col: str = "do
                 )
 
     parts = fed.mapInArrow(run, f"uid long, w long, id {id_type}, tokens long, times long, base double, score double")
-    least = a.counts[-1] if len(a.counts) else 1
-    rare = table.where(F.col("n") < int(least)).hint("shuffle_hash")
-    parts = parts.join(rare, "w", "left")
+    rest = table.where(~F.col("cached")).select("w", "known", "more", "gain").hint("shuffle_hash")
     own = F.col("tokens") > 0
-    log = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(a.total + 0.5 * (a.distinct + 1)))
-    rare_log = F.when(~own, F.col("times") * log).otherwise(F.lit(0.0))
-    known = F.when(own | F.col("n").isNotNull(), F.col("times")).otherwise(F.lit(0))
+    parts = parts.join(rest, "w", "left").where(own | F.col("gain").isNotNull())
     out = parts.groupBy("uid").agg(
-        F.max("id").alias(id_col), F.max("tokens").alias("n_tokens"), F.sum(known).alias("n_known"),
-        F.sum(F.col("base") + rare_log).alias("base_score"), F.sum(F.col("score") + rare_log).alias("score"),
+        F.max("id").alias(id_col), F.max("tokens").alias("n_tokens"), F.sum(F.when(own, F.col("times")).otherwise(F.col("times") * F.col("known"))).alias("n_known"),
+        F.sum(F.when(own, F.col("base")).otherwise(F.col("times") * F.col("more"))).alias("base_score"), F.sum(F.when(own, F.col("score")).otherwise(F.col("times") * F.col("gain"))).alias("score"),
     )
     return out.select(id_col, "n_tokens", "n_known", F.lit(int(a.total)).cast("long").alias("train_tokens"), "base_score", "score")

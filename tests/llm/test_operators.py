@@ -422,3 +422,52 @@ def test_lm_beats_base_on_held_out(spark):
     text = lambda: " ".join(" ".join(r.choice(pairs)) for _ in range(40))
     out = lm.score(docs(spark, [text() for _ in range(20)]), lm.train(docs(spark, [text() for _ in range(60)]), gram_share=2.0**-10)).collect()
     assert all(x.score > 0.7 * x.base_score for x in out)
+
+
+def backed_off(train, least=2, discount=0.75):
+    """log10 probability of a text under all n-grams seen ``least`` times, by brute force."""
+    c = Counter()
+    for t in train:
+        w = [*words(t), None]
+        c.update(tuple(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    total, kinds = sum(n for g, n in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+    after = {}
+    for g, n in c.items():
+        if len(g) > 1 and n >= least:
+            after.setdefault(g[:-1], []).append(g)
+
+    def p(g):
+        if len(g) == 1:
+            return (c[g] + 0.5) / (total + 0.5 * (kinds + 1))
+        if c[g] >= least:
+            return (c[g] - discount) / c[g[:-1]]
+        return back(g[:-1]) * p(g[1:])
+
+    def back(h):
+        arcs = after.get(h, []) if len(h) == 1 or c[h] >= least else []
+        return (1 - sum(p(g) for g in arcs)) / (1 - sum(p(g[1:]) for g in arcs)) if arcs else 1.0
+
+    def log(t):
+        w = [*words(t), None]
+        return sum(np.log10(p(tuple(w[max(0, i - 2) : i + 1]))) for i in range(len(w)))
+
+    return log
+
+
+def test_lm_keeps_rare_ngrams_of_large_corpora(spark):
+    """n-grams seen twice count as well where the corpus is so large that they hold a small share of it."""
+    rare = ["p q r s", "p q r t", "p q r s u"]
+    train = ["a b " * 150_000, "c d " * 60_000, *rare, "a q r"]
+    new = [*rare, "p q r", "q r s", "a b c d", "z p q", "q z r s", None]
+    out = {x.doc_id: x.score for x in lm.score(docs(spark, new), lm.train(docs(spark, train))).collect()}
+    log = backed_off(train)
+    assert [out[i] for i in range(len(new))] == pytest.approx([log(t) for t in new], abs=1e-6)
+
+
+@pytest.mark.parametrize("head", [1.0, 2.0**-5, 2.0**-20])
+def test_lm_scores_alike_whatever_is_broadcast(spark, head):
+    r = random.Random(12)
+    train, new = [prose(r, 60, 40) for _ in range(60)], [prose(r, r.randint(0, 40), 45) for _ in range(60)]
+    out = {x.doc_id: x.score for x in lm.score(docs(spark, new), lm.train(docs(spark, train), word_share=head, head_share=head)).collect()}
+    log = backed_off(train)
+    assert [out[i] for i in range(len(new))] == pytest.approx([log(t) for t in new], abs=1e-6)
