@@ -244,6 +244,34 @@ def test_contamination_found_and_clean_left(spark):
     assert decontaminate.contaminated(docs(spark, []), bench, rank=8).count() == 0
 
 
+def test_contamination_paraphrases_of_many_items(spark):
+    """Recall against the rule on the words alone, with more items than the space has directions and 15 to 35% of the words changed."""
+    r = random.Random(21)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9))) for _ in range(2000)]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [text(r.randint(16, 50)) for _ in range(120)]
+    rows, want = [], set()
+    for i, item in enumerate(items):
+        w = item.split()
+        n, share = len(w), r.choice([0.15, 0.25, 0.35])
+        for k in r.sample(range(n - max(1, n // 8)), int(share * n)):
+            w[k] = r.choice(vocabulary)
+        want.add((i, i))
+        rows.append(text(r.randint(0, 90)) + " " + " ".join(w) + " " + text(r.randint(0, 90)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs(spark, rows), bench, rank=16).collect()}
+    assert got == want
+
+
+def test_contamination_by_short_items(spark):
+    items = ["What is 17 * 23?", "你好吗", "東京の人口は何人ですか、教えてください。", "yes", "?!"]
+    rows = ["So: what is 17 * 23? 391", "What is 17 + 23?", "what is 17 * 234", "他说你好吗。", "你好", "問：東京の人口は何人ですか、教えてください。", "oh yes", "yesterday ?!", None, ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs(spark, rows), bench, rank=4).collect()}
+    assert got == {(0, 0), (3, 1), (5, 2), (6, 3)}
+    assert decontaminate.contaminated(docs(spark, rows), bench.where("item_id in (0, 3)"), rank=4).count() == 2
+
+
 def test_common_subsequence():
     r = random.Random(1)
     for _ in range(50):
