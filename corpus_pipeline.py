@@ -6,7 +6,9 @@ All but the last return the columns of documents, for the rows they keep.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm import decontaminate, exact_dedup, jaccard, language, mixing
@@ -24,17 +26,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*[F.col(f"`c_{c}`").alias(c) for c in docs.columns])
 
 
+def _one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame], group: Column) -> DataFrame:
+    """Of the rows of ``docs`` that share a ``group`` in groups(docs), whose doc_id is a written row number, the one with the smallest id (null last) and number."""
+    numbers = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = groups(numbers.withColumn("doc_id", F.col("_row"))).select(F.col("doc_id").alias("_row"), group.alias("_group"))
+    ids = numbers.select("_row", F.col("doc_id").alias("_id"))
+    first = found.join(ids, "_row").groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("first"))
+    return numbers.join(first.select(F.col("first.row").alias("_row")), "_row", "left_semi").drop("_row")
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of equal texts."""
-    lost = exact_dedup.exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("_lost")), "left_anti")
+    """Keeps one row, that with the smallest id, of each group of equal texts."""
+    return _one_of_each(docs, exact_dedup.exact_dedup, F.col("keep_id"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest id, of each group linked at five-word shingles and 0.8 or more."""
-    classes = jaccard.similar_classes(docs, width=5, percent=80)
-    lost = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("_lost")), "left_anti")
+    """Keeps one row, that with the smallest id, of each group linked at five-word shingles and 0.8 or more."""
+    return _one_of_each(docs, lambda d: jaccard.similar_classes(d, width=5, percent=80), F.col("component_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from marketloom.llm import chat, decontaminate, exact_dedup, html, jaccard, language, lm, mixing, suffix, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -499,3 +500,18 @@ def test_lm_scores_alike_whatever_is_broadcast(spark, head):
     out = {x.doc_id: x.score for x in lm.score(docs(spark, new), lm.train(docs(spark, train), word_share=head, head_share=head)).collect()}
     log = backed_off(train)
     assert [out[i] for i in range(len(new))] == pytest.approx([log(t) for t in new], abs=1e-6)
+
+
+# --- pipeline -------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_copies_with_null_and_repeated_ids(spark):
+    r = random.Random(31)
+    a, b, c, d = (prose(r, 60) for _ in range(4))
+    near = a + " end"
+    rows = spark.createDataFrame([(5, a), (None, a), (None, b), (7, c), (7, d), (2, d), (9, near), (9, near), (None, None)], "doc_id long, text string")
+    exact = corpus_pipeline.exact_copies(spark, rows, "")
+    assert sorted(((x.doc_id, x.text) for x in exact.collect()), key=str) == sorted([(5, a), (None, b), (7, c), (2, d), (9, near), (None, None)], key=str)
+    out = corpus_pipeline.near_copies(spark, rows, "")
+    got = [(x.doc_id, x.text) for x in out.collect()]
+    assert sorted(got, key=str) == sorted([(5, a), (None, b), (7, c), (2, d), (None, None)], key=str)
