@@ -15,10 +15,12 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset and all runs in one process (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="marketloom-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -57,19 +59,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Plan nodes that give the same rows in the same partitions and order each time they run.
-STEADY = ("Project", "Filter", "Relation", "LocalRelation", "LogicalRDD")
+def row_key(*columns: Column) -> Column:
+    """A row's number, made of its content: the same in every pass over a table, however the table is split or read."""
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
 
 
 def numbered(df: DataFrame, *columns: Column) -> DataFrame:
-    """``columns`` of ``df`` with uid, a number for each row that is the same whenever the result is read.
-
-    Plain scans number their rows alike every time. Rows that come out of shuffles may change places when they are
-    computed again, so anything but a scan is written first.
-    """
-    chosen = df.select(*columns)
-    lines = chosen._jdf.queryExecution().optimizedPlan().toString().splitlines()
-    nodes = [line.lstrip(" +-:").split(" ")[0].split("[")[0] for line in lines if line.strip()]
-    if not all(n in STEADY for n in nodes):
-        chosen = written(chosen)
-    return chosen.select(F.monotonically_increasing_id().alias("uid"), "*")
+    """``columns`` of ``df`` with uid, a number of each row. The rows are written with their numbers, as another pass over the
+    same input may split it otherwise and number it anew."""
+    return written(df.select(*columns).withColumn("uid", F.monotonically_increasing_id()))

@@ -1,22 +1,29 @@
-"""Repeated byte strings across and within documents, by ranking sampled positions over growing lengths.
+"""Repeated byte strings across and within documents, by prefix doubling over sampled positions.
 
-The threshold length (400 bytes) is reached as in prefix doubling: positions are ranked by a prefix of their string,
-those with a rank of their own drop out, and the rest is ranked again over longer strings until past the threshold.
-Two things differ from the textbook form, as sorting every byte position each round would move many times the input:
+Positions get ranks by the first bytes of their string, pairs of ranks are sorted by Spark and ranked again over about
+twice the length, and so on until a position's rank is its own or the length is past the threshold (400 bytes):
 
-* Positions are sampled. The sample of a string of ``length`` bytes is the place of the smallest q-gram hash among its
-  first ``window`` q-grams (the leftmost of equal ones). It depends on the string only, so two equal strings have their
-  samples at the same offset, and consecutive strings share them: about 2 / window of all positions are kept.
-* A rank is the 64-bit hash of the ranked bytes (a name for equal strings) instead of a number in sorted order.
+* Positions are sampled, as ranking every byte would move many times the input. The sample of a string of ``length``
+  bytes is the place of the smallest q-gram hash among its first ``window`` q-grams (the leftmost of equal ones). It
+  depends on the string only, so two equal strings have their samples at the same offset, and consecutive strings share
+  them: about 2 / window of all positions are kept.
+* Rank 0 is a 64-bit name (hash) of the first half of what all strings of a sample have in common, their
+  ``length - window + 1`` bytes from the sample on.
+* Round one sorts the pairs (rank of the sample, rank at the offset of half that length). Samples with a pair of their
+  own drop out: none of their strings occurs twice.
+* Round two sorts the pairs (rank, name of all bytes that the strings of the sample can cover, to both sides), which
+  is past the threshold. Samples that still share a pair are settled: all their strings occur twice.
+* Samples that shared a rank in round one and have their own in round two are next to an edge of a repeat; only their
+  strings are compared one by one, over the whole length. One sample of every rank that is shared by others with the same
+  surroundings takes part as a witness. Nothing pairs documents with each other.
 
-Round one ranks a sample by the ``length - window + 1`` bytes from it on, which all strings of that sample contain.
-Round two ranks it by everything the strings of that sample can cover, to both sides. Samples that are still equal to
-another one are settled: all their strings occur twice. Samples that were equal in round one and differ in round two
-are next to an edge of a repeat; only their strings are ranked one by one over the whole length in round three. One
-sample of every distinct settled surrounding takes part as a witness. Nothing pairs documents with each other.
+A pair's rank is its place in the order of all pairs that occur twice, found by a range sort; its positions learn it by
+a join. Frequent pairs are counted in the tasks first, and the join's large partitions can be split. Equal surroundings
+within a piece of a task are merged before any shuffle, so text that repeats in place or in a third of all documents meets
+in few rows.
 
-Equal surroundings within a piece of a task are merged before the shuffle, so text that repeats in place or in a third
-of all documents meets in few rows.
+Rows are known by a hash of their id and text, so that each pass over the documents finds the same numbers however
+the input is split.
 """
 
 from __future__ import annotations
@@ -29,9 +36,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .common import numbered, small_batches, written
+from .common import row_key, shared_dir, small_batches, written
 from .tokens import U, Piece, mixed, pieces, powers, ranges, signed
 
 SEED, Q, PLACE_BITS = 8, 16, 26
@@ -76,8 +82,11 @@ def samples(p: Piece, length: int, window: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _ranked(length: int, window: int) -> object:
-    """(uid, text) -> (core, around, uid, at, lo, hi, n): one row for each distinct surrounding in a piece, and settled
-    spans (core null; at..hi) where a piece holds a surrounding more than once."""
+    """(uid, text) -> (rank, next, around, uid, place, n): one row for each distinct surrounding in a piece; and, with n = 0, settled
+    spans (from next to around) where a piece holds a surrounding more than once. ``place`` holds the sample's place and how far
+    before it its first and last string start."""
+    first = length - window + 1
+    half = (first + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,12 +96,12 @@ def _ranked(length: int, window: int) -> object:
                 if not len(a):
                     continue
                 start, end = p.offsets[text], p.offsets[text + 1]
-                core = ranges(sums, a, a + length - window + 1)
+                rank, after = ranges(sums, a, a + half), ranges(sums, a + first - half, a + first)
                 left, right = np.maximum(a - window + 1, start), np.minimum(a + length, end)
                 around = mixed(ranges(sums, left, right) + ((a - left) * 65537 + (right - a)).astype(np.uint64))
-                by = np.lexsort((around, core))
+                by = np.lexsort((around, after, rank))
                 same = np.zeros(len(by), bool)
-                same[1:] = (core[by][1:] == core[by][:-1]) & (around[by][1:] == around[by][:-1])
+                same[1:] = (rank[by][1:] == rank[by][:-1]) & (after[by][1:] == after[by][:-1]) & (around[by][1:] == around[by][:-1])
                 head = np.flatnonzero(~same)
                 n = np.diff(np.append(head, len(by)))
                 own, base = uid[p.first : p.last][text], start
@@ -107,18 +116,18 @@ def _ranked(length: int, window: int) -> object:
                     cut[1:] = (spans[1:, 0] != spans[:-1, 0]) | (spans[1:, 1] > reach[:-1])
                     f = np.flatnonzero(cut)
                     spans = np.stack([spans[f, 0], spans[f, 1], reach[np.append(f[1:], len(spans)) - 1]], 1)
-                k, s = len(one), len(spans)
+                place = ((a - base) << 32 | (a - lo) << 16 | (a - hi))[one]
+                none = np.zeros(len(spans), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([signed(core[one]), np.zeros(s, np.int64)]), mask=np.arange(k + s) >= k),
-                        pa.array(np.concatenate([signed(around[one]), np.zeros(s, np.int64)])),
+                        pa.array(np.concatenate([signed(rank[one]), spans[:, 0]])),
+                        pa.array(np.concatenate([signed(after[one]), spans[:, 1]])),
+                        pa.array(np.concatenate([signed(around[one]), spans[:, 2]])),
                         pa.array(np.concatenate([own[one], spans[:, 0]])),
-                        pa.array(np.concatenate([(a - base)[one], spans[:, 1]])),
-                        pa.array(np.concatenate([(lo - base)[one], spans[:, 1]])),
-                        pa.array(np.concatenate([(hi - base)[one], spans[:, 2] - length])),
-                        pa.array(np.concatenate([n, np.zeros(s, np.int64)]).astype(np.int32)),
+                        pa.array(np.concatenate([place, none])),
+                        pa.array(np.concatenate([n, none]).astype(np.int32)),
                     ],
-                    ["core", "around", "uid", "at", "lo", "hi", "n"],
+                    ["rank", "next", "around", "uid", "place", "n"],
                 )
 
     return run
@@ -145,17 +154,19 @@ def _unpacked(column: pa.Array, groups: int = 1 << 20) -> Iterator[tuple[int, in
 
 
 def _strings(length: int, window: int) -> object:
-    """(uid, packed, marks) -> (h, uid, start, own): the strings of edge samples, ranked over the whole length."""
+    """(uid, packed, id, marks) -> (h, uid, place): the strings of edge samples, named over the whole length; place is twice the start, and one more for a sample's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid, marks = batch.column(0).to_numpy(), batch.column(2)
+            uid, marks = batch.column(0).to_numpy(), batch.column(3)
             for i, j, p in _unpacked(batch.column(1)):
                 sums = p.sums(seed=SEED)
                 part = marks.slice(i, j - i)
                 m = part.flatten()
                 text = np.repeat(np.arange(j - i), np.diff(part.offsets.to_numpy()))
-                at, lo, hi, own = (m.field(x).to_numpy() for x in range(4))
+                place, own = m.field(0).to_numpy(), m.field(1).to_numpy()
+                at = place >> 32
+                lo, hi = at - (place >> 16 & 65535), at - (place & 65535)
                 base, end = p.offsets[text], p.offsets[text + 1]
                 # a witness shows all strings of its surroundings
                 lo = np.where(own == 1, lo, np.maximum(at - window + 1, 0)) + base
@@ -207,7 +218,14 @@ def _cut() -> object:
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, window: int = 128) -> DataFrame:
+def ranked_again(rows: DataFrame, pair: list[str]) -> DataFrame:
+    """(pair, order, same, head): of the pairs that several positions share, their place in the order of all such pairs,
+    the number of positions and one of these."""
+    pairs = rows.groupBy(*pair).agg(F.sum("n").alias("same"), F.min(F.struct("uid", "place")).alias("head")).where("same > 1")
+    return written(pairs.repartitionByRange(*pair).sortWithinPartitions(*pair).withColumn("order", F.monotonically_increasing_id()))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, window: int = 200) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of start and end bytes, not merged).
 
     Every byte covered by a string of ``length`` bytes that also starts anywhere else in the table, the same text
@@ -215,29 +233,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows repeated with one id are rows of their own (and remove each other if long enough). An empty table gives an
     empty result; other columns are ignored.
     """
-    if not 1 <= window <= length - Q:
+    if not 1 <= window <= min(length - Q, 1 << 15):
         raise ValueError("window must leave room for the sampled q-gram")
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    shared_dir(spark)
+    small_batches(spark)
     id_field = docs.schema[id_col].dataType.simpleString()
-    base = numbered(docs, F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    ranked = base.select("uid", "text").mapInArrow(_ranked(length, window), "core long, around long, uid long, at long, lo long, hi long, n int")
-    ranked = written(ranked)
-    within = ranked.where("core is null").select("uid", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
-    same = W.partitionBy("core", "around")
-    counted = (
-        ranked.where("core is not null").repartition("core")
-        .withColumn("n_same", F.sum("n").over(same)).withColumn("k", F.row_number().over(same.orderBy("uid", "at")))
-        .withColumn("n_core", F.sum("n").over(W.partitionBy("core")))
-    )
-    active = written(counted.where("n_core > 1").drop("core", "around"))
-    settled = active.where("n_same > 1").select("uid", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
-    edges = active.where("n_same = 1 or (n_same < n_core and k = 1)")
-    marks = edges.groupBy("uid").agg(F.collect_list(F.struct("at", "lo", "hi", F.when(F.col("n_same") == 1, 1).otherwise(0).cast("long").alias("own"))).alias("marks"))
-    packed = base.mapInArrow(_packed, f"uid long, packed binary, id {id_field}")
-    strings = packed.select("uid", "packed").join(marks.hint("shuffle_hash"), "uid").mapInArrow(_strings(length, window), "h long, uid long, place long")
-    twice = strings.withColumn("n", F.count("*").over(W.partitionBy("h"))).where("n > 1 and place % 2 = 1")
-    singles = twice.select("uid", F.expr("place div 2").alias("start"), (F.expr("place div 2") + length).alias("end"))
+    text = F.col(text_col)
+    base = docs.select(row_key(F.col(id_col), text).alias("uid"), text.alias("text"), F.col(id_col).alias("id"))
+    ranked = base.select("uid", "text").mapInArrow(_ranked(length, window), "rank long, next long, around long, uid long, place long, n int")
+
+    pairs = ranked_again(ranked.where("n > 0"), ["rank", "next"]).select("rank", "next", "order", F.col("same").alias("n_first"))
+    # settled spans are positions without a pair
+    met = ranked.join(pairs, ["rank", "next"], "left").where("n = 0 or order is not null")
+    active = written(met.select("order", "around", "uid", "place", "n", "n_first", F.when(F.col("n") == 0, F.col("next")).alias("start")))
+    within = active.where("n = 0").select("uid", "start", F.col("around").alias("end"))
+    active = active.where("n > 0").drop("start")
+
+    pairs = ranked_again(active, ["order", "around"]).select("order", "around", "same", "head")
+    met = active.join(pairs, ["order", "around"], "left")
+    at, first_start, last_start = F.expr("shiftright(place, 32)"), F.expr("shiftright(place, 16) & 65535"), F.expr("place & 65535")
+    settled = met.where("same > 1").select("uid", (at - first_start).alias("start"), (at - last_start + length).alias("end"))
+    witness = F.coalesce((F.col("same") < F.col("n_first")) & (F.col("head") == F.struct("uid", "place")), F.lit(False))
+    edges = met.where(F.col("same").isNull() | witness)
+    marks = edges.groupBy("uid").agg(F.collect_list(F.struct("place", F.when(F.col("same").isNull(), 1).otherwise(0).cast("long").alias("own"))).alias("marks"))
+    # texts move once: all joins ask for the same columns and rows by the same key, so one exchange serves them
+    packed = base.mapInArrow(_packed, f"uid long, packed binary, id {id_field}").where("uid is not null")
+    strings = packed.join(marks.hint("shuffle_hash"), "uid").mapInArrow(_strings(length, window), "h long, uid long, place long")
+    twice = strings.groupBy(F.col("h").alias("_h")).agg(F.count("*").alias("n")).where("n > 1").select("_h")
+    singles = strings.where("place % 2 = 1").join(twice, F.col("h") == F.col("_h")).select("uid", F.expr("place div 2").alias("start"), (F.expr("place div 2") + length).alias("end"))
     spans = within.unionByName(settled).unionByName(singles).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = packed.join(spans, "uid", "left").select("uid", "packed", "id", "spans")
+    joined = packed.join(spans.hint("shuffle_hash"), "uid", "left").select("uid", "packed", "id", "spans")
     span_type = "array<struct<start:bigint,end:bigint>>"
     return joined.mapInArrow(_cut(), f"id {id_field}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {span_type}").withColumnRenamed("id", id_col)
