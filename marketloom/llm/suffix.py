@@ -7,15 +7,18 @@ twice the length, and so on until a position's rank is its own or the length is
   bytes is the place of the smallest q-gram hash among its first ``window`` q-grams (the leftmost of equal ones). It
   depends on the string only, so two equal strings have their samples at the same offset, and consecutive strings share
   them: about 2 / window of all positions are kept.
-* Rank 0 is a 64-bit name (hash) of the first half of what all strings of a sample have in common, their
+* Rank 0 is a 32-bit name (hash) of the first half of what all strings of a sample have in common, their
   ``length - window + 1`` bytes from the sample on.
 * Round one sorts the pairs (rank of the sample, rank at the offset of half that length). Samples with a pair of their
   own drop out: none of their strings occurs twice.
-* Round two sorts the pairs (rank, name of all bytes that the strings of the sample can cover, to both sides), which
-  is past the threshold. Samples that still share a pair are settled: all their strings occur twice.
-* Samples that shared a rank in round one and have their own in round two are next to an edge of a repeat; only their
-  strings are compared one by one, over the whole length. One sample of every rank that is shared by others with the same
-  surroundings takes part as a witness. Nothing pairs documents with each other.
+* Round two groups the pairs (rank, 64-bit name of all bytes that the strings of the sample can cover, to both sides),
+  which is past the threshold. Samples that still share a pair are settled: all their strings occur twice.
+* Samples with the same rank and different surroundings are next to an edge of a repeat. Round three pairs the rank with
+  the name of ``window / 2`` more bytes, to the right and to the left. Strings of the sample that cover those bytes go on
+  only where another surrounding has the same pair; they are compared one by one, by a name of the whole length.
+  One sample stands for all of equal surroundings. Nothing pairs documents with each other.
+
+A wrong match of the 32-bit names only leaves more to compare.
 
 A pair's rank is its place in the order of all pairs that occur twice, found by a range sort; its positions learn it by
 a join. Frequent pairs are counted in the tasks first, and the join's large partitions can be split. Equal surroundings
@@ -82,11 +85,15 @@ def samples(p: Piece, length: int, window: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _ranked(length: int, window: int) -> object:
-    """(uid, text) -> (rank, next, around, uid, place, n): one row for each distinct surrounding in a piece; and, with n = 0, settled
-    spans (from next to around) where a piece holds a surrounding more than once. ``place`` holds the sample's place and how far
-    before it its first and last string start."""
+    """(uid, text) -> (pair, sides, around, uid, place, n): one row for each distinct surrounding in a piece; and, with n = 0, settled
+    spans (from sides to around) where a piece holds a surrounding more than once. ``pair`` holds the rank and the rank at the
+    offset, ``sides`` the names of the bytes to the right and to the left, ``place`` the sample's place and how far before it its
+    first and last string start."""
     first = length - window + 1
-    half = (first + 1) // 2
+    half, side = (first + 1) // 2, window // 2
+
+    def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return x >> U(32) << U(32) | y >> U(32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,12 +103,13 @@ def _ranked(length: int, window: int) -> object:
                 if not len(a):
                     continue
                 start, end = p.offsets[text], p.offsets[text + 1]
-                rank, after = ranges(sums, a, a + half), ranges(sums, a + first - half, a + first)
+                pair = joined(ranges(sums, a, a + half), ranges(sums, a + first - half, a + first))
+                sides = joined(ranges(sums, a + first, np.minimum(a + first + window - side, end)), ranges(sums, np.maximum(a - side, start), a))
                 left, right = np.maximum(a - window + 1, start), np.minimum(a + length, end)
                 around = mixed(ranges(sums, left, right) + ((a - left) * 65537 + (right - a)).astype(np.uint64))
-                by = np.lexsort((around, after, rank))
+                by = np.lexsort((around, pair))
                 same = np.zeros(len(by), bool)
-                same[1:] = (rank[by][1:] == rank[by][:-1]) & (after[by][1:] == after[by][:-1]) & (around[by][1:] == around[by][:-1])
+                same[1:] = (pair[by][1:] == pair[by][:-1]) & (around[by][1:] == around[by][:-1])
                 head = np.flatnonzero(~same)
                 n = np.diff(np.append(head, len(by)))
                 own, base = uid[p.first : p.last][text], start
@@ -120,21 +128,21 @@ def _ranked(length: int, window: int) -> object:
                 none = np.zeros(len(spans), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([signed(rank[one]), spans[:, 0]])),
-                        pa.array(np.concatenate([signed(after[one]), spans[:, 1]])),
+                        pa.array(np.concatenate([signed(pair[one]), spans[:, 0]])),
+                        pa.array(np.concatenate([signed(sides[one]), spans[:, 1]])),
                         pa.array(np.concatenate([signed(around[one]), spans[:, 2]])),
                         pa.array(np.concatenate([own[one], spans[:, 0]])),
                         pa.array(np.concatenate([place, none])),
                         pa.array(np.concatenate([n, none]).astype(np.int32)),
                     ],
-                    ["rank", "next", "around", "uid", "place", "n"],
+                    ["pair", "sides", "around", "uid", "place", "n"],
                 )
 
     return run
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=1)
+    squeeze = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         texts = [squeeze.compress(x.as_buffer()) if x.is_valid else None for x in batch.column(1).cast(pa.large_binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), *batch.columns[2:]], batch.schema.names[:1] + ["packed"] + batch.schema.names[2:])
@@ -155,6 +163,7 @@ def _unpacked(column: pa.Array, groups: int = 1 << 20) -> Iterator[tuple[int, in
 
 def _strings(length: int, window: int) -> object:
     """(uid, packed, id, marks) -> (h, uid, place): the strings of edge samples, named over the whole length; place is twice the start, and one more for a sample's own."""
+    side = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,19 +173,21 @@ def _strings(length: int, window: int) -> object:
                 part = marks.slice(i, j - i)
                 m = part.flatten()
                 text = np.repeat(np.arange(j - i), np.diff(part.offsets.to_numpy()))
-                place, own = m.field(0).to_numpy(), m.field(1).to_numpy()
+                place, own, near, far = (m.field(x).to_numpy(zero_copy_only=False) for x in range(4))
                 at = place >> 32
                 lo, hi = at - (place >> 16 & 65535), at - (place & 65535)
                 base, end = p.offsets[text], p.offsets[text + 1]
-                # a witness shows all strings of its surroundings
-                lo = np.where(own == 1, lo, np.maximum(at - window + 1, 0)) + base
-                hi = np.where(own == 1, hi + base, np.minimum(at + base, end - length))
+                # one sample stands for all strings of equal surroundings
+                lo = np.where(own, lo, np.maximum(at - window + 1, 0))
+                hi = np.where(own, hi, np.minimum(at, end - base - length))
+                lo = np.where(far, lo, np.maximum(lo, at - side + 1)) + base
+                hi = np.where(near, hi, np.minimum(hi, at - side)) + base
                 n = np.maximum(hi - lo + 1, 0)
                 row = np.repeat(np.arange(len(n)), n)
                 start = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 h = mixed(ranges(sums, start, start + length) + ((at + base)[row] - start).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(h)), pa.array(uid[i:j][text[row]]), pa.array((start - base[row]) * 2 + own[row])], ["h", "uid", "place"]
+                    [pa.array(signed(h)), pa.array(uid[i:j][text[row]]), pa.array((start - base[row]) * 2 + own[row].astype(np.int64))], ["h", "uid", "place"]
                 )
 
     return run
@@ -218,14 +229,7 @@ def _cut() -> object:
     return run
 
 
-def ranked_again(rows: DataFrame, pair: list[str]) -> DataFrame:
-    """(pair, order, same, head): of the pairs that several positions share, their place in the order of all such pairs,
-    the number of positions and one of these."""
-    pairs = rows.groupBy(*pair).agg(F.sum("n").alias("same"), F.min(F.struct("uid", "place")).alias("head")).where("same > 1")
-    return written(pairs.repartitionByRange(*pair).sortWithinPartitions(*pair).withColumn("order", F.monotonically_increasing_id()))
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, window: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, window: int = 160) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of start and end bytes, not merged).
 
     Every byte covered by a string of ``length`` bytes that also starts anywhere else in the table, the same text
@@ -241,22 +245,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id_field = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col)
     base = docs.select(row_key(F.col(id_col), text).alias("uid"), text.alias("text"), F.col(id_col).alias("id"))
-    ranked = base.select("uid", "text").mapInArrow(_ranked(length, window), "rank long, next long, around long, uid long, place long, n int")
+    ranked = base.select("uid", "text").mapInArrow(_ranked(length, window), "pair long, sides long, around long, uid long, place long, n int")
 
-    pairs = ranked_again(ranked.where("n > 0"), ["rank", "next"]).select("rank", "next", "order", F.col("same").alias("n_first"))
-    # settled spans are positions without a pair
-    met = ranked.join(pairs, ["rank", "next"], "left").where("n = 0 or order is not null")
-    active = written(met.select("order", "around", "uid", "place", "n", "n_first", F.when(F.col("n") == 0, F.col("next")).alias("start")))
-    within = active.where("n = 0").select("uid", "start", F.col("around").alias("end"))
-    active = active.where("n > 0").drop("start")
+    # the rank of a pair: its place in the order of all pairs that several positions have
+    pairs = ranked.where("n > 0").groupBy("pair").agg(F.sum("n").alias("n")).where("n > 1").select("pair")
+    pairs = written(pairs.repartitionByRange("pair").sortWithinPartitions("pair").withColumn("rank", F.monotonically_increasing_id()))
+    active = written(ranked.join(pairs, "pair", "left").where("n = 0 or rank is not null").drop("pair"))
+    within = active.where("n = 0").select("uid", F.col("sides").alias("start"), F.col("around").alias("end"))
+    active = active.where("n > 0")
 
-    pairs = ranked_again(active, ["order", "around"]).select("order", "around", "same", "head")
-    met = active.join(pairs, ["order", "around"], "left")
+    same = active.groupBy("rank", "around").agg(F.sum("n").alias("same"), F.min(F.struct("uid", "place", "sides")).alias("head"))
+    same = written(same.select("rank", "around", "same", "head.uid", "head.place", F.expr("shiftright(head.sides, 32)").alias("right"), F.expr("head.sides & 4294967295").alias("left")))
     at, first_start, last_start = F.expr("shiftright(place, 32)"), F.expr("shiftright(place, 16) & 65535"), F.expr("place & 65535")
-    settled = met.where("same > 1").select("uid", (at - first_start).alias("start"), (at - last_start + length).alias("end"))
-    witness = F.coalesce((F.col("same") < F.col("n_first")) & (F.col("head") == F.struct("uid", "place")), F.lit(False))
-    edges = met.where(F.col("same").isNull() | witness)
-    marks = edges.groupBy("uid").agg(F.collect_list(F.struct("place", F.when(F.col("same").isNull(), 1).otherwise(0).cast("long").alias("own"))).alias("marks"))
+    settled = active.join(same.where("same > 1").select("rank", "around"), ["rank", "around"]).select("uid", (at - first_start).alias("start"), (at - last_start + length).alias("end"))
+    edges = same.select("rank", "same", "uid", "place", "right", "left")
+    for side, mark in (("right", "near"), ("left", "far")):
+        shared = same.groupBy("rank", side).agg(F.count("*").alias("k")).where("k > 1").select("rank", side, F.lit(True).alias(mark))
+        edges = edges.join(shared, ["rank", side], "left").withColumn(mark, F.coalesce(mark, F.lit(False)))
+    mark = F.struct("place", (F.col("same") == 1).alias("own"), "near", "far")
+    marks = edges.where("near or far").groupBy("uid").agg(F.collect_list(mark).alias("marks"))
     # texts move once: all joins ask for the same columns and rows by the same key, so one exchange serves them
     packed = base.mapInArrow(_packed, f"uid long, packed binary, id {id_field}").where("uid is not null")
     strings = packed.join(marks.hint("shuffle_hash"), "uid").mapInArrow(_strings(length, window), "h long, uid long, place long")
