@@ -1,8 +1,11 @@
 """Language identification: words first, backing off to ever shorter character n-grams.
 
-Training counts every word of every training text by language, then the character n-grams of the counted words. Words
-whose share of all training words is at least ``word_share`` are known; an n-gram is known from the share
-``gram_share`` of its order on. At most 1 / share keys can reach a share, so what scoring receives has a fixed bound.
+Training counts every word of every training text by language, then the character n-grams of the counted words. A word is
+known if it is seen twice and its share of the words of any one language is high enough; so is an n-gram among those of its
+order. With L languages the share is L / ``words`` (L / ``grams``): each language has room for as many frequent keys as any
+other, a rare language too, and at most ``words`` words and ``grams`` n-grams of each order can reach it. Both numbers shrink where
+there are so many languages that the tables would have more than ``cells`` cells, so what scoring receives has a fixed bound.
+Words that are not known are not lost: they back off.
 
 A known word adds its smoothed log frequency in each language. An unseen word backs off: the longest order at which
 any of its n-grams is known scores it, by the mean log frequency of those n-grams.
@@ -114,44 +117,50 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _table(rows: list, langs: list[str], key: str) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and their counts by language, of rows (key, [(lang, n), ...])."""
-    place = {x: i for i, x in enumerate(langs)}
-    out = np.zeros((len(rows), len(langs)))
-    for i, r in enumerate(rows):
-        for lang, n in r["by"]:
-            out[i, place[lang]] = n
-    return [r[key] for r in rows], out
+def _frequent(counts: DataFrame, keys: list[str], langs: list[str], least: list[Column]) -> tuple[pa.Table, np.ndarray]:
+    """The keys of ``counts`` (keys, lang, n) seen twice or more, and in some language as often as ``least`` says; with their counts by language."""
+    by = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)]
+    wide = counts.groupBy(*keys).agg(F.sum("n").alias("all"), *by)
+    often = F.lit(False)
+    for i, x in enumerate(least):
+        often = often | (F.col(f"n{i}") >= x)
+    got = wide.where(often & (F.col("all") >= 2)).drop("all").toArrow()
+    return got.select(keys), np.stack([got.column(f"n{i}").to_numpy() for i in range(len(langs))], 1).astype(np.float32)
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", word_share: float = 2.0**-20, gram_share: float = 2.0**-17, smooth: float = 0.5) -> Model:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", words: int = 1 << 20, grams: int = 1 << 17, cells: int = 1 << 24, smooth: float = 0.5) -> Model:
     """A model of all rows with a language; null texts count as empty. With no such row the model knows no language."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.lower(F.col(text_col)).alias("text"))
-    words = written(rows.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    counted = written(rows.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
     if not langs:
         return Model([], np.zeros(0), np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros(0, np.uint64), np.zeros((0, 0)))
     n_l = np.array([totals[x] for x in langs], float)
-    by = F.collect_list(F.struct("lang", "n")).alias("by")
-    known = words.groupBy("word").agg(F.sum("n").alias("all"), by).where(F.col("all") >= max(2.0, word_share * n_l.sum())).select("word", "by").collect()
-    names, counts = _table(known, langs, "word")
-    p = pa.array(names, pa.string())
-    keys = np.concatenate([ranges(x.sums(), x.offsets[:-1], x.offsets[1:]) for x in pieces(p)]) if len(names) else np.zeros(0, np.uint64)
-    word_logs = np.log((counts + smooth) / (n_l + smooth * max(1, len(keys))))
-    grams = words.mapInArrow(_count_grams, "lang string, ord int, gram long, n long").groupBy("ord", "gram", "lang").agg(F.sum("n").alias("n"))
-    grams = written(grams.groupBy("ord", "gram").agg(F.sum("n").alias("all"), by))
-    sums = grams.groupBy("ord").agg(F.sum("all").alias("total"))
-    kept = grams.join(F.broadcast(sums), "ord").where(F.col("all") >= F.greatest(F.lit(2.0), F.col("total") * gram_share)).select("ord", "gram", "by").collect()
-    gram_keys, gram_counts = _table(kept, langs, "gram")
-    order = np.array([r["ord"] for r in kept], int)
-    gram_logs = np.zeros(gram_counts.shape)
+    share = len(langs) / min(words, max(1, cells // len(langs)))
+    known, counts = _frequent(counted, ["word"], langs, [F.lit(share * x) for x in n_l.tolist()])
+    names = known.column("word").combine_chunks()
+    keys = np.concatenate([ranges(x.sums(), x.offsets[:-1], x.offsets[1:]) for x in pieces(names)]) if len(names) else np.zeros(0, np.uint64)
+    word_logs = np.log((counts + smooth) / (n_l + smooth * max(1, len(keys)))).astype(np.float32)
+    of_order = written(counted.mapInArrow(_count_grams, "lang string, ord int, gram long, n long").groupBy("ord", "gram", "lang").agg(F.sum("n").alias("n")))
+    share = len(langs) / min(grams, max(1, cells // len(langs)))
+    sums = {(r["ord"], r["lang"]): r["n"] for r in of_order.groupBy("ord", "lang").agg(F.sum("n").alias("n")).collect()}
+    least = []
+    for x in langs:
+        at = F.lit(float("inf"))
+        for k in ORDERS:
+            at = F.when(F.col("ord") == k, F.lit(share * sums.get((k, x), 0.0))).otherwise(at)
+        # a language without such n-grams has none to know
+        least.append(F.greatest(at, F.lit(1.0)))
+    kept, gram_counts = _frequent(of_order, ["ord", "gram"], langs, least)
+    order = kept.column("ord").to_numpy()
+    gram_logs = np.zeros(gram_counts.shape, np.float32)
     for k in set(order.tolist()):
         m = order == k
-        gram_logs[m] = np.log((gram_counts[m] + smooth) / (gram_counts[m].sum(0) + smooth * m.sum()))
-    return Model(langs, np.log((n_l + 1) / (n_l + 1).sum()), keys, word_logs, unsigned(np.array(gram_keys, np.int64)), gram_logs)
+        gram_logs[m] = np.log((gram_counts[m] + smooth) / (gram_counts[m].sum(0, dtype=float) + smooth * m.sum()))
+    return Model(langs, np.log((n_l + 1) / (n_l + 1).sum()), keys, word_logs, unsigned(kept.column("gram").to_numpy()), gram_logs)
 
 
 def _score_piece(p: Piece, model: Model) -> tuple[np.ndarray, np.ndarray]:
