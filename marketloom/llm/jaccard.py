@@ -16,7 +16,7 @@ d <= eps, the steps are:
 5. Regions with many open sets are divided anew: pivots spread over the region make Voronoi cells, and a set goes to
    its nearest pivot's cell and, as a boundary set, to every cell whose pivot is at most 2 eps farther. Every linked
    pair meets in the cell of either set's nearest pivot. Small regions are joined within a task, exactly; regions that
-   pivots cannot divide are joined block by block.
+   pivots cannot divide are cut into slices, and every two slices are joined in a block of at most twice that size.
 
 The links are a spanning part of all links: two sets are connected by them if and only if they are by all links.
 """
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import numbered, shared_dir, small_batches, written
+from .common import row_key, shared_dir, small_batches, written
 from .tokens import U, mixed, pieces, ranges, signed
 
 
@@ -86,9 +86,9 @@ def _sets(width: int, percent: int) -> object:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(n, pa.int64()), pa.array(need, pa.int32()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(sizes), pa.array(values)),
+                    pa.ListArray.from_arrays(pa.array(sizes), pa.array(values)), batch.column(2),
                 ],
-                ["uid", "n", "need", "one", "two", "heads"],
+                ["uid", "n", "need", "one", "two", "heads", "id"],
             )
 
     return run
@@ -191,7 +191,8 @@ def _local(width: int, percent: int) -> object:
 
 def components(links: DataFrame) -> DataFrame:
     """(uid, root): the smallest uid connected with each uid of the links (a, b)."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("way")
+    both = written(links.where("a <> b").select(ways).select("way.*").distinct())
     label = both.groupBy(F.col("a").alias("uid")).agg(F.least(F.min("b"), F.first("a")).alias("root")).checkpoint()
     while True:
         near = both.join(label.withColumnRenamed("uid", "b"), "b").groupBy(F.col("a").alias("uid")).agg(F.min("root").alias("near"))
@@ -218,8 +219,10 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared_dir(spark)
     small_batches(spark)
     eps = 1 - percent / 100
-    base = numbered(docs, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = written(base.select("uid", "text").mapInArrow(_sets(width, percent), "uid long, n long, need int, one long, two long, heads array<long>"))
+    id_type = docs.schema[id_col].dataType.simpleString()
+    # a row is known by a hash of its id and text, alike in every pass; rows equal in both are one in what follows
+    base = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("uid"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    sets = written(base.mapInArrow(_sets(width, percent), f"uid long, n long, need int, one long, two long, heads array<long>, id {id_type}"))
     key = ["n", "one", "two"]
     reps = sets.where("n > 0").groupBy(*key).agg(F.min_by(F.struct("need", "heads"), "uid").alias("s"), F.min("uid").alias("rep"))
     reps = written(reps.select(*key, "rep", "s.need", "s.heads"))
@@ -241,7 +244,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     region = written(cell.join(centres, ["h", "b"]).where("rep <> pivot").select("pivot", F.col("rep").alias("uid")).distinct())
 
     texts = base.select("uid", "text").mapInArrow(_pack, "uid long, packed binary")
-    texts = written(texts.join(alive.select(F.col("rep").alias("uid")), "uid"))
+    texts = written(texts.join(alive.select(F.col("rep").alias("uid")), "uid").groupBy("uid").agg(F.first("packed").alias("packed")))
 
     def measured(rows: DataFrame) -> DataFrame:
         """rows (region, uid, pivot) with the distance of uid to pivot."""
@@ -255,7 +258,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def still_open(rows: DataFrame) -> DataFrame:
         """(region, uid, ball): sets outside the ball, and the ball's part within their window."""
         least = rows.where("not linked").groupBy("region").agg(F.min("d").alias("least"), F.count("*").alias("out"))
-        rows = rows.join(least, "region").where(f"not linked or d >= least - {eps + 1e-9}")
+        # written, so that what is counted by region next is combined before it moves
+        rows = written(rows.join(least, "region").where(f"not linked or d >= least - {eps + 1e-9}").select("region", "uid", "linked"))
         many = rows.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
         return rows.join(many, "region").select("region", "uid", F.when(F.col("linked"), F.col("region")).otherwise(-1).alias("home"), "size")
 
@@ -279,11 +283,11 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         cells = cells.join(sizes, "region").where("size > 1 and out > 0").select("region", "uid", "home", "size")
         open_ = written(open_.where(F.col("size") <= local_sets).unionByName(cells))
-    # a region that is still large is met block by block: each block of its sets with all sets outside the ball
+    # a region that is still large is cut into slices of at most about ``local_sets`` sets; every two slices meet in a block
     slices = F.ceil(F.col("size") / local_sets).cast("int")
     mine = F.pmod(F.xxhash64("uid"), slices).cast("int")
-    everywhere = F.when((F.col("size") > local_sets) & (F.col("home") < 0), F.sequence(F.lit(0), slices - 1)).otherwise(F.array(mine))
-    open_ = open_.select(F.explode(everywhere).alias("block"), "region", "uid", "home")
+    with_each = F.transform(F.sequence(F.lit(0), slices - 1), lambda other: F.least(mine, other) * slices + F.greatest(mine, other))
+    open_ = open_.select(F.explode(F.when(slices > 2, with_each).otherwise(F.array(F.lit(0)))).alias("block"), "region", "uid", "home")
     fed = open_.join(texts, "uid").select("region", "block", "uid", "packed", F.when(F.col("home") >= 0, F.col("home") + 1).otherwise(0).alias("ball"))
     found.append(fed.groupBy("region", "block").applyInPandas(_local(width, percent), "a long, b long"))
     all_links = found[0]
@@ -291,9 +295,9 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         all_links = all_links.union(x)
     roots = components(all_links)
 
-    placed = sets.join(reps.select(*key, "rep"), key, "left").select("uid", "n", F.coalesce("rep", "uid").alias("rep"))
-    placed = placed.join(roots.withColumnRenamed("uid", "rep"), "rep", "left").select("uid", "n", "rep", F.coalesce("root", "rep").alias("root"))
-    rows = placed.join(base.select("uid", "id"), "uid")
+    placed = sets.join(reps.select(*key, "rep"), key, "left").select("id", "n", F.coalesce("rep", "uid").alias("rep"))
+    placed = placed.join(roots.withColumnRenamed("uid", "rep"), "rep", "left").select("id", "n", "rep", F.coalesce("root", "rep").alias("root"))
+    rows = placed
     # the smallest id of each set and component, by two aggregations that combine before they move
     names = rows.groupBy("root").agg(F.min("id").alias("component_id"))
     own = rows.groupBy(F.col("rep").alias("s")).agg(F.min("id").alias("set_id"))
