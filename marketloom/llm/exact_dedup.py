@@ -1,9 +1,10 @@
 """Exact duplicates by a tree-merge of sorted digest runs, in DataFrame operations only.
 
 Every row gets a digest of its normalised text and a run number. A run holds its distinct digests in order, each with
-its smallest identifier and its row count. Runs then merge in rounds, ``fan_in`` at a time: in round r the runs whose
-numbers agree after dropping r digits of base ``fan_in`` meet, digest by digest, and keep the smallest identifier.
-After the last round one entry per digest is left. The entries of groups with more than one row then travel the same
+its smallest identifier and its row count; it is a sorted sequence of partitions, dealt out by ranges of (run, digest), so
+that no run has to fit a task. Runs then merge in rounds, ``fan_in`` at a time: in round r the runs whose numbers agree
+after dropping r digits of base ``fan_in`` are sorted into one, where equal digests are neighbours and the smallest
+identifier stays. After the last round one entry per digest is left. The entries of groups with more than one row then travel the same
 tree downwards, so that a digest held by a third of all rows reaches them through its runs, a few hundred rows at a
 time, and never through one task.
 
@@ -17,6 +18,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import SPACE_RUN, written
 
@@ -39,6 +41,20 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def sorted_runs(entries: DataFrame) -> DataFrame:
+    """The entries (_run, digest, _min, _n) as sorted runs: ranges of (run, digest) in order, in order within."""
+    return entries.repartitionByRange("_run", *KEY).sortWithinPartitions("_run", *KEY, F.col("_min").asc_nulls_last())
+
+
+def merged(runs: DataFrame) -> DataFrame:
+    """Of equal digests in a sorted run, which are neighbours, the one with the smallest identifier, with the rows of all."""
+    equal = W.partitionBy("_run", *KEY).orderBy(F.col("_min").asc_nulls_last())
+    return (
+        runs.withColumn("_k", F.row_number().over(equal)).withColumn("_all", F.sum("_n").over(equal.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+        .where("_k = 1").select("_run", *KEY, "_min", F.col("_all").alias("_n"))
+    )
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8, run_rows: int = 250_000) -> DataFrame:
     """Per input row: id, keep_id (smallest id among equal texts), group_size, kept, text_sha256.
 
@@ -51,11 +67,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rounds = max(1, math.ceil(math.log(max(base.count(), 1) / run_rows + 1, fan_in)))
     base = base.withColumn("_run", F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(fan_in**rounds)))
 
-    levels = [base.groupBy("_run", *KEY).agg(F.min("_id").alias("_min"), F.count("*").alias("_n"))]
+    levels = [sorted_runs(base.groupBy("_run", *KEY).agg(F.min("_id").alias("_min"), F.count("*").alias("_n")))]
     for _ in range(rounds):
-        up = levels[-1].withColumn("_run", F.expr(f"_run div {fan_in}"))
-        # each merged run is kept sorted by digest, as the rounds after it expect
-        levels.append(up.groupBy("_run", *KEY).agg(F.min("_min").alias("_min"), F.sum("_n").alias("_n")))
+        levels.append(merged(sorted_runs(levels[-1].withColumn("_run", F.expr(f"_run div {fan_in}")))))
 
     known = levels[-1].where(F.col("_n") > 1)
     for level in reversed(levels[:-1]):
