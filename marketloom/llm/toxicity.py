@@ -186,7 +186,7 @@ def label_model(bits: np.ndarray, n: np.ndarray, known: np.ndarray, voters: int,
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_keys: int = 2000, voters: int = 16, min_texts: int = 5, min_share: float = 0.6, min_deviation: float = 6.0, fit_rows: int = 40_000) -> Model:
     """A model of all rows of ``docs``. Those without a label 0 or 1 in ``labels`` are unlabelled; of several labels of
-    one id the largest counts. ``fit_rows`` bounds the sample of the linear classifier (chosen by hash of the text),
+    one id the largest counts. ``fit_rows`` bounds the sample of the linear classifier (chosen by hash of id and text),
     ``max_keys`` the lexicon.
 
     Texts move once, to meet their labels; the same join is asked for at every size, so that the plan does not change
@@ -209,18 +209,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     keys = Keys(unsigned(np.array([r["key"] for r in chosen], np.int64)), np.arange(len(chosen)) * voters // max(len(chosen), 1), voters)
     shared = spark.sparkContext.broadcast(keys)
     id_type = rows.schema["id"].dataType.simpleString()
+    # at most 2 ** (voters + 1) patterns
     seen = rows.select("text", "id").mapInArrow(_patterns(shared, False), f"bits long, id {id_type}").join(known, "id", "left")
     one = lambda c: F.count_if(F.col("toxic") == c)
-    table = seen.groupBy("bits").agg(F.count("*").alias("n"), one(0).alias("zero"), one(1).alias("one")).orderBy(F.desc("n"), "bits").limit(1 << 16).collect()
+    table = seen.groupBy("bits").agg(F.count("*").alias("n"), one(0).alias("zero"), one(1).alias("one")).collect()
     bits = np.array([r["bits"] for r in table], np.int64)
     if not len(bits) or not n1:
         return Model(keys, np.zeros(len(chosen)), -4.0, 0.0)
     post = label_model(bits, np.array([r["n"] for r in table], float), np.array([[r["zero"], r["one"]] for r in table], float), voters + 1)
     label = dict(zip(bits.tolist(), post.tolist(), strict=True))
 
-    # the linear classifier, on a bounded sample; texts in which something fires are kept twice as often
+    # the linear classifier, on a bounded sample of rows; equal texts with different ids come in one by one
     share = min(1.0, fit_rows / max(everything, 1))
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(53)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = rows.where(F.pmod(F.xxhash64("id", "text", F.lit(53)), F.lit(1 << 30)) < int(share * (1 << 30)))
     got = sample.select("text").mapInArrow(_patterns(shared, True), "bits long, keys array<int>").toPandas()
     y = np.array([label.get(b, 0.0) for b in got["bits"]])
     k = got["keys"].map(len).to_numpy()
