@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm import decontaminate, exact_dedup, jaccard, language, mixing
-from marketloom.llm.common import held_out, read, written
+from marketloom.llm.common import held_out, numbered, read, written
 
 #: Least posterior of the predicted language for a document to stay.
 LEAST_SCORE = 0.5
@@ -27,8 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame], group: Column) -> DataFrame:
-    """Of the rows of ``docs`` that share a ``group`` in groups(docs), whose doc_id is a written row number, the one with the smallest id (null last) and number."""
-    numbers = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    """Of the rows of ``docs`` that share a ``group`` in groups(docs), whose doc_id is a row number, the one with the smallest id (null last) and number."""
+    numbers = numbered(docs, "_row")
     found = groups(numbers.withColumn("doc_id", F.col("_row"))).select(F.col("doc_id").alias("_row"), group.alias("_group"))
     ids = numbers.select("_row", F.col("doc_id").alias("_id"))
     first = found.join(ids, "_row").groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("first"))

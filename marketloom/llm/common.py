@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,11 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back: lineage is cut, lost executors cost nothing."""
+    """``df`` written once as Parquet to the shared folder and read back: lineage is cut, lost executors cost nothing.
+
+    Spark drops the shuffle files of a finished job when the driver's garbage is collected; that is asked for here, as
+    otherwise the disks would fill with the shuffles of all steps of an operator.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/marketloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a frame that ``written`` has returned, when nothing will read it any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remainder(id_col: Column, divisor: int) -> Column:
@@ -64,7 +80,12 @@ def row_key(*columns: Column) -> Column:
     return F.xxhash64(*columns, *[c.isNull() for c in columns])
 
 
-def numbered(df: DataFrame, *columns: Column) -> DataFrame:
-    """``columns`` of ``df`` with uid, a number of each row. The rows are written with their numbers, as another pass over the
-    same input may split it otherwise and number it anew."""
-    return written(df.select(*columns).withColumn("uid", F.monotonically_increasing_id()))
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the column ``name``, a number of each row that is the same in every pass.
+
+    A row of a Parquet table is known by a hash of its file and its place in it, however the table is split into tasks.
+    Anything but a plain table is written first.
+    """
+    if df._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        df = written(df)
+    return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))

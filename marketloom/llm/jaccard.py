@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import row_key, shared_dir, small_batches, written
+from .common import discard, row_key, shared_dir, small_batches, written
 from .tokens import U, mixed, pieces, ranges, signed
 
 
@@ -69,7 +69,9 @@ def shared_needed(n: int, percent: int) -> int:
     return max(1, prefix_length(n, percent) // 2)
 
 
-def _sets(width: int, percent: int) -> object:
+def _sets(width: int, percent: int, with_heads: bool) -> object:
+    """(uid, text, id) -> (uid, heads), or what else is to be known of the set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, need, one, two, heads = [], [], [], [], []
@@ -78,17 +80,22 @@ def _sets(width: int, percent: int) -> object:
                 n.append(k)
                 least = -((percent * k) // -100)
                 need.append(shared_needed(least, percent) if k else 0)
-                heads.append(signed(s[: prefix_length(k, percent) - 1 + shared_needed(k, percent)] if k else s))
+                if with_heads:
+                    heads.append(signed(s[: prefix_length(k, percent) - 1 + shared_needed(k, percent)] if k else s))
+                    continue
                 one.append(int(mixed(s).sum(dtype=np.uint64)) if k else 0)
                 two.append(int(np.bitwise_xor.reduce(mixed(s + U(0x632BE59BD9B4E019)))) if k else 0)
             sizes = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             values = np.concatenate(heads) if heads else np.zeros(0, np.int64)
+            if with_heads:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(sizes), pa.array(values))], ["uid", "heads"])
+                continue
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(n, pa.int64()), pa.array(need, pa.int32()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(sizes), pa.array(values)), batch.column(2),
+                    batch.column(0), pa.array(n, pa.int64()), pa.array(need, pa.int32()), pa.array(np.array(one, np.uint64).view(np.int64)),
+                    pa.array(np.array(two, np.uint64).view(np.int64)), batch.column(2),
                 ],
-                ["uid", "n", "need", "one", "two", "heads", "id"],
+                ["uid", "n", "need", "one", "two", "id"],
             )
 
     return run
@@ -222,21 +229,24 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = docs.schema[id_col].dataType.simpleString()
     # a row is known by a hash of its id and text, alike in every pass; rows equal in both are one in what follows
     base = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("uid"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    sets = written(base.mapInArrow(_sets(width, percent), f"uid long, n long, need int, one long, two long, heads array<long>, id {id_type}"))
+    sets = written(base.mapInArrow(_sets(width, percent, False), f"uid long, n long, need int, one long, two long, id {id_type}"))
     key = ["n", "one", "two"]
-    reps = sets.where("n > 0").groupBy(*key).agg(F.min_by(F.struct("need", "heads"), "uid").alias("s"), F.min("uid").alias("rep"))
-    reps = written(reps.select(*key, "rep", "s.need", "s.heads"))
+    reps = written(sets.where("n > 0").groupBy(*key).agg(F.min("uid").alias("rep"), F.first("need").alias("need")))
+    heads = base.select("uid", "text").mapInArrow(_sets(width, percent, True), "uid long, heads array<long>")
+    # rows equal in id and text give one
+    heads = heads.join(reps.select(F.col("rep").alias("uid")), "uid").groupBy("uid").agg(F.first("heads").alias("heads"))
+    heads = written(heads.select(F.col("uid").alias("rep"), "heads"))
 
     # cells: shingles of the prefixes that another set has too
-    prefix = reps.select("rep", "n", "need", F.posexplode("heads").alias("at", "h"))
+    prefix = heads.select("rep", F.explode("heads").alias("h"))
     shared = prefix.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     met = prefix.join(shared, "h")
-    alive = met.groupBy("rep").agg(
-        F.first("n").alias("n"), F.first("need").alias("need"), F.count("*").alias("k"), F.sum(F.log2("df")).alias("weight"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"),
-    )
+    alive = met.groupBy("rep").agg(F.count("*").alias("k"), F.sum(F.log2("df")).alias("weight"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    alive = alive.join(reps.select("rep", "n", "need"), "rep")
     # of what a linked pair shares, its rarest shingle is not among the need - 1 most frequent of either set
     rare = F.transform(F.slice("hs", F.lit(1), F.col("k").cast("int") - F.col("need") + 1), lambda x: x["h"])
     alive = written(alive.where("k >= need").select("rep", "n", "weight", rare.alias("hs")))
+    discard(heads)
     band = F.floor(F.log("n") / F.lit(-math.log(percent / 100)) + 1e-9)
     cell = alive.select("rep", "n", "weight", band.alias("b"), F.explode("hs").alias("h")).select("rep", "n", "weight", "h", F.explode(F.array("b", F.col("b") + 1)).alias("b"))
     centre = F.max_by("rep", F.struct(F.col("weight") / F.col("n"), -F.col("rep")))
@@ -294,6 +304,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for x in found[1:]:
         all_links = all_links.union(x)
     roots = components(all_links)
+    discard(texts)
 
     placed = sets.join(reps.select(*key, "rep"), key, "left").select("id", "n", F.coalesce("rep", "uid").alias("rep"))
     placed = placed.join(roots.withColumnRenamed("uid", "rep"), "rep", "left").select("id", "n", "rep", F.coalesce("root", "rep").alias("root"))
