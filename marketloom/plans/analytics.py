@@ -64,15 +64,14 @@ def cohort_band_join(spark, d):  # noqa: ANN001, ANN201
 @query("deal_filter", f"{COHORT_SQL} select id, price_eur, cohort_size from deal")
 def deal_filter(spark, d):  # noqa: ANN001, ANN201
     p = pool(spark, d)
-    return C.below_quartile(C.cohort_stats(p, reference(spark, d)), p).select("id", "price_eur", "cohort_size")
+    return C.below_quartile(p, reference(spark, d)).select("id", "price_eur", "cohort_size")
 
 
 @query("top_deals", f"{COHORT_SQL} select id, score, est_profit from scored where country is null or country = 'SK' order by score desc, est_profit desc, id limit 50")
 def top_deals(spark, d):  # noqa: ANN001, ANN201
     p = pool(spark, d)
-    scored = C.flip_opportunities(p, reference(spark, d), D.as_of())
-    rows = scored.join(p.where(P.domestic_only()).select("id"), "id")
-    return rows.orderBy(F.desc("score"), F.desc("est_profit"), "id").limit(50).select("id", "score", "est_profit")
+    scored = C.flip_opportunities(p, reference(spark, d), D.as_of(), ("country",))
+    return scored.where(P.domestic_only()).orderBy(F.desc("score"), F.desc("est_profit"), "id").limit(50).select("id", "score", "est_profit")
 
 
 @query("confidence", "select k, case when c_custkey % 40 >= 20 and k <= 14 then 'high' when c_custkey % 40 >= 10 and k <= 30 then 'medium' else 'low' end as c, count(*) as n from customer, range(0, 40, 7) r(k) group by all")
@@ -116,7 +115,7 @@ def cost_calc(spark, d):  # noqa: ANN001, ANN201
  || case seller_type when 'private' then 'Súkromný predajca' when 'dealer' then 'Predajca' else 'Predajca neznámy' end || '. Inzerát vystavený pred ' || floor(days + 0.5)::bigint || ' dňami.' as text from deal""".replace("else 'Predajca neznámy' end", "else 'Predajca neznámy' end"))
 def explainer(spark, d):  # noqa: ANN001, ANN201
     p = pool(spark, d)
-    rows = C.below_quartile(C.cohort_stats(p, reference(spark, d)), p)
+    rows = C.below_quartile(p, reference(spark, d), ("seller_type", "first_seen_at", "year", "make", "model", "region"))
     days = N.days_between(D.as_of(), F.col("first_seen_at"))
     name = F.concat_ws(" ", F.col("year").cast("string"), "make", "model")
     return rows.select("id", scoring.explainer(F.col("price_eur"), F.col("median"), F.col("cohort_size"), F.col("seller_type"), days, name, F.col("region")).alias("text"))

@@ -65,26 +65,41 @@ def page_outcome(spark, d):  # noqa: ANN001, ANN201
     return D.table(spark, d, "customer").select("c_custkey", S.outcome(k % 3 * 102 + 200, k % 4, k % 5).alias("outcome"))
 
 
-@query("make_model", "with t as (select p_partkey, p_brand, p_type from part) select p_partkey, lower(replace(p_brand, '#', '-')) as make, case when p_type = 'PROMO' then null else lower(p_type) end as model from t")
+MAKE_SQL = "(case p_partkey % 5 when 0 then 'Predám VW Golf 1.6 TDI' when 1 then 'Mercedes C 220' when 2 then 'Ľavé dvere Land Rover Discovery Sport' when 3 then 'Škoda Octavia Combi 2.0' else 'Predám ' || p_brand || ' ' || p_type || ' 2.0 TDI' end)"
+
+
+@query("make_model", """select p_partkey, case p_partkey % 5 when 0 then 'volkswagen' when 1 then 'mercedes-benz' when 2 then 'land-rover' when 3 then 'skoda' else lower(replace(p_brand, '#', '-')) end as make,
+  case p_partkey % 5 when 0 then 'golf' when 1 then null when 2 then 'discovery-sport' when 3 then 'octavia-combi' else case when p_type = 'PROMO' then null else lower(p_type) end end as model from part""")
 def make_model(spark, d):  # noqa: ANN001, ANN201
-    brands = V.brand_table({f"brand-{k}": ["economy", "small", "medium", "standard", "large"] for k in range(26)})
-    rows = D.table(spark, d, "part").select("p_partkey", F.concat(F.lit("Predám "), "p_brand", F.lit(" "), "p_type", F.lit(" 2.0 TDI")).alias("title"))
-    return V.make_model(rows, spark.createDataFrame(brands, "brand_slug string, model_slug string")).select("p_partkey", "make", "model")
+    brands = {f"brand-{k}": ["economy", "small", "medium", "standard", "large"] for k in range(26)}
+    brands |= {"volkswagen": ["golf", "passat"], "mercedes-benz": ["c-class"], "land-rover": ["discovery", "discovery-sport"], "rover": ["75"], "skoda": ["octavia", "octavia-combi"]}
+    rows = D.table(spark, d, "part").select("p_partkey", F.expr(MAKE_SQL).alias("title"))
+    return V.make_model(rows, brands).select("p_partkey", "make", "model")
 
 
-@query("year_label", "select c_custkey, case when c_custkey % 3 = 0 then 1980 + c_custkey % 46 when c_custkey % 3 = 1 then 2000 + c_custkey % 27 when c_custkey % 46 + 1975 >= 1980 then 1975 + c_custkey % 46 end as year from customer")
+@query("year_label", """with t as (select c_custkey, c_custkey % 8 as v, 1980 + c_custkey % 46 as y from customer)
+select c_custkey, case v when 0 then 2000 + c_custkey % 27 when 1 then null when 7 then case when y - 5 >= 1980 then y - 5 end else y end as year from t""")
 def year_label(spark, d):  # noqa: ANN001, ANN201
     k = F.col("c_custkey")
-    text = F.when(k % 3 == 0, F.concat(F.lit("1968cm3, r.v.: "), (k % 46 + 1980).cast("string"))).when(k % 3 == 1, F.concat(F.lit("Rok výroby 12/"), F.lpad((k % 27).cast("string"), 2, "0"), F.lit(", 1968cm3"))).otherwise("bez údajov")
-    title = F.concat(F.lit("Auto "), (k % 46 + 1975).cast("string"))
+    year, two = (k % 46 + 1980).cast("string"), F.lpad((k % 27).cast("string"), 2, "0")
+    texts = [
+        F.concat(F.lit("1968cm3, r.v.: "), (k % 12 + 1).cast("string"), F.lit("/"), two, F.lit(", 1968cm³, 110kW")), F.lit("r.v.: 19/22"), F.concat(F.lit("MODEL "), year), F.concat(F.lit("Peugeot 207, rocnik "), year, F.lit(", hatchback")),
+        F.concat(F.lit("Prvá evidencia "), year), F.concat(F.lit("1. evidencia: 3/"), year), F.concat(F.lit("✅Rok výroby: 5.20."), year), F.lit("servisná prehliadka, Objem: 1984cm³"),
+    ]
+    text = F.get(F.array(*texts), (k % 8).cast("int"))
+    title = F.when(k % 8 == 7, F.concat(F.lit("Auto "), (k % 46 + 1975).cast("string")))
     return D.table(spark, d, "customer").select("c_custkey", V.labelled_year(text, title, D.NEXT_YEAR).cast("long").alias("year"))
 
 
-@query("km_label", "select c_custkey, case when c_custkey % 3 = 0 then 1000 + c_custkey when c_custkey % 3 = 1 then 100000 + c_custkey when c_custkey % 100 > 0 then c_custkey % 100 * 1000 end as km from customer")
+@query("km_label", """select c_custkey, case c_custkey % 7 when 0 then 1000 + c_custkey when 1 then (1 + c_custkey % 100) * 1000 when 2 then 100000 + c_custkey when 3 then 1000 + c_custkey when 4 then 182700 when 5 then null else (1 + c_custkey % 100) * 1000 end as km from customer""")
 def km_label(spark, d):  # noqa: ANN001, ANN201
     k = F.col("c_custkey")
-    text = F.when(k % 3 == 0, F.concat(F.lit("Najazdené: "), (k + 1000).cast("string"), F.lit(" km"))).when(k % 3 == 1, F.concat(F.lit("motor 77 kW, "), F.format_number(k + 100000, 0), F.lit(" km"))).otherwise(F.concat((k % 100).cast("string"), F.lit(" tis km")))
-    return D.table(spark, d, "customer").select("c_custkey", V.odometer(F.replace(text, F.lit(","), F.lit(" "))).alias("km"))
+    plain, few = (k + 1000).cast("string"), (k % 100 + 1).cast("string")
+    texts = [
+        F.concat(F.lit("Najazdené: "), plain, F.lit(" km")), F.concat(F.lit("Rok vyroby - 2018 Najazdenych - "), few, F.lit(" tisic km")), F.concat(F.lit("motor 77 kW ✅ "), F.replace(F.format_number(k + 100000, 0), F.lit(","), F.lit(" ")), F.lit(" km")),
+        F.concat(F.lit("RV:2/2018 KW:140 KM:"), plain, F.lit(" ABS")), F.lit("MOD. ROK 2015 182 700 KM 147 KW"), F.lit("spotreba cca 5.2 lit. /100 km"), F.concat(F.lit("rv. 05/2014, najazdené "), few, F.lit("tis. km")),
+    ]
+    return D.table(spark, d, "customer").select("c_custkey", V.odometer(F.get(F.array(*texts), (k % 7).cast("int"))).alias("km"))
 
 
 @query("locality", "select n_nationkey, case when n_nationkey % 4 = 0 then 'Nemecko' else n_name end as locality, n_nationkey % 4 = 0 as abroad from nation")

@@ -88,22 +88,44 @@ def test_days_to_sell_needs_five_sales(spark):
     assert N.weekly_snapshot(df.where("id < 14"), week, 2026).first().days_to_sell is None
 
 
-@pytest.mark.parametrize(("text", "title", "year"), [("r.v.: 12/22, 1968cm³", None, 2022), ("Rok výroby 2015/6", "x 1999", 2015), ("nič", "Auto 2011", 2011), ("rok 1968", None, None), ("R.V. 5.6.2019", None, 2019)])
+@pytest.mark.parametrize(
+    ("text", "title", "year"),
+    [
+        ("r.v.: 12/22, 1968cm³", None, 2022), ("nič", "Auto 2011", 2011), ("rok 1968", None, None), ("R.V. 5.6.2019", None, 2019), ("r.v.: 3/19", None, 2019), ("r.v.: 05/98", None, 1998),
+        ("r.v.: 12/22, 1968cm³, 110kW (150PS), Automat", None, 2022), ("Objem: 1984cm³", None, None), ("Objem: 2000cm³", None, None), ("Rok výroby: 10/2018", None, 2018), ("MODEL 2020", None, 2020),
+        ("r.v.: 19/22", None, None), ("r.v 2022/4 s nájazdom 157800km", None, 2022), ("✅️r.v: 2023/3", None, 2023), ("✅Rok výroby: 5.2.2021", None, 2021), ("✅Rok výroby:18.1.2023", None, 2023),
+        ("DSG automat 7st.,r.v11/2022, Diesel", None, 2022), ("✅️PRVÁ registrácia 06/2024, ✅️NÁJAZD 147 765 km.", None, 2024), ("Rok výroby: 12.11.1998", None, 1998), ("Rok výroby: 5.20.2021", None, 2021),
+        ("R.v 2013, najazdené 247tis km", None, 2013), ("Manualna 5stupnova prevodovka, rv. 2013", None, 2013), ("Renault Master,2.5dci,rv2004,naj.146tis", None, 2004), ("rv.6/2015 avantgarde vybava", None, 2015),
+        ("r. v. 2019 – spoľahlivé kombi", None, 2019), ("Technické údaje r. v. : 05/17, 3956cm³", None, 2017), ("Peugeot 207, rocnik 2011, karoseria hatchback", None, 2011), ("ročník 2011", None, 2011),
+        ("servisná prehliadka po 2000 km", None, None), ("rezervné koleso, výbava 2000 W audio", None, None), ("Prvá evidencia 2015", None, 2015), ("1. evidencia: 3/2014", None, 2014), (None, None, None),
+    ],
+)
 def test_labelled_years(spark, text, title, year):
     df = spark.createDataFrame([(text, title)], "t string, h string")
     assert df.select(V.labelled_year(F.col("t"), F.col("h"), 2026)).first()[0] == year
 
 
-@pytest.mark.parametrize(("text", "km"), [("Najazdené: 125 000 km", 125000), ("motor 77 kW 100 005 km", 100005), ("190 tis. km", 190000), ("5 km", None), (None, None)])
+@pytest.mark.parametrize(
+    ("text", "km"),
+    [
+        ("Najazdené: 125 000 km", 125000), ("motor 77 kW 100 005 km", 100005), ("190 tis. km", 190000), ("5 km", None), (None, None), ("Rok vyroby 2016 Najazdenych 116 tis km - zmluvne garantované", 116000),
+        ("rv. 05/2014, najazdené 225tis. km", 225000), ("Rok vyroby - 2018 Najazdenych - 42 tisic km", 42000), ("Predám auto, cena 15 tis €, dohoda možná", None), ("Vymena/Predaj RV:2/2018 KW:140 KM:130904 ABS, Airbagy", 130904),
+        ("Km 176000km Tažne, koženy interier", 176000), ("✅️km: 112000 ✅️r.v: 2023/2", 112000), ("MOD. ROK 2015 182 700 KM 147 KW", 182700), ("Najazdené: 169 676 km", 169676), ("Vyborna spotreba cca 5.2 lit. /100 km", None),
+    ],
+)
 def test_odometers(spark, text, km):
     assert spark.createDataFrame([(text,)], "t string").select(V.odometer(F.col("t"))).first()[0] == km
 
 
 def test_make_and_model(spark):
-    brands = spark.createDataFrame(V.brand_table({"land-rover": ["discovery", "range"], "rover": ["75"], "skoda": ["octavia", "octavia-combi"]}), "brand_slug string, model_slug string")
-    titles = spark.createDataFrame([("Land Rover Discovery 3.0",), ("Škoda Octavia Combi 2.0",), ("Škoda neznáma",), ("niečo",), (None,)], "title string")
-    out = {r.title: (r.make, r.model) for r in V.make_model(titles, brands).collect()}
-    assert out == {"Land Rover Discovery 3.0": ("land-rover", "discovery"), "Škoda Octavia Combi 2.0": ("skoda", "octavia-combi"), "Škoda neznáma": ("skoda", None), "niečo": (None, None), None: (None, None)}
+    brands = {"land-rover": ["discovery", "range"], "rover": ["75"], "skoda": ["octavia", "octavia-combi", "fabia"], "volkswagen": ["golf"], "mercedes-benz": ["c-class"], "audi": ["a4"]}
+    expected = {
+        "Land Rover Discovery 3.0": ("land-rover", "discovery"), "Škoda Octavia Combi 2.0": ("skoda", "octavia-combi"), "Škoda neznáma": ("skoda", None), "niečo": (None, None), None: (None, None),
+        "Predám Škoda Octavia 2.0 TDI": ("skoda", "octavia"), "Ľavé bočné dvere Škoda Fabia 1 strana vodiča": ("skoda", "fabia"), "VW Golf 1.6 TDI": ("volkswagen", "golf"), "Mercedes C 220": ("mercedes-benz", None),
+        "Kolesá": (None, None), "205/55R16": (None, None), "Rozpredám golf 4 96kw": (None, None), "Audi Q9 prototyp": ("audi", None), "": (None, None), "Škoda": ("skoda", None),
+    }
+    titles = spark.createDataFrame([(t,) for t in expected], "title string")
+    assert {r.title: (r.make, r.model) for r in V.make_model(titles, brands).collect()} == expected
 
 
 def test_fnv_of_known_texts(spark):
