@@ -1,7 +1,9 @@
 """A training-corpus pipeline of five stages; each is one operator of the llm subpackage with production parameters.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, is written as Parquet and read again for the next one.
-All but the last return the columns of documents, for the rows they keep.
+All but the last return the columns of documents, for the rows they keep. An empty table stays empty in every stage. Null
+texts have no language and go in the first stage; later stages take them as empty. All stages decide row by row, also where an
+id is null or occurs more than once.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a clear language; those without letters or with a score below LEAST_SCORE go."""
+    """Keeps documents with a clear language; those without letters or with a score below LEAST_SCORE go. Rows without lang are not learned from, but judged like all."""
     model = language.train(docs.where(~held_out(F.col("doc_id"))))
     marked = language.identify(docs.withColumnsRenamed({c: f"c_{c}" for c in docs.columns}), model, "c_text")
     kept = marked.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
@@ -36,20 +38,20 @@ def _one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame], grou
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row, that with the smallest id, of each group of equal texts."""
+    """Keeps one row, that with the smallest id (null last), of each group of equal texts; of rows equal in both, any one."""
     return _one_of_each(docs, exact_dedup.exact_dedup, F.col("keep_id"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row, that with the smallest id, of each group linked at five-word shingles and 0.8 or more."""
+    """Keeps one row, that with the smallest id (null last), of each group linked at five-word shingles and 0.8 or more. Texts without words are linked with nothing and stay."""
     return _one_of_each(docs, lambda d: jaccard.similar_classes(d, width=5, percent=80), F.col("component_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which no benchmark item was found."""
-    hits = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
-    lost = hits.select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("_lost")), "left_anti")
+    """Keeps the rows in whose text no benchmark item was found, whatever their ids."""
+    numbers = numbered(docs, "_row")
+    hits = decontaminate.contaminated(numbers.withColumn("doc_id", F.col("_row")), read(spark, sf_dir, "benchmark"))
+    return numbers.join(hits.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").drop("_row")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,5 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Language models and latent retrieval have no SQL form; tests compare the stages with brute force.
+#: Language models and latent retrieval have no SQL form; tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None
