@@ -40,6 +40,28 @@ def merge_observations(old: DataFrame, new: DataFrame, now: Column) -> DataFrame
     return j.select(*key, *out)
 
 
+#: What a detail page fills in where the advert has nothing.
+DETAIL_FILLS = ["year", "mileage_km", "fuel", "gearbox", "model_id", "raw_title", "price_eur"]
+
+
+def merge_details(listings: DataFrame, details: DataFrame, now: Column) -> DataFrame:
+    """Adverts with what their detail pages say (``details``: id, the columns above, region, country, abroad; at most one row an id).
+
+    Facts only fill gaps. A region also replaces one of another market, which its first two letters name. A page that
+    says the car is abroad clears the country, the only fact that is overwritten; else its country fills a gap. A price
+    read there counts as a check if there was none.
+    """
+    d = details.select(F.col("id").alias("d_id"), *[F.col(c).alias(f"d_{c}") for c in [*DETAIL_FILLS, "region", "country", "abroad"]])
+    other_market = F.col("region").isNull() | (F.substring("region", 1, 2) != F.substring("d_region", 1, 2))
+    out = listings.join(d, F.col("id") == F.col("d_id"), "left").withColumns({
+        "region": F.when(F.col("d_region").isNotNull() & other_market, F.col("d_region")).otherwise(F.col("region")),
+        "country": F.when(~F.coalesce("d_abroad", F.lit(False)), F.coalesce("country", "d_country")),
+        "price_checked_at": F.when(F.col("d_price_eur").isNotNull(), F.coalesce(F.col("price_checked_at"), now)).otherwise(F.col("price_checked_at")),
+        **{c: F.coalesce(c, f"d_{c}") for c in DETAIL_FILLS},
+    })
+    return out.select(*listings.columns)
+
+
 def append_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` whose key is not there yet."""
     return new.join(old.select(*keys).distinct(), keys, "left_anti")

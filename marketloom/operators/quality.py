@@ -33,3 +33,16 @@ def freshness(listings: DataFrame, as_of: Column) -> DataFrame:
         F.count("*").alias("priced"), F.count_if(F.col("age") <= F.col("sla")).alias("fresh"), F.percentile("age", 0.5).alias("p50"), F.percentile("age", 0.9).alias("p90"), F.max("age").alias("oldest")
     )
     return out.select("source", "priced", percent_share(F.col("fresh"), F.col("priced")).alias("fresh_pct"), *[(F.floor(F.col(c) * 100 + 0.5) / 100).alias(f"age_{c}") for c in ("p50", "p90", "oldest")])
+
+
+def drift_alerts(completeness: DataFrame) -> DataFrame:
+    """Sources that are not well, with the first reason that holds."""
+    price, model, region = (F.col(f"{k}_missing_pct") for k in ("price", "model", "region"))
+    reason = F.when(price >= 60, "price").when(model >= 70, "model").otherwise("several")
+    return completeness.select("source", health(price, model, region).alias("health"), reason.alias("reason")).where("health <> 'ok'")
+
+
+def country_alerts(listings: DataFrame) -> DataFrame:
+    """Sources in whose active adverts the country is unknown: an error from 20 %, a warning from 2 %."""
+    share = listings.where(active()).groupBy("source").agg(percent_share(F.count_if(F.col("country").isNull()), F.count("*")).alias("missing_pct"))
+    return share.where("missing_pct >= 2").select("source", F.when(F.col("missing_pct") >= 20, "error").otherwise("warn").alias("level"), "missing_pct")

@@ -325,6 +325,24 @@ def upsert_merge(spark, d):  # noqa: ANN001, ANN201
     return out.select("source", "source_id", F.round("price_eur", 4).alias("price_eur"), "year", "mileage_km", "fuel", "country", "raw_title", "is_featured", "fingerprint", day("first_seen_alive_at", "alive"), day("price_checked_at", "checked"), day("last_seen_at", "last_seen"), "change")
 
 
+DETAIL_SQL = f"""{L}, s as (select id, case when id % 4 <> 0 then (case when id % 2 = 0 then 'SK-' else 'CZ-' end) || region end as region, year, mileage_km, fuel, country, price_eur, price_checked_at, id % 3 = 0 as has from listings)
+select id, case when has then coalesce(mileage_km, 77000) else mileage_km end as mileage_km, case when has then coalesce(fuel, 'lpg') else fuel end as fuel,
+  case when has and (region is null or left(region, 2) <> 'SK') then 'SK-Town' else region end as region, case when has and id % 5 = 0 then null when has then coalesce(country, 'SK') else country end as country,
+  case when has and id % 7 > 0 then coalesce(price_eur, 1234.0) else price_eur end as price_eur, strftime(case when has and id % 7 > 0 then coalesce(price_checked_at, {NOW}) else price_checked_at end, '{DAY}') as checked from s"""
+
+
+@query("detail_merge", DETAIL_SQL)
+def detail_merge(spark, d):  # noqa: ANN001, ANN201
+    k = F.col("id")
+    rows = D.listings(spark, d).withColumn("region", F.when(k % 4 != 0, F.concat(F.when(k % 2 == 0, "SK-").otherwise("CZ-"), "region")))
+    details = rows.where(k % 3 == 0).select(
+        "id", F.lit(2001).alias("year"), F.lit(77000).cast("bigint").alias("mileage_km"), F.lit("lpg").alias("fuel"), F.lit("manual").alias("gearbox"), F.lit(1).alias("model_id"), F.lit("t").alias("raw_title"),
+        F.when(k % 7 > 0, 1234.0).alias("price_eur"), F.lit("SK-Town").alias("region"), F.lit("SK").alias("country"), (k % 5 == 0).alias("abroad"),
+    )
+    out = M.merge_details(rows, details, D.as_of())
+    return out.select("id", "mileage_km", "fuel", "region", "country", "price_eur", F.date_format("price_checked_at", "yyyy-MM-dd").alias("checked"))
+
+
 @query("append_if_absent", "select o_orderkey, o_custkey from orders where o_orderkey % 3 = 0 and not (o_orderkey % 2 = 0)")
 def append_if_absent(spark, d):  # noqa: ANN001, ANN201
     rows = D.table(spark, d, "orders").select("o_orderkey", "o_custkey")
@@ -465,6 +483,16 @@ def dq_alerts(spark, d):  # noqa: ANN001, ANN201
     return fresh(spark, d).where("fresh_pct < 95").select("source", F.when(F.col("fresh_pct") < 80, "error").otherwise("warn").alias("level"))
 
 
+@query("dq_drift_alerts", f"{COMPLETE_SQL} select source, case when price_missing_pct >= 60 or model_missing_pct >= 70 then 'drift' else 'warn' end as health, case when price_missing_pct >= 60 then 'price' when model_missing_pct >= 70 then 'model' else 'several' end as reason from q where price_missing_pct >= 30 or region_missing_pct >= 60 or model_missing_pct >= 50")
+def dq_drift_alerts(spark, d):  # noqa: ANN001, ANN201
+    return Q.drift_alerts(complete(spark, d))
+
+
+@query("dq_country_alerts", f"{L}, c as (select source, {PCT('(count(*) filter (country is null))::double')} as missing_pct from listings where {D.ACTIVE_SQL} group by source) select source, case when missing_pct >= 20 then 'error' else 'warn' end as level, missing_pct from c where missing_pct >= 2")
+def dq_country_alerts(spark, d):  # noqa: ANN001, ANN201
+    return Q.country_alerts(D.listings(spark, d))
+
+
 @query("dq_public", f"{COMPLETE_SQL}, h as (select case when price_missing_pct >= 60 or model_missing_pct >= 70 then 2 when price_missing_pct >= 30 or region_missing_pct >= 60 or model_missing_pct >= 50 then 1 else 0 end as k from q) select coalesce(case max(k) when 0 then 'ok' when 1 then 'warn' when 2 then 'drift' end, 'unknown') as health from h")
 def dq_public(spark, d):  # noqa: ANN001, ANN201
     health = Q.health(F.col("price_missing_pct"), F.col("model_missing_pct"), F.col("region_missing_pct"))

@@ -123,6 +123,14 @@ def rate_window(spark, d):  # noqa: ANN001, ANN201
     return g.select("user_id", F.unix_timestamp(F.col("w.start").cast("timestamp")).alias("w"), "n")
 
 
+@query("rate_verdict", "select event_id, row_number() over (partition by user_id, epoch(time_bucket(interval 1 hour, ts)) order by ts, event_id) <= 2 as allowed from events")
+def rate_verdict(spark, d):  # noqa: ANN001, ANN201
+    """Whether each event is within a limit of two a user and hour; the counter starts anew with every window."""
+    hour = F.window(F.col("ts"), "1 hour")
+    place = F.row_number().over(W.partitionBy("user_id", hour).orderBy("ts", "event_id"))
+    return D.table(spark, d, "events").select("event_id", (place <= 2).alias("allowed"))
+
+
 # --- accounts -------------------------------------------------------------------------------------------------------
 
 # fixed values: how many texts a month each plan allows; negative: any number
