@@ -270,15 +270,15 @@ def flatten_chains(spark, d):  # noqa: ANN001, ANN201
     return I.flatten_chains(rows).select("id", F.col("canonical_listing_id").alias("head"))
 
 
-UNMERGE_SQL = "with f as (select o_orderkey as id, case when o_orderkey % 4 > 0 then o_orderkey - o_orderkey % 4 end as h, case when o_orderkey % 5 > 1 then 'v' || (o_orderkey // 4 % 2 + o_orderkey % 2) end as vin, 'f' || (o_orderkey // 4) as fp from orders where o_orderkey % 9 <> 1)"
+UNMERGE_SQL = "with f as (select o_orderkey as id, case when o_orderkey % 9 = 1 then -o_orderkey when o_orderkey % 4 > 0 then o_orderkey - o_orderkey % 4 end as h, case when o_orderkey % 5 > 1 then 'v' || (o_orderkey // 4 % 2 + o_orderkey % 2) end as vin, 'f' || (o_orderkey // 4) as fp from orders)"
 
 
 @query("unmerge", f"{UNMERGE_SQL} select a.id, case when coalesce(a.vin = b.vin, false) or (coalesce(a.fp = b.fp, false) and not coalesce(a.vin <> b.vin, false)) then a.h end as head from f a left join f b on b.id = a.h")
 def unmerge(spark, d):  # noqa: ANN001, ANN201
     k = F.col("o_orderkey")
     quarter = F.expr("o_orderkey div 4")
-    rows = D.table(spark, d, "orders").where("o_orderkey % 9 <> 1").select(
-        k.alias("id"), F.when(k % 4 > 0, k - k % 4).alias("canonical_listing_id"), F.when(k % 5 > 1, F.concat(F.lit("v"), (quarter % 2 + k % 2).cast("string"))).alias("vin"), F.concat(F.lit("f"), quarter.cast("string")).alias("fingerprint")
+    rows = D.table(spark, d, "orders").select(
+        k.alias("id"), F.when(k % 9 == 1, -k).when(k % 4 > 0, k - k % 4).alias("canonical_listing_id"), F.when(k % 5 > 1, F.concat(F.lit("v"), (quarter % 2 + k % 2).cast("string"))).alias("vin"), F.concat(F.lit("f"), quarter.cast("string")).alias("fingerprint")
     )
     return I.unmerge(rows).select("id", F.col("canonical_listing_id").alias("head"))
 
@@ -500,6 +500,6 @@ def dq_public(spark, d):  # noqa: ANN001, ANN201
     return complete(spark, d).agg(F.coalesce(F.max_by(health, rank), F.lit("unknown")).alias("health"))
 
 
-@query("null_keeping_discount", f"{L} select id, floor(price_eur * 10 + 0.5) / 10 as p from listings where source = 'A'")
+@query("null_keeping_discount", f"{L} select id, floor(price_eur * 10 + 0.5) / 10 as p from listings")
 def null_keeping_discount(spark, d):  # noqa: ANN001, ANN201
-    return D.listings(spark, d).where("source = 'A'").select("id", half_up_to(F.col("price_eur"), 1).alias("p"))
+    return D.listings(spark, d).select("id", half_up_to(F.col("price_eur"), 1).alias("p"))
