@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -87,3 +89,55 @@ def merge_catalog(facts: DataFrame, models: DataFrame) -> DataFrame:
     """Facts moved to the lowest model id of their (brand, bare slug)."""
     lowest = models.withColumn("canonical", F.min("model_id").over(W.partitionBy("make", "bare_slug"))).select("model_id", "canonical")
     return facts.join(lowest, "model_id", "left").withColumn("model_id", F.coalesce("canonical", "model_id")).drop("canonical")
+
+
+def refresh_fingerprints(listings: DataFrame, computed: Column, now: Column, days: int = 8) -> DataFrame:
+    """Adverts with the fingerprint written anew where it is missing or where price or details were read within ``days``."""
+    recent = now - F.expr(f"interval {days} days")
+    stale = F.col("fingerprint").isNull() | F.coalesce(F.col("price_checked_at") > recent, F.lit(False)) | F.coalesce(F.col("detailed_at") > recent, F.lit(False))
+    return listings.withColumn("fingerprint", F.when(stale, computed).otherwise(F.col("fingerprint")))
+
+
+#: Ids from here on are given by the crawl; lower ones are curated and never deleted.
+MINTED = 1_000_000
+
+
+def catalog_actions(models: DataFrame, makes: DataFrame, brand_of: Callable[[Column], Column]) -> DataFrame:
+    """What becomes of each model (model_id, action, target, slug): ``models`` has model_id, make_id and slug, ``makes`` make_id and slug.
+
+    ``brand_of`` gives the brand of a make's slug, null for what is none. ``junk``: no brand, its adverts lose the model.
+    ``remap``: a model of the same brand and bare slug has a lower id, the target. ``move``: it stays but belongs under the
+    brand's lowest make, the target, with its bare slug; not if that place is taken. Else ``keep``.
+    """
+    brands = makes.select("make_id", F.col("slug").alias("_make"), brand_of(F.col("slug")).alias("_brand"))
+    home = brands.where("_brand is not null").groupBy("_brand").agg(F.min("make_id").alias("_home"))
+    rows = models.join(brands, "make_id")
+    bare = F.col("slug")
+    for prefix in (F.concat("_make", F.lit("-")), F.concat("_brand", F.lit("-"))):
+        bare = F.when((F.length(prefix) > 1) & F.startswith("slug", prefix), F.substring("slug", F.length(prefix) + 1, F.length("slug"))).otherwise(bare)
+    rows = rows.withColumn("_bare", bare)
+    lowest = rows.where("_brand is not null").groupBy("_brand", "_bare").agg(F.min("model_id").alias("_first"))
+    taken = models.select(F.col("make_id").alias("_home"), F.col("slug").alias("_bare"), F.lit(True).alias("_taken")).distinct()
+    rows = rows.join(lowest, ["_brand", "_bare"], "left").join(home, "_brand", "left").join(taken, ["_home", "_bare"], "left")
+    moves = (F.col("_home") != F.col("make_id")) & F.col("_taken").isNull()
+    action = F.when(F.col("_brand").isNull(), "junk").when(F.col("_first") != F.col("model_id"), "remap").when(moves, "move").otherwise("keep")
+    rows = rows.withColumn("action", action)
+    target = F.when(F.col("action") == "remap", F.col("_first")).when(F.col("action") == "move", F.col("_home"))
+    return rows.select("model_id", "action", target.alias("target"), F.when(F.col("action") == "move", F.col("_bare")).otherwise(F.col("slug")).alias("slug"))
+
+
+def apply_catalog(facts: DataFrame, actions: DataFrame) -> DataFrame:
+    """Facts with their models remapped; those of junk models have none."""
+    todo = actions.where("action in ('remap', 'junk')").select("model_id", F.lit(True).alias("_hit"), F.when(F.col("action") == "remap", F.col("target")).alias("_to"))
+    return facts.join(todo, "model_id", "left").withColumn("model_id", F.when(F.col("_hit"), F.col("_to")).otherwise(F.col("model_id"))).drop("_hit", "_to").select(*facts.columns)
+
+
+def catalog_orphans(models: DataFrame, makes: DataFrame, actions: DataFrame, references: list[DataFrame]) -> DataFrame:
+    """Minted models that no reference (frames with model_id) names after the merge, and minted makes then without models: (kind, id)."""
+    gone = models.where(F.col("model_id") >= MINTED).select("model_id")
+    for r in references:
+        gone = gone.join(r.select("model_id"), "model_id", "left_anti")
+    moved = actions.where("action = 'move'").select("model_id", F.col("target").alias("_to"))
+    left = models.join(gone, "model_id", "left_anti").join(moved, "model_id", "left").select(F.coalesce("_to", "make_id").alias("make_id"))
+    empty = makes.where(F.col("make_id") >= MINTED).select("make_id").join(left, "make_id", "left_anti")
+    return gone.select(F.lit("model").alias("kind"), F.col("model_id").alias("id")).unionByName(empty.select(F.lit("make").alias("kind"), F.col("make_id").alias("id")))

@@ -6,7 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-KEEP_OLD = ["year", "mileage_km", "fuel", "gearbox", "region", "country", "model_id", "raw_title"]
+from ..functions.predicates import active
+
+#: Facts that keep their old value where the new one is missing.
+KEEP_OLD = ["year", "mileage_km", "fuel", "gearbox", "region", "country", "locality", "model_id", "raw_title", "view_count"]
+#: What a re-read replaces whatever it says.
+OVERWRITE = ["price_eur", "url", "raw_json"]
+#: What the first reading settles.
+KEEP_FIRST = ["fingerprint", "seller_phone"]
 
 
 def keep_first(batch: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
@@ -18,20 +25,21 @@ def keep_first(batch: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
 def merge_observations(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """The next version of the advert table, keyed by (source, source_id), with ``change`` (added, updated, same).
 
-    Incoming prices win even when missing; facts keep their old value where the new one is missing; featured is sticky;
-    first evidence of life is kept; a first insert has no evidence of life yet and a price check only if priced.
+    Incoming prices, addresses and raw records win even when missing; facts keep their old value where the new one is
+    missing; fingerprint and phone stay as first read; featured is sticky; first evidence of life is kept; a first insert
+    has no evidence of life yet and a price check only if priced.
     """
     key = ["source", "source_id"]
-    cols = KEEP_OLD + ["price_eur", "is_featured", "fingerprint"]
+    cols = [*KEEP_OLD, *OVERWRITE, *KEEP_FIRST, "is_featured"]
     o = old.select(*key, *[F.col(c).alias(f"o_{c}") for c in cols], F.col("first_seen_alive_at").alias("o_alive"), F.col("price_checked_at").alias("o_checked"), F.col("last_seen_at").alias("o_last"), F.lit(True).alias("in_old"))
     n = new.select(*key, *[F.col(c).alias(f"n_{c}") for c in cols], F.lit(True).alias("in_new"))
     j = o.join(n, key, "full_outer")
     both, added = F.col("in_old").isNotNull() & F.col("in_new").isNotNull(), F.col("in_old").isNull()
-    out = [F.when(F.col("in_new").isNotNull(), F.col("n_price_eur")).otherwise(F.col("o_price_eur")).alias("price_eur")]
+    out = [F.when(F.col("in_new").isNotNull(), F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")).alias(c) for c in OVERWRITE]
     out += [F.coalesce(f"n_{c}", f"o_{c}").alias(c) for c in KEEP_OLD]
     out += [
         (F.coalesce("o_is_featured", F.lit(False)) | F.coalesce("n_is_featured", F.lit(False))).alias("is_featured"),
-        F.coalesce("o_fingerprint", "n_fingerprint").alias("fingerprint"),
+        *[F.coalesce(f"o_{c}", f"n_{c}").alias(c) for c in KEEP_FIRST],
         F.when(both, F.coalesce(F.col("o_alive"), now)).otherwise(F.col("o_alive")).alias("first_seen_alive_at"),
         F.when(both, now).when(added, F.when(F.col("n_price_eur").isNotNull(), now)).otherwise(F.col("o_checked")).alias("price_checked_at"),
         F.when(F.col("in_new").isNotNull(), now).otherwise(F.col("o_last")).alias("last_seen_at"),
@@ -84,6 +92,42 @@ def apply_liveness(listings: DataFrame, checks: DataFrame, now: Column) -> DataF
     }).drop("status")
 
 
+def tombstones(details: DataFrame, checks: DataFrame, now: Column) -> DataFrame:
+    """Detail rows (listing_id, detailed_at) of adverts found gone that have none: they are not asked for again."""
+    gone = checks.where(F.col("status").isin(404, 410)).select(F.col("id").alias("listing_id"), now.alias("detailed_at")).distinct()
+    return append_absent(details, gone, ["listing_id"])
+
+
+MODES = ("unenriched", "unenriched-newest", "null-description", "null-price", "null-model", "null-locality", "null-country")
+
+
+def worklist(listings: DataFrame, details: DataFrame, mode: str, size: int, source: str | None = None, after_id: int | None = None, share: tuple[int, int] | None = None) -> DataFrame:
+    """The next ``size`` adverts whose detail page is to be read.
+
+    ``unenriched``: no detail row, lowest id first; ``unenriched-newest``: the same, newest first. The other modes take
+    active adverts beyond ``after_id`` that lack a fact; ``null-description`` those whose detail row (``details``:
+    listing_id, description) has no description. ``share`` (index, number) splits the work among callers by id.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    rows = listings if source is None else listings.where(F.col("source") == source)
+    if share:
+        rows = rows.where(F.col("id") % share[1] == share[0])
+    known = details.select(F.col("listing_id").alias("_d"), "description")
+    if mode.startswith("unenriched"):
+        rows = rows.join(known, F.col("id") == F.col("_d"), "left_anti")
+    else:
+        rows = rows.where(active())
+        if after_id is not None:
+            rows = rows.where(F.col("id") > after_id)
+        if mode == "null-description":
+            rows = rows.join(known.where("description is null"), F.col("id") == F.col("_d"), "left_semi")
+        else:
+            lacks = {"null-price": "price_eur", "null-model": "model_id", "null-locality": "locality", "null-country": "country"}
+            rows = rows.where(F.col(lacks[mode]).isNull())
+    return rows.orderBy(*([F.desc("first_seen_at"), "id"] if mode == "unenriched-newest" else ["id"])).limit(size)
+
+
 def detect_sold(listings: DataFrame, days: int = 30) -> DataFrame:
     """Removed, canonical adverts with a fingerprint and evidence of life, not listed again in time: sold at removal."""
     gone = listings.where("removed_at is not null and sold_at is null and canonical_listing_id is null and fingerprint is not null and first_seen_alive_at is not null")

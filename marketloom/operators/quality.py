@@ -46,3 +46,38 @@ def country_alerts(listings: DataFrame) -> DataFrame:
     """Sources in whose active adverts the country is unknown: an error from 20 %, a warning from 2 %."""
     share = listings.where(active()).groupBy("source").agg(percent_share(F.count_if(F.col("country").isNull()), F.count("*")).alias("missing_pct"))
     return share.where("missing_pct >= 2").select("source", F.when(F.col("missing_pct") >= 20, "error").otherwise("warn").alias("level"), "missing_pct")
+
+
+def dedup_health(listings: DataFrame) -> DataFrame:
+    """One row on the state of the repost clusters.
+
+    A cluster holds its clones; its size counts the head as well. Contradictions: clones of one cluster with differing
+    VINs, or with differing models, years more than two apart or prices more than threefold; clones whose head is itself a
+    clone. Differing values are found by minimum and maximum, so no group keeps its distinct values.
+    """
+    clones = listings.where("canonical_listing_id is not null")
+    vin = F.when(F.length("vin") == 17, F.col("vin"))
+    whole = listings.agg(F.count("*").alias("total"), F.count("canonical_listing_id").alias("clones"), F.count(vin).alias("with_vin"))
+    apart = (
+        (F.min("model_id") != F.max("model_id")) | F.coalesce(F.max("year") - F.min("year") > 2, F.lit(False))
+        | F.coalesce(F.max("price_eur") > 3 * F.nullif(F.min("price_eur"), F.lit(0)), F.lit(False))
+    )
+    groups = clones.groupBy("canonical_listing_id").agg(F.count("*").alias("n"), (F.min(vin) != F.max(vin)).alias("vins"), apart.alias("apart"))
+    clusters = groups.agg(F.max("n").alias("largest"), F.count_if("vins").alias("vin_conflicts"), F.count_if("apart").alias("incoherent"))
+    across = listings.where(vin.isNotNull()).groupBy("vin").agg((F.min("source") != F.max("source")).alias("x")).agg(F.count_if("x").alias("cross_source_vins"))
+    heads = clones.select(F.col("id").alias("_head"))
+    chained = clones.join(heads, F.col("canonical_listing_id") == F.col("_head"), "left_semi").agg(F.count("*").alias("chained"))
+    rows = whole
+    for part in (clusters, across, chained):
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    one = rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+    return one.select(
+        "total", (F.col("total") - F.col("clones")).alias("canonical"), "clones", percent_share(F.col("clones"), F.col("total")).alias("repost_pct"), percent_share(F.col("with_vin"), F.col("total")).alias("vin_pct"),
+        F.coalesce(F.col("largest") + 1, F.lit(0)).alias("max_cluster"), "cross_source_vins", "vin_conflicts", "incoherent", "chained",
+    )
+
+
+def cluster_alerts(report: DataFrame) -> DataFrame:
+    """Contradictions of ``dedup_health`` that occur at all, each with its number."""
+    kinds = report.select(F.expr("stack(3, 'vin_conflict', vin_conflicts, 'chained', chained, 'incoherent', incoherent) as (kind, n)"))
+    return kinds.where("n > 0")

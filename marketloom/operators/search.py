@@ -52,6 +52,7 @@ class Filters:
 # descending order begins with missing values, ascending order ends with them
 SORTS = {
     "newest": lambda: [F.col("first_seen_at").desc_nulls_first(), F.col("id").desc()],
+    "oldest": lambda: [F.col("first_seen_at").asc_nulls_last(), F.col("id").asc()],
     "price_asc": lambda: [F.col("price_eur").asc_nulls_last(), F.col("id").desc()],
     "price_desc": lambda: [F.col("price_eur").desc_nulls_first(), F.col("id").desc()],
     "mileage_asc": lambda: [F.col("mileage_km").asc_nulls_last(), F.col("id").desc()],
@@ -68,15 +69,27 @@ def page(rows: DataFrame, sort: str, number: int, size: int) -> DataFrame:
     return rows.orderBy(*SORTS[sort]()).offset((number - 1) * size).limit(size)
 
 
-def match_watches(watches: DataFrame, listings: DataFrame, since: Column, until: Column) -> DataFrame:
-    """(watch_id, id) of new adverts within the window, both ends included; a missing criterion does not constrain."""
-    new = listings.where(listed() & F.col("canonical_listing_id").isNull() & F.col("first_seen_at").between(since, until)).withColumnRenamed("model_id", "l_model")
+def _fitting(watches: DataFrame, listings: DataFrame, *more: Column) -> DataFrame:
+    new = listings.where(listed() & F.col("canonical_listing_id").isNull()).withColumnRenamed("model_id", "l_model")
     w = F.col
     fits = (
         (w("model_id") == w("l_model")) & (w("price_max").isNull() | (w("price_eur") <= w("price_max")))
         & (w("year_min").isNull() | (w("year") >= w("year_min"))) & (w("mileage_max").isNull() | (w("mileage_km") <= w("mileage_max")))
     )
-    return watches.where("enabled").join(new, fits).select("watch_id", "id", "price_eur", "first_seen_at")
+    return watches.where("enabled").join(new, all_of([fits, *more])).select("watch_id", "id", "price_eur", "first_seen_at")
+
+
+def match_watches(watches: DataFrame, listings: DataFrame, since: Column, until: Column) -> DataFrame:
+    """(watch_id, id) of new adverts within the window, both ends included; a missing criterion does not constrain."""
+    return _fitting(watches, listings.where(F.col("first_seen_at").between(since, until)))
+
+
+def match_since_notified(watches: DataFrame, listings: DataFrame, until: Column, days: int = 7) -> DataFrame:
+    """As ``match_watches``, with a window of each watch's own: from when it was last notified (``last_notified_at``), or
+    made (``created_at``), but at most ``days`` back, to ``until``, which is taken once and becomes the next start."""
+    oldest = until - F.expr(f"interval {days} days")
+    own = watches.withColumn("since", F.greatest(F.coalesce("last_notified_at", "created_at"), oldest))
+    return _fitting(own, listings.where(F.col("first_seen_at").between(oldest, until)), F.col("first_seen_at") >= F.col("since"))
 
 
 def top_per_group(rows: DataFrame, group: str, order: list[Column], shown: int) -> DataFrame:

@@ -48,3 +48,18 @@ def change(now: Column, before: Column, dead_band: float = 0.5) -> Column:
     """Week-over-week percentage; 0 within the dead band, null without a base."""
     pct = F.when(before != 0, (now - before) / before * 100)
     return F.when(F.abs(pct) < dead_band, 0.0).otherwise(pct)
+
+
+COHORT = ["model_id", "year_bucket", "mileage_bucket"]
+
+
+def publish(published: DataFrame, computed: DataFrame, week: Column) -> DataFrame:
+    """The next version of the published snapshots (with ``captured_on``): this week's cohorts are those computed now, so
+    what no longer qualifies goes; other weeks cannot be measured again and stay. Repeating it changes nothing. As a
+    table by ``captured_on``, only this week's part is written anew."""
+    return published.where(F.col("captured_on") != week).unionByName(computed.withColumn("captured_on", week))
+
+
+def retired(published: DataFrame, computed: DataFrame, week: Column) -> DataFrame:
+    """This week's published cohorts that are no longer computed."""
+    return published.where(F.col("captured_on") == week).join(computed.select(*COHORT), COHORT, "left_anti")

@@ -304,9 +304,10 @@ def catalog_merge(spark, d):  # noqa: ANN001, ANN201
 
 # --- versions of tables ---------------------------------------------------------------------------------------------
 
-MERGE_SQL = f"""{FP_SQL}, o as (select * from keyed where id % 10 < 8), n as (select source, source_id, case when id % 4 = 0 then null else price_eur * 0.9 end as price_eur, case when id % 3 = 0 then null else year end as year, mileage_km + 10 as mileage_km, null::varchar as fuel, gearbox, region, null::varchar as country, model_id, 'new ' || raw_title as raw_title, is_featured and id % 2 = 0 as is_featured, 'x' as fingerprint from keyed where id % 10 > 5)
+MERGE_SQL = f"""{FP_SQL}, o as (select *, 'Levice' as locality, 3 as view_count, 'u1' as url, 'j1' as raw_json, case when id % 3 = 0 then 'p1' end as seller_phone from keyed where id % 10 < 8), n as (select source, source_id, case when id % 4 = 0 then null else price_eur * 0.9 end as price_eur, case when id % 3 = 0 then null else year end as year, mileage_km + 10 as mileage_km, null::varchar as fuel, gearbox, region, null::varchar as country, case when id % 3 = 1 then 'Nitra' end as locality, case when id % 4 > 1 then 7 end as view_count, 'u2' as url, case when id % 2 = 0 then '{{}}' end as raw_json, 'p2' as seller_phone, model_id, 'new ' || raw_title as raw_title, is_featured and id % 2 = 0 as is_featured, 'x' as fingerprint from keyed where id % 10 > 5)
  select source, source_id, round(case when n.source is not null then n.price_eur else o.price_eur end, 4) as price_eur, coalesce(n.year, o.year) as year, coalesce(n.mileage_km, o.mileage_km) as mileage_km, coalesce(n.fuel, o.fuel) as fuel, coalesce(n.country, o.country) as country,
   coalesce(n.raw_title, o.raw_title) as raw_title, coalesce(o.is_featured, false) or coalesce(n.is_featured, false) as is_featured, coalesce(o.fingerprint, n.fingerprint) as fingerprint,
+  coalesce(n.locality, o.locality) as locality, coalesce(n.view_count, o.view_count) as view_count, case when n.source is not null then n.url else o.url end as url, case when n.source is not null then n.raw_json else o.raw_json end as raw_json, coalesce(o.seller_phone, n.seller_phone) as seller_phone,
   strftime(case when o.source is not null and n.source is not null then coalesce(o.first_seen_alive_at, {NOW}) else o.first_seen_alive_at end, '{DAY}') as alive, strftime(case when n.source is null then o.price_checked_at when o.source is not null or n.price_eur is not null then {NOW} end, '{DAY}') as checked,
   strftime(case when n.source is not null then {NOW} else o.last_seen_at end, '{DAY}') as last_seen, case when o.source is null then 'added' when n.source is null then 'same' else 'updated' end as change
  from o full join n using (source, source_id)"""
@@ -317,12 +318,14 @@ def upsert_merge(spark, d):  # noqa: ANN001, ANN201
     rows, k = keyed(spark, d), F.col("id")
     new = rows.where(k % 10 > 5).select(
         "source", "source_id", F.when(k % 4 != 0, F.col("price_eur") * 0.9).alias("price_eur"), F.when(k % 3 != 0, F.col("year")).alias("year"), (F.col("mileage_km") + 10).alias("mileage_km"),
-        F.lit(None).cast("string").alias("fuel"), "gearbox", "region", F.lit(None).cast("string").alias("country"), "model_id", F.concat(F.lit("new "), "raw_title").alias("raw_title"),
+        F.lit(None).cast("string").alias("fuel"), "gearbox", "region", F.lit(None).cast("string").alias("country"), F.when(k % 3 == 1, "Nitra").alias("locality"), F.when(k % 4 > 1, 7).alias("view_count"), F.lit("u2").alias("url"),
+        F.when(k % 2 == 0, "{}").alias("raw_json"), F.lit("p2").alias("seller_phone"), "model_id", F.concat(F.lit("new "), "raw_title").alias("raw_title"),
         (F.col("is_featured") & (k % 2 == 0)).alias("is_featured"), F.lit("x").alias("fingerprint"),
     )
-    out = M.merge_observations(rows.where(k % 10 < 8), new, D.as_of())
+    old = rows.where(k % 10 < 8).withColumns({"locality": F.lit("Levice"), "view_count": F.lit(3), "url": F.lit("u1"), "raw_json": F.lit("j1"), "seller_phone": F.when(k % 3 == 0, "p1")})
+    out = M.merge_observations(old, new, D.as_of())
     day = lambda c, name: F.date_format(c, "yyyy-MM-dd").alias(name)
-    return out.select("source", "source_id", F.round("price_eur", 4).alias("price_eur"), "year", "mileage_km", "fuel", "country", "raw_title", "is_featured", "fingerprint", day("first_seen_alive_at", "alive"), day("price_checked_at", "checked"), day("last_seen_at", "last_seen"), "change")
+    return out.select("source", "source_id", F.round("price_eur", 4).alias("price_eur"), "year", "mileage_km", "fuel", "country", "raw_title", "is_featured", "fingerprint", *M.OVERWRITE[1:], "locality", "view_count", "seller_phone", day("first_seen_alive_at", "alive"), day("price_checked_at", "checked"), day("last_seen_at", "last_seen"), "change")
 
 
 DETAIL_SQL = f"""{L}, s as (select id, case when id % 4 <> 0 then (case when id % 2 = 0 then 'SK-' else 'CZ-' end) || region end as region, year, mileage_km, fuel, country, price_eur, price_checked_at, id % 3 = 0 as has from listings)

@@ -69,11 +69,14 @@ def test_merge_rules(spark):
     new = spark.createDataFrame([("s", "1", None, None, 5, None, None, None, None, None, "t2", False, "z"), ("s", "2", 9.0, 1, 1, None, None, None, None, 1, "n", True, "y"), ("s", "3", None, 1, 1, None, None, None, None, 1, "n", True, "y")], schema)
     old = spark.createDataFrame([("s", "1", 7.0, 2000, 4, "diesel", None, None, "SK", 3, "t1", True, None), ("s", "9", 1.0, 1, 1, None, None, None, None, 1, "o", False, "q")], schema)
     stamp = lambda c: F.lit(c).cast("timestamp")
+    more = lambda place, views, url, phone: {"locality": F.lit(place).cast("string"), "view_count": F.lit(views).cast("int"), "url": F.lit(url).cast("string"), "raw_json": F.lit(url).cast("string"), "seller_phone": F.lit(phone)}
+    old, new = old.withColumns(more("Nitra", 3, "u1", "p1")), new.withColumns(more(None, 4, None, "p2"))
     old = old.withColumns({"first_seen_alive_at": stamp(None), "price_checked_at": stamp("2024-01-01 00:00:00"), "last_seen_at": stamp("2024-01-01 00:00:00")})
     out = {r.source_id: r for r in M.merge_observations(old, new, stamp("2025-01-01 00:00:00")).collect()}
     a = out["1"]
     assert (a.price_eur, a.year, a.mileage_km, a.fuel, a.country, a.is_featured, a.fingerprint, a.change) == (None, 2000, 5, "diesel", "SK", True, "z", "updated")
     assert a.first_seen_alive_at == a.price_checked_at == a.last_seen_at == dt.datetime(2025, 1, 1)
+    assert (a.locality, a.view_count, a.url, a.raw_json, a.seller_phone, out["2"].seller_phone, out["9"].url) == ("Nitra", 4, None, None, "p1", "p2", "u1")
     assert out["2"].change == "added" and out["2"].first_seen_alive_at is None and out["2"].price_checked_at is not None and out["3"].price_checked_at is None
     assert out["9"].change == "same" and out["9"].last_seen_at == dt.datetime(2024, 1, 1)
 
