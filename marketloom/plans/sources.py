@@ -1,4 +1,4 @@
-"""Queries of page parsers and stateful replays; most have no SQL form and are tested on fixtures."""
+"""Queries of page parsers and stateful replays."""
 
 from __future__ import annotations
 
@@ -23,12 +23,16 @@ def _list_pages(spark, d, wrapper: str) -> DataFrame:  # noqa: ANN001
     return rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["card"]), "\n").alias("html"))
 
 
-@query("parse_list_cards")
+CARDS_SQL = f"""with {D.LISTINGS_SQL}, c as (select id // 1000000000000 as page_id, row_number() over (partition by id // 1000000000000 order by id, year || ', ' || coalesce(mileage_km, 0) || ' km ' || coalesce(floor(price_eur)::bigint || ' €', 'dohodou')) - 1 as ordinal, '/inzerat/' || id || '.html' as href, make || ' ' || model as title,
+ make || ' ' || model || ' ' || year || ', ' || coalesce(mileage_km, 0) || ' km' || case when price_eur is null then ' dohodou' else '' end as meta, floor(price_eur)::bigint as price_eur, year, coalesce(mileage_km, 0) as km from listings)"""
+
+
+@query("parse_list_cards", f"{CARDS_SQL} select * from c")
 def parse_list_cards(spark, d):  # noqa: ANN001, ANN201
     return S.list_cards(_list_pages(spark, d, "inzeraty"), "inzeraty")
 
 
-@query("parse_list_cards_b")
+@query("parse_list_cards_b", f"{CARDS_SQL} select page_id, ordinal, meta, price_eur from c")
 def parse_list_cards_b(spark, d):  # noqa: ANN001, ANN201
     return S.list_cards(_list_pages(spark, d, "item"), "card").select("page_id", "ordinal", "meta", "price_eur")
 
