@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, html, jaccard, language, lm, mixing, suffix, toxicity
+from . import chat, decontaminate, divergence, exact_dedup, html, jaccard, language, lm, mixing, spelling, suffix, toxicity
 from .common import held_out, read, remainder
 
 #: The control-string conversation that the formatting query adds to the table.
@@ -81,6 +81,14 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", left_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"), damage=199)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -92,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_lm_score": op10_lm_score,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -128,5 +138,43 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   (7 + sum(length(et)) + sum(case when head then 8 + 8 + 7 + length(er) else 8 end))::bigint as formatted_chars
 from e group by conv_id
+""",
+    "op11_source_divergence": r"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+t as (select r, lang, source, unnest(terms) as term from d),
+kept as (select lang, term, count(*) as n from t group by lang, term having count(distinct r) >= 3),
+l as (select lang, count(*) as v, sum(n)::hugeint as total from kept group by lang),
+g as (select distinct lang, source from d),
+c as (select t.lang, source, term, count(*) as n from t join kept using (lang, term) group by all),
+s as (select lang, source, sum(n)::hugeint as total from c group by all),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (coalesce(s.total, 0) + l.v) as p,
+    1 + (1000000000::hugeint * (k.n + 1)) // (l.total + l.v) as q
+  from g join kept k using (lang) join l using (lang) left join s on s.lang = g.lang and s.source = g.source left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pairs as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+every as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0)::bigint as value
+    from g a join g b on a.lang = b.lang and a.source <> b.source left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint from p where n > 0 and p > q)
+select lang, source, part, item, value, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from every qualify part = 'pair' or rank <= 200
+""",
+    "op12_spelling_variants": r"""
+with recursive poly as (select i, 0 as k, i::bigint as c from range(256) t(i) union all select i, k + 1, xor(c >> 1, (c & 1) * 3988292384) from poly where k < 8),
+tab as (select list(c order by i) as crc from poly where k = 8),
+runs as (select doc_id, run, count(*) as n from (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) as run from documents) where length(run) >= 6 group by all),
+hexed as (select run, n, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as x from runs),
+bytes as (select run, n, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::bigint, 2))::bigint) as b from hexed),
+hashed as (select run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, y: xor(c >> 8, crc[(xor(c, y) & 255) + 1])), 4294967295) as h from bytes, tab),
+lost as (select case when h % 199 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word, n from hashed),
+w as (select word, sum(n)::bigint as n from lost where length(word) >= 6 group by word having sum(n) >= 5),
+cuts as (select word, n, length(word) as len, i, substr(word, 1, i - 1) || substr(word, i + 1) as cut from w, unnest(range(1, length(word) + 1)) t(i)),
+near as (
+  select a.word, a.n, b.word as near, b.n as near_n from cuts a join cuts b on a.cut = b.cut and a.i = b.i and a.len = b.len and a.word <> b.word
+  union select a.word, a.n, b.word, b.n from cuts a join w b on a.cut = b.word
+  union select b.word, b.n, a.word, a.n from cuts a join w b on a.cut = b.word),
+best as (select word, count(*) as n_near, min((-near_n, near)) as b from near group by word),
+formed as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when -b[1] >= 5 * w.n then b[2] end as form, case when -b[1] >= 5 * w.n then -b[1] end as form_n from w left join best using (word)),
+chain as (select word, word as root, 0 as k from formed union all select c.word, f.form, k + 1 from chain c join formed f on f.word = c.root where f.form is not null),
+roots as (select word, max_by(root, k) as root from chain group by word)
+select word, form, root, n, n_near, form_n from formed join roots using (word)
 """,
 }
