@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, exact_dedup, html, jaccard, language, lm, mixing, spelling, suffix, toxicity
+from . import chat, decontaminate, divergence, exact_dedup, html, jaccard, language, lm, mixing, passages, spelling, suffix, toxicity
 from .common import held_out, read, remainder
 
 #: The control-string conversation that the formatting query adds to the table.
@@ -89,6 +89,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"), damage=199)
 
 
+def op13_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_passages(read(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_score": op10_lm_score,
     "op11_source_divergence": op11_source_divergence,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_passage_dedup": op13_passage_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -176,5 +181,15 @@ formed as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when -b[1] >=
 chain as (select word, word as root, 0 as k from formed union all select c.word, f.form, k + 1 from chain c join formed f on f.word = c.root where f.form is not null),
 roots as (select word, max_by(root, k) as root from chain group by word)
 select word, form, root, n, n_near, form_n from formed join roots using (word)
+""",
+    "op13_passage_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+w as (select doc_id, i, array_to_string(words[i : i + 19], ' ') as win from d, unnest(range(1, len(words) - 18)) t(i)),
+firsts as (select win, min((doc_id, i)) as f from w group by win having count(*) > 1),
+hits as (select distinct doc_id, i + k as i from w join firsts using (win), unnest(range(0, 20)) t(k) where f[1] <> doc_id or f[2] <> i),
+each as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as i from d),
+sums as (select doc_id, count(*) as lost from hits group by doc_id),
+kept as (select doc_id, string_agg(word, ' ' order by i) as text from each anti join hits using (doc_id, i) group by doc_id)
+select doc_id, len(words)::bigint as n_words, coalesce(lost, 0)::bigint as n_removed, sha256(coalesce(text, '')) as kept_sha256 from d left join sums using (doc_id) left join kept using (doc_id)
 """,
 }
