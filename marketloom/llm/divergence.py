@@ -12,18 +12,26 @@ term that only source i has, the other's share is that of a count of nothing, q0
                 + sum over terms of both of f(p_i, p_j) - f(p_i, q0_j) - f(q0_i, p_j) + f(q0_i, q0_j)
 
 in integers, so no term's contribution is lost or rounded, and the work follows the entries, not terms times sources.
+
+A term is a run of ASCII letters and non-ASCII characters; only A-Z are lower-cased. Terms are told apart by a 64-bit hash
+within a batch of documents, and by themselves from there on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import written
+from .common import small_batches, written
+from .tokens import BASE, U, mixed, pieces, ranges
 
-TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SEED = 17
 SCALE = 1_000_000_000
 #: Above this count the product with SCALE leaves 64 bits, and decimals are used.
 LONG_COUNTS = 9_000_000_000
@@ -41,14 +49,37 @@ def excess(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, text) -> (lang, source, term, tf, df) of each batch's documents."""
+    lower = np.arange(256, dtype=np.uint8)
+    lower[65:91] += 32
+    for batch in batches:
+        groups = pa.compute.binary_join_element_wise(batch.column(0), batch.column(1), "\n").dictionary_encode()
+        group = groups.indices.to_numpy().astype(np.uint64)
+        at = np.unique(group, return_index=True)[1]
+        for p in pieces(batch.column(2), 1 << 22):
+            starts, ends, borders = p.words(letters_only=True)
+            h = ranges(p.sums(seed=SEED, lower=True), starts, ends)
+            doc = np.repeat(np.arange(p.first, p.last, dtype=np.uint64), np.diff(borders))
+            # one entry for each term of a document, then one for each term of a group
+            _, one, tf = np.unique(mixed(h + (doc + U(1)) * U(BASE)), return_index=True, return_counts=True)
+            own = group[doc[one].astype(np.int64)]
+            _, two, back = np.unique(mixed(h[one] + (own + U(1)) * U(BASE)), return_index=True, return_inverse=True)
+            a, b = starts[one[two]], ends[one[two]]
+            offsets = np.concatenate([[0], np.cumsum(b - a)])
+            data = lower[p.data[np.repeat(a - offsets[:-1], b - a) + np.arange(offsets[-1])]]
+            terms = pa.Array.from_buffers(pa.large_string(), len(two), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+            rows = pa.array(at[own[two].astype(np.int64)])
+            columns = [batch.column(0).take(rows), batch.column(1).take(rows), terms.cast(pa.string()), pa.array(np.bincount(back, tf, len(two)).astype(np.int64)), pa.array(np.bincount(back, minlength=len(two)).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "tf", "df"])
+
+
 def term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """(lang, source, term, tf, df): occurrences, and documents of that language and source with the term."""
+    """(lang, source, term, tf, df): occurrences, and documents of that language and source with the term. Batches are counted before rows move."""
+    small_batches(docs.sparkSession)
     clean = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
-    found = clean.select("lang", "source", F.sort_array(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0))).alias("all"))
-    # equal terms of a document are neighbours in its sorted array: the first of them counts the document
-    each = found.select("lang", "source", "all", F.posexplode("all").alias("at", "term"))
-    first = (F.col("at") == 0) | (F.get("all", F.col("at") - 1) != F.col("term"))
-    return each.select("lang", "source", "term", first.cast("long").alias("first")).groupBy("lang", "source", "term").agg(F.count("*").alias("tf"), F.sum("first").alias("df"))
+    each = clean.mapInArrow(_counted, "lang string, source string, term string, tf long, df long")
+    return each.groupBy("lang", "source", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
 def _pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
