@@ -88,9 +88,11 @@ def _pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
     size = lambda x: F.get("sizes", x["k"])
     shares = F.transform("vector", lambda x: F.struct(x["k"].alias("k"), share(x["tf"], size(x), F.col("v")).alias("p"), share(F.lit(0).cast("long"), size(x), F.col("v")).alias("q0")))
     alike = kept.join(totals, "lang").groupBy("lang", shares.alias("s")).agg(F.count("*").alias("m"))
-    both = lambda a, b: excess(a["p"], b["p"]) - excess(a["p"], b["q0"]) - excess(a["q0"], b["p"]) + excess(a["q0"], b["q0"])
-    emitted = F.flatten(F.transform("s", lambda a: F.transform("s", lambda b: F.struct(a["k"].alias("i"), b["k"].alias("j"), both(a, b).alias("f")))))
-    shared = alike.select("lang", "m", F.inline(emitted)).where("i != j").groupBy("lang", "i", "j").agg(F.sum(F.col("f") * F.col("m")).alias("f"))
+    # every two entries of an array once; what they contribute both ways is arithmetic on plain columns, which compiles
+    two = F.flatten(F.transform("s", lambda a, at: F.transform(F.slice("s", at + 2, F.size("s")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    both = lambda a, b: excess(F.col(f"{a}.p"), F.col(f"{b}.p")) - excess(F.col(f"{a}.p"), F.col(f"{b}.q0")) - excess(F.col(f"{a}.q0"), F.col(f"{b}.p")) + excess(F.col(f"{a}.q0"), F.col(f"{b}.q0"))
+    met = alike.select("lang", "m", F.inline(two)).groupBy("lang", F.col("a.k").alias("i"), F.col("b.k").alias("j")).agg(F.sum(both("a", "b") * F.col("m")).alias("there"), F.sum(both("b", "a") * F.col("m")).alias("back"))
+    shared = met.select("lang", F.inline(F.array(F.struct("i", "j", F.col("there").alias("f")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("back").alias("f")))))
 
     zero = share(F.lit(0).cast("long"), F.col("n"), F.col("v"))
     own = groups.select("lang", F.col("k").alias("i"), zero.alias("a0"), F.col("nonzero").alias("ni"), "v")
