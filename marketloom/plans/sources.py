@@ -2,39 +2,134 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vehicles as V
+from ..sources import cards as C
+from ..sources import details as T
 from ..sources import pages as S
+from ..sources import registry as R
 from ..streaming import events as E
 from . import domain as D
 from .registry import query
 
 
-def _list_pages(spark, d, wrapper: str) -> DataFrame:  # noqa: ANN001
-    """List pages made of all adverts, in the layout asked for: one page for each order, so of seven cards or so."""
+def text_of(*parts) -> Column:  # noqa: ANN002
+    """Literals and columns as one text; nulls are empty."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+
+
+#: The three layouts, on hosts that do not exist.
+FLAT = R.FlatSource("flat", C.Flat("flat", "https://flat.example"), T.Prose("img\\.example\\.com/"))
+WRAPPED = R.WrappedSource("wrapped", C.Wrapped("wrapped", "https://wrapped.example", r"wrapped\.example"), T.Sheet("img\\.example\\.com", "cars\\.example"))
+EMBEDDED = R.EmbeddedSource("embedded", C.Embedded("embedded", "https://embedded.example"), T.Record("data", ["$.props.advert", "$.props.record"]))
+SOURCES = R.Sources(FLAT, WRAPPED, EMBEDDED)
+
+PAGE_ID = "id div 1000000000000"
+
+
+def fuel_word() -> Column:
+    return F.when(F.col("fuel") == "diesel", "nafta").when(F.col("fuel") == "gasoline", "benzín")
+
+
+def gear_word() -> Column:
+    return F.when(F.col("gearbox") == "manual", "manuálna").otherwise("automat")
+
+
+def _paged(spark, d, card: Column, head: str, tail: str) -> DataFrame:  # noqa: ANN001
+    """List pages made of all adverts, one page for each order, so of seven cards or so."""
+    rows = D.listings(spark, d).select(F.expr(PAGE_ID).alias("page_id"), F.struct("id", card.alias("card")).alias("x"))
+    cards = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["card"]), "\n")
+    return rows.groupBy("page_id").agg(F.concat(F.lit(head), cards, F.lit(tail)).alias("html"))
+
+
+def flat_pages(spark, d) -> DataFrame:  # noqa: ANN001
+    """Cards flow without a wrapper; blocks nest; each page ends with another advert's price in its footer."""
     c = F.col
-    card = F.concat(
-        F.lit(f'<div class="{wrapper} card"><a href="/inzerat/'), c("id").cast("string"), F.lit('.html">'), c("make"), F.lit(" "), c("model"), F.lit("</a><br>"), c("year").cast("string"), F.lit(", "),
-        F.coalesce("mileage_km", F.lit(0)).cast("string"), F.lit(" km "), F.coalesce(F.floor("price_eur").cast("string"), F.lit("dohodou")), F.when(c("price_eur").isNotNull(), F.lit(" €")).otherwise(F.lit("")), F.lit("</div>"),
+    price = F.when(c("price_eur").isNotNull(), text_of(F.floor("price_eur").cast("bigint"), " €")).otherwise(F.lit("Dohodou"))
+    card = text_of(
+        '<div class="x inzeratynadpis"><a href="/inzerat/', c("id"), '/auto.php"><img class="obrazek" src="https://img.example.com/', c("id"), '.jpg" alt="foto"></a></div><h2 class="nadpis"><a>', c("make"), " <b>", c("model"), "</b></a></h2>",
+        '<div class="popis">[20.5. 2025] <div>r.v.: 3/', c("year"), "</div> <span>najazdené ", c("mileage_km"), " km</span>, ", fuel_word(), ", ", gear_word(), '</div><div class="inzeratycena"><b><span translate="no">', price,
+        '</span></b></div><span class="velikost10">', F.when(c("id") % 3 == 0, text_of(c("id") % 2000, " ×")).otherwise(F.lit("Nitra")), '</span><b class="', F.when(c("is_featured"), "toplogo").otherwise("logo"), '">TOP</b> tel. 0901 234 ', F.lpad((c("id") % 1000).cast("string"), 3, "0"),
     )
-    rows = D.listings(spark, d).select(F.expr("id div 1000000000000").alias("page_id"), F.struct("id", card.alias("card")).alias("x"))
-    return rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["card"]), "\n").alias("html"))
+    return _paged(spark, d, card, '<html><body><div class="main">', '</div><div class="inzeratycena">1 €</div><footer>Cena 77 € 0900 111 222</footer></body></html>')
 
 
-CARDS_SQL = f"""with {D.LISTINGS_SQL}, c as (select id // 1000000000000 as page_id, row_number() over (partition by id // 1000000000000 order by id, year || ', ' || coalesce(mileage_km, 0) || ' km ' || coalesce(floor(price_eur)::bigint || ' €', 'dohodou')) - 1 as ordinal, '/inzerat/' || id || '.html' as href, make || ' ' || model as title,
- make || ' ' || model || ' ' || year || ', ' || coalesce(mileage_km, 0) || ' km' || case when price_eur is null then ' dohodou' else '' end as meta, floor(price_eur)::bigint as price_eur, year, coalesce(mileage_km, 0) as km from listings)"""
+def wrapped_pages(spark, d) -> DataFrame:  # noqa: ANN001
+    """Each advert in nested wrappers; titles in an attribute, the link, an image or the address; equipment behind the price."""
+    c = F.col
+    price = F.when(c("price_eur").isNotNull(), text_of(F.floor("price_eur").cast("bigint"), " €")).otherwise(F.lit("dohodou"))
+    name = text_of(c("make"), " ", c("model"))
+    link = text_of('<a href="', F.when(c("id") % 2 == 0, "https://www.wrapped.example"), "/", c("id"), '/skoda-octavia-2015/"', F.when(c("id") % 4 == 0, text_of(' title="', name, '"')), ">", F.when(c("id") % 4 == 1, name), "</a>", F.when(c("id") % 4 == 2, text_of('<img alt=" ', name, ' ">')))  # between blocks stands a line end, as pages have it
+    card = text_of('<li class="box"><div class="item', F.when(c("is_featured"), " vip"), '"><p>', link, "</p>\n<div>", c("year"), " · ", gear_word(), " · ", c("mileage_km"), " km · ", fuel_word(), " · NR kraj</div>\n<div>", price, "</div>\n<ul><li>manuálna klimatizácia</li><li>hybrid</ul></div></li>")
+    return _paged(spark, d, card, '<html><body><ul class="list">', '</ul><a href="/o-nas/">O nás</a><p>2001, 1 km 5 €</p></body></html>')
 
 
-@query("parse_list_cards", f"{CARDS_SQL} select * from c")
+def embedded_pages(spark, d) -> DataFrame:  # noqa: ANN001
+    """A page's adverts as JSON, by the query's path or by another; every thirteenth page's JSON is broken, others have none."""
+    c = F.col
+    at_home = c("country") == "SK"
+    place = F.struct(c("region").alias("name"), F.array(F.lit("1"), F.when(at_home, "100000000").when(c("country") == "CZ", "200000000").otherwise("300000000")).alias("parents"), F.when(at_home, "sk").when(c("country") == "CZ", "cs").alias("defaultLang"))
+    row = F.struct(
+        c("id"), F.struct(c("id").cast("string").alias("id"), c("raw_title").alias("title"), c("make").alias("brandValue"), c("model").alias("carModelValue"), F.when(c("id") % 3 == 0, c("price_eur")).otherwise(0).alias("finalPrice"), c("price_eur").alias("price"),
+        c("year"), c("mileage_km").alias("mileage"), F.initcap(fuel_word()).alias("fuelValue"), F.initcap(gear_word()).alias("gearboxValue"), (c("id") % 50).alias("views"), c("is_featured").alias("isPremium"), place.alias("location")).alias("r"),
+    )
+    pages = D.listings(spark, d).select(F.expr(PAGE_ID).alias("page_id"), row.alias("x")).groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"]).alias("rs"))
+    k = c("page_id") % 13
+    rs = F.to_json("rs")
+    body = F.when(k < 5, text_of('{"props":{"pageProps":{"trpcState":{"queries":[{"state":{"data":null}},{"state":{"data":{"data":', rs, "}}}]}}}}")).when(k < 9, text_of('{"props":{"pageProps":{"searchRecords":{"data":', rs, "}}}}")).when(k < 12, text_of('{"props":{"pageProps":{"searchRecords":', rs, "}}}"))
+    body = F.when(k == 12, "{broken").otherwise(body)
+    return pages.select("page_id", text_of('<html><script id="__NEXT_DATA__" type="application/json">', body, "</script></html>").alias("html"))
+
+
+ORDINAL_SQL = "row_number() over (partition by id // 1000000000000 order by id) - 1"
+# an id given twice counts once, for the card that stands first
+ONCE_SQL = "(select * from listings qualify row_number() over (partition by id order by {}) = 1)"
+FLAT_SQL = f"""select id // 1000000000000 as page_id, {ORDINAL_SQL} as ordinal, 'flat' as source, id::varchar as source_id, 'https://flat.example/inzerat/' || id || '/auto.php' as url, make || ' ' || model as raw_title,
+  case when floor(price_eur) >= 100 then floor(price_eur)::bigint end as price_eur, case when year between 1980 and 2026 then year end as year, case when mileage_km between 100 and 1999999 then mileage_km end as mileage_km, fuel, gearbox, null as region, 'SK' as country, null as locality,
+  'https://img.example.com/' || id || '.jpg' as thumbnail, case when id % 3 = 0 then id % 2000 end as view_count, case when is_featured then true end as is_featured, '0901 234 ' || lpad((id % 1000)::varchar, 3, '0') as seller_phone from {ONCE_SQL.format("year, mileage_km || ' '")}"""
+WRAPPED_SQL = f"""select id // 1000000000000 as page_id, {ORDINAL_SQL} as ordinal, 'wrapped' as source, id::varchar as source_id, 'https://wrapped.example/' || id || '/skoda-octavia-2015/' as url, case when id % 4 = 3 then 'Skoda Octavia 2015' else make || ' ' || model end as raw_title,
+  case when floor(price_eur) >= 100 then floor(price_eur)::bigint end as price_eur, case when year between 1980 and 2026 then year end as year, case when mileage_km between 10 and 1999999 then mileage_km end as mileage_km, fuel, gearbox, 'SK-Nitriansky' as region, 'SK' as country, null as locality,
+  null as thumbnail, null::bigint as view_count, case when is_featured then true end as is_featured, null as seller_phone from {ONCE_SQL.format("is_featured desc, year, mileage_km || ' '")}"""
+EMBEDDED_SQL = f"""select id // 1000000000000 as page_id, {ORDINAL_SQL} as ordinal, 'embedded' as source, id::varchar as source_id, 'https://embedded.example/detail/x/' || id || '/' as url, raw_title,
+  case when price_eur > 0 and (id % 3 = 0 or country = 'SK') then floor(price_eur + 0.5)::bigint end as price_eur, year, mileage_km, fuel, gearbox, country || '-' || region as region, country, region as locality,
+  null as thumbnail, id % 50 as view_count, case when is_featured then true end as is_featured, null as seller_phone from {ONCE_SQL.format('raw_title')} where (id // 1000000000000) % 13 <> 12"""
+SHOWN = [c for c in C.OBSERVATION if c not in ("make", "model")]
+
+
+@query("parse_list_cards", f"with {D.LISTINGS_SQL} {FLAT_SQL}")
 def parse_list_cards(spark, d):  # noqa: ANN001, ANN201
-    return S.list_cards(_list_pages(spark, d, "inzeraty"), "inzeraty")
+    return FLAT.parse_list(flat_pages(spark, d), D.NEXT_YEAR).select(*SHOWN)
 
 
-@query("parse_list_cards_b", f"{CARDS_SQL} select page_id, ordinal, meta, price_eur from c")
+@query("parse_list_cards_b", f"with {D.LISTINGS_SQL} {WRAPPED_SQL}")
 def parse_list_cards_b(spark, d):  # noqa: ANN001, ANN201
-    return S.list_cards(_list_pages(spark, d, "item"), "card").select("page_id", "ordinal", "meta", "price_eur")
+    return WRAPPED.parse_list(wrapped_pages(spark, d), D.NEXT_YEAR).select(*SHOWN)
+
+
+@query("parse_record_list", f"with {D.LISTINGS_SQL} {EMBEDDED_SQL}")
+def parse_record_list(spark, d):  # noqa: ANN001, ANN201
+    return EMBEDDED.parse_list(embedded_pages(spark, d), D.NEXT_YEAR).select(*SHOWN)
+
+
+@query("source_registry", f"with {D.LISTINGS_SQL}, u as ({FLAT_SQL} union all {WRAPPED_SQL} union all {EMBEDDED_SQL}) select source, count(*) as adverts, count(distinct page_id) as pages, count(price_eur) as priced, sum(price_eur)::bigint as prices, count(region) as placed from u group by source")
+def source_registry(spark, d):  # noqa: ANN001, ANN201
+    """Pages of three sources in one table, each read by the parser of its name."""
+    made = [(FLAT, flat_pages), (WRAPPED, wrapped_pages), (EMBEDDED, embedded_pages)]
+    pages = [make(spark, d).withColumn("source", F.lit(s.name)) for s, make in made]
+    rows = SOURCES.parse_lists(pages[0].unionByName(pages[1]).unionByName(pages[2]), D.NEXT_YEAR)
+    return rows.groupBy("source").agg(F.count("*").alias("adverts"), F.countDistinct("page_id").alias("pages"), F.count("price_eur").alias("priced"), F.sum("price_eur").alias("prices"), F.count("region").alias("placed"))
+
+
+@query("page_elements", r"""select page_id, len(regexp_extract_all(html, '(?i)<p[\s>]')) as paragraphs, len(regexp_extract_all(html, '(?i)<a[\s>]')) as links, len(regexp_extract_all(html, '(?i)<li[\s>]')) as items from pages""".replace("\\\\", "\\"))
+def page_elements(spark, d):  # noqa: ANN001, ANN201
+    """All pages through the table function, in SQL."""
+    R.register(spark)
+    return spark.sql(
+        "select p.page_id, count_if(e.tag = 'p') as paragraphs, count_if(e.tag = 'a') as links, count_if(e.tag = 'li') as items from {pages} p, lateral page_elements(p.html) e group by p.page_id",
+        pages=D.table(spark, d, "pages"),
+    )
 
 
 @query("parse_embedded_json", "select event_id, props->>'$.k' as k from events")

@@ -11,11 +11,14 @@ from ..operators import lifecycle as M
 from ..operators import quality as Q
 from ..operators import search as S
 from ..operators import snapshots as N
-from ..sources import pages as G
+from ..sources import cards as G
+from ..sources import details as T2
+from ..sources import tree as T
 from . import domain as D
 from .analytics import FP_SQL, NOW, PCT, SNAP_SQL, WEEK, keyed, snapshot
 from .lists import UNTIL
 from .registry import query
+from .sources import text_of
 
 L = f"with {D.LISTINGS_SQL}"
 
@@ -218,18 +221,18 @@ def catalog_orphans(spark, d):  # noqa: ANN001, ANN201
 # --- pages ----------------------------------------------------------------------------------------------------------
 
 
-def text_of(*parts) -> Column:  # noqa: ANN002
-    """Literals and columns as one text; nulls are empty."""
-    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
-
-
 @query("card_flags", f"""{L} select id, case when id % 3 = 0 then id % 2000 end as views, case when id % 3 <> 2 then id % 900 end as views_b, case when is_featured then true end as featured from listings""")
 def card_flags(spark, d):  # noqa: ANN001, ANN201
     """Views and marks of cards in both layouts."""
     k = F.col("id")
     a = text_of('<div class="card"><span class="small10">', F.when(k % 3 == 0, text_of(k % 2000, " ×")).otherwise(F.lit("Nitra")), '</span><b class="', F.when(F.col("is_featured"), "toplogo").otherwise("logo"), '">', F.when(k % 2 == 0, "TOP").otherwise("pro 1"), "</b></div>")
     b = text_of("<li>", F.when(k % 3 == 0, text_of('<i class="ViewCount">', k % 900, "</i>")).when(k % 3 == 1, text_of("Zobrazení: ", k % 900)).otherwise(F.lit("žiadne")), "</li>")
-    return D.listings(spark, d).select("id", G.card_views(a, "span", "small10|small11").alias("views"), G.card_views_labelled(b).alias("views_b"), G.card_featured(a, "toplogo|toplabel").alias("featured"))
+    rows = T.with_tree(T.with_tree(D.listings(spark, d).select("id", a.alias("a"), b.alias("b")), "a", "x"), "b", "y")
+    x, y = F.col("x"), F.col("y")
+    texts = lambda page, nodes: F.transform(nodes, lambda n: T.text_of(page, n))
+    views = G.views(texts(x, T.found(x["nodes"], ["span"], ["small10", "small11"])))
+    named = G.named_views(texts(y, F.filter(y["nodes"], lambda n: n["class"].rlike("(?i)view|zobrazen"))), y["text"])
+    return rows.select("id", views.alias("views"), named.alias("views_b"), G.marked(texts(x, T.found(x["nodes"], ["b", "span"], ["toplogo", "toplabel"]))).alias("featured"))
 
 
 PROSE_SQL = f"""{L} select id, vin, power_kw, case when year between 1980 and 2026 then year end as year, case when mileage_km between 1000 and 2000000 then mileage_km end as mileage_km, case when floor(price_eur) between 100 and 500000 then floor(price_eur)::bigint end as price_eur, fuel, gearbox, case when id % 4 = 0 then 'Nemecko' else region end as locality, id % 4 = 0 as abroad,
@@ -246,9 +249,10 @@ def detail_prose(spark, d):  # noqa: ANN001, ANN201
         "Farba: modrá, VIN: ", c("vin"), ", Výkon: ", c("power_kw"), " kW, Rok výroby: ", c("year"), ", Najazdené: ", c("mileage_km"), " km, Palivo: ", fuel, ", Prevodovka: ", gear, ", Lokalita: ", F.when(c("id") % 4 == 0, "Nemecko").otherwise(c("region")), ", koniec</div><p>",
         F.when(c("id") % 2 == 0, "Firma").otherwise("Súkromný predaj"), '</p><img src="https://img.example.com/', c("id"), '/1.jpg?a=1"><img src="https://img.example.com/', c("id"), '/1.jpg?a=2"><img src="https://img.example.com/x/2.jpg"></body></html>',
     )
-    f = G.prose_detail(html, c("id").cast("string"), D.NEXT_YEAR, "text", "price", "img\\.example\\.com/")
+    pages = D.listings(spark, d).select("id", c("id").cast("string").alias("source_id"), html.alias("html"))
+    read = T2.prose_details(pages, T2.Prose("img\\.example\\.com/", ["text"], ["price"]), D.NEXT_YEAR)
     keep = ["vin", "power_kw", "year", "mileage_km", "price_eur", "fuel", "gearbox", "locality", "abroad", "region", "seller_type", "raw_title"]
-    return D.listings(spark, d).select("id", *[f[k].alias(k) for k in keep], F.size(f["photos"]).alias("photos"))
+    return read.select("id", *[F.col(f"detail.{k}").alias(k) for k in keep], F.size("detail.photos").alias("photos"))
 
 
 SHEET_SQL = f"""{L} select id, vin, power_kw, case when year between 1980 and 2026 then year end as year, case when mileage_km between 1 and 1999999 then mileage_km end as mileage_km, case when floor(price_eur) between 100 and 500000 then floor(price_eur)::bigint end as price_eur, fuel, gearbox, 'kombi' as body_type, case when id % 2 = 0 then seller end as seller_name,
@@ -264,9 +268,9 @@ def detail_sheet(spark, d):  # noqa: ANN001, ANN201
         "\nPrevodovka: ", gear, "\n</dl>", F.when(c("id") % 2 == 0, text_of('<a href="https://dealer-', c("id"), '.cars.example/">', c("seller"), "</a>")).when(c("id") % 3 == 0, "Súkromný predajca"),
         "<ul><li>Airbag</li><li>Airbag</li><li>ABS</li><li>4 dvere</li><li>x</li></ul><p>krátky</p><p>", F.repeat(F.lit("dlhý text "), 22), '.</p><a href="https://img.example.com/foto/1.jpg"></a><img src="https://img.example.com/thumb/1.jpg"></body></html>',
     )
-    f = G.sheet_detail(html, D.NEXT_YEAR, "p-amount|action-price", "img\\.example\\.com", "cars\\.example")
+    read = T2.sheet_details(D.listings(spark, d).select("id", html.alias("html")), T2.Sheet("img\\.example\\.com", "cars\\.example"), D.NEXT_YEAR)
     keep = ["vin", "power_kw", "year", "mileage_km", "price_eur", "fuel", "gearbox", "body_type", "seller_name", "seller_type"]
-    return D.listings(spark, d).select("id", *[f[k].alias(k) for k in keep], F.size(f["equipment"]).alias("equipment"), (F.length(f["description"]) - 1).alias("described"), F.size(f["photos"]).alias("photos"))
+    return read.select("id", *[F.col(f"detail.{k}").alias(k) for k in keep], F.size("detail.equipment").alias("equipment"), (F.length("detail.description") - 1).alias("described"), F.size("detail.photos").alias("photos"))
 
 
 @query("detail_record", f"""{L} select id, vin, power_kw, case when year between 1980 and 2026 then year end as year, case when mileage_km > 0 then mileage_km end as mileage_km, case when floor(price_eur + 0.5) >= 100 then floor(price_eur + 0.5)::bigint end as price_eur, fuel, replace(lower(make), '#', '-') as make, region as locality, seller as seller_name,
@@ -278,6 +282,7 @@ def detail_record(spark, d):  # noqa: ANN001, ANN201
         F.col("make").alias("brandValue"), F.col("power_kw").alias("enginePower"), F.lit("Airbag, , ABS").alias("otherEquipment"), F.struct(c("seller").alias("displayName"), F.when(c("id") % 2 == 0, 17).alias("idFirm")).alias("user"), F.struct(c("region").alias("name")).alias("location"),
         F.array(F.lit("https://img.example.com/1.jpg"), F.lit("https://img.example.com/1.jpg"), F.lit("https://img.example.com/2.jpg")).alias("images"),
     ).alias("record")).alias("props")))
-    f = G.record_detail(text_of('<html><script id="data" type="application/json">', record, "</script></html>"), "data", ["$.props.advert", "$.props.record"], D.NEXT_YEAR)
+    pages = D.listings(spark, d).select("id", text_of('<html><script id="data" type="application/json">', record, "</script></html>").alias("html"))
+    read = T2.record_details(pages, T2.Record("data", ["$.props.advert", "$.props.record"]), D.NEXT_YEAR)
     keep = ["vin", "power_kw", "year", "mileage_km", "price_eur", "fuel", "make", "locality", "seller_name", "seller_type"]
-    return D.listings(spark, d).select("id", *[f[k].alias(k) for k in keep], F.size(f["equipment"]).alias("equipment"), F.size(f["photos"]).alias("photos"))
+    return read.select("id", *[F.col(f"detail.{k}").alias(k) for k in keep], F.size("detail.equipment").alias("equipment"), F.size("detail.photos").alias("photos"))

@@ -1,4 +1,4 @@
-"""Adverts from landed pages: list cards, embedded JSON, detail pages, sitemaps, robots rules.
+"""Landed pages: embedded JSON, page heads, sitemaps, robots rules. Cards and details have modules of their own.
 
 Pages arrive as a column of text; each parser is an expression or a partition-wise function, so a crawl of any size is
 read by many tasks. Fetching is not a Spark job and is not done here.
@@ -7,78 +7,10 @@ read by many tasks. Fetching is not a Spark job and is not done here.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import text as X
-from ..functions import vehicles as V
-from ..functions.predicates import OLDEST_YEAR, PRICE
-from ..functions.text import WS
-
-CARD_SCHEMA = "page_id long, ordinal int, href string, title string, meta string, price_eur long, year int, km long"
-SPACE = re.compile(r"[\s ]+")
-
-
-class Cards(HTMLParser):
-    """Cards of a list page. A card starts at an element whose class holds ``marker`` and takes every sibling up to the
-    next such element, so that layouts without a closing wrapper read as well."""
-
-    def __init__(self, marker: str) -> None:
-        super().__init__(convert_charrefs=True)
-        self.marker, self.cards, self.title = marker, [], False
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = dict(attrs)
-        if self.marker in (a.get("class") or "").split():
-            self.cards.append({"href": None, "title": "", "text": ""})
-        if self.cards and tag == "a" and a.get("href") and not self.cards[-1]["href"]:
-            self.cards[-1]["href"], self.title = a["href"], True
-        elif tag == "br" and self.cards:
-            self.cards[-1]["text"] += " "
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "a":
-            self.title = False
-
-    def handle_data(self, data: str) -> None:
-        if self.cards:
-            self.cards[-1]["text"] += data + " "
-            if self.title:
-                self.cards[-1]["title"] += data
-
-
-def read_cards(html: str | None, marker: str) -> list[dict]:
-    parser = Cards(marker)
-    parser.feed(html or "")
-    parser.close()
-    out = []
-    for card in parser.cards:
-        text = SPACE.sub(" ", card["text"]).strip()
-        price = re.search(r"([0-9][0-9 ]{1,12}) ?€", text)
-        km = re.search(r"(?i)([0-9][0-9 ]{1,8}) ?km\b", text)
-        year = re.search(r"\b((?:19|20)[0-9]{2})\b", text)
-        number = lambda m: int(m[1].replace(" ", "")) if m else None
-        # what stands before the price is the card's meta line
-        meta = text.split("€")[0][: price.start(1)].strip() if price else text
-        out.append({"href": card["href"], "title": SPACE.sub(" ", card["title"]).strip(), "meta": meta, "price_eur": number(price), "year": number(year), "km": number(km)})
-    return out
-
-
-def list_cards(pages: DataFrame, marker: str = "card", html_col: str = "html") -> DataFrame:
-    """One row per card of each page."""
-    names = [x.split()[0] for x in CARD_SCHEMA.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(p, i, *c.values()) for p, h in zip(pdf["page_id"], pdf["html"], strict=True) for i, c in enumerate(read_cards(h, marker))]
-            yield pd.DataFrame(rows, columns=names).astype({"price_eur": "Int64", "year": "Int32", "km": "Int64"})
-
-    return pages.select("page_id", F.col(html_col).alias("html")).mapInPandas(run, CARD_SCHEMA)
-
 
 def embedded_json(html: Column, script_id: str, paths: list[str]) -> Column:
     """The first of several JSON paths that the script element's content has."""
@@ -131,134 +63,3 @@ def rule_pattern(rule: str) -> str:
 def outcome(status: Column, cards: Column, streak: Column, most_empty: int = 3) -> Column:
     """What a fetched page says about the walk."""
     return F.when(status == 404, "end").when(status >= 400, "failed").when((cards == 0) & (streak + 1 >= most_empty), "end").when(cards == 0, "empty").otherwise("ok")
-
-
-def _elements(html: Column, tag: str, classes: str) -> Column:
-    """Texts of all elements of ``tag`` (a pattern) that have one of the classes (a pattern), without inner tags."""
-    inner = F.regexp_extract_all(html, F.lit(rf'(?is)<(?:{tag})\b[^>]*\bclass="(?:[^"]*\s)?(?:{classes})(?:\s[^"]*)?"[^>]*>(.*?)</(?:{tag})>'), F.lit(1))
-    return F.transform(inner, plain_text)
-
-
-def plain_text(html: Column) -> Column:
-    """Text without tags; the frequent character references decoded."""
-    text = F.regexp_replace(html, r"(?s)<[^>]*>", "")
-    for name, sign in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&euro;", "€"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    return F.trim(text)
-
-
-def _first_number(texts: Column, pattern: str, below: int = 10_000_000) -> Column:
-    numbers = F.transform(texts, lambda t: F.regexp_replace(F.regexp_extract(t, pattern, 1), WS, "").try_cast("bigint"))
-    return F.get(F.filter(numbers, lambda n: n.between(0, below - 1)), F.lit(0))
-
-
-def card_views(card: Column, tag: str, classes: str) -> Column:
-    """Views of a card that writes them as '12 ×' or '12 krát' in a small-print element."""
-    return _first_number(_elements(card, tag, classes), rf"(?i)([0-9][0-9\s]*){WS}*(?:[×x]|krát)")
-
-
-def card_views_labelled(card: Column) -> Column:
-    """Views of a card that has an element for them (its class says so), else a label in its text."""
-    number = r"([0-9][0-9\s]{0,8})"
-    named = F.transform(F.regexp_extract_all(card, F.lit(r'(?is)<[a-z]+\b[^>]*\bclass="[^"]*(?:view|zobrazen)[^"]*"[^>]*>(.*?)</'), F.lit(1)), plain_text)
-    return F.coalesce(_first_number(named, number), _first_number(F.array(plain_text(card)), rf"(?i)(?:zobrazen[íi]|views?)[\s:]+{number}"))
-
-
-def card_featured(card: Column, classes: str) -> Column:
-    """True if a mark of the card says PRO or TOP; null, not false, where none does."""
-    return F.when(F.exists(_elements(card, "b|span", classes), lambda t: F.upper(t).rlike(r"^(PRO|TOP)( |$)")), True)
-
-
-def _bounded(c: Column, most: int) -> Column:
-    return F.when(F.length(c) <= most, c)
-
-
-def _integer(c: Column) -> Column:
-    return F.regexp_extract(c, "([0-9]+)", 1).try_cast("int")
-
-
-def _labelled_facts(text: Column) -> dict[str, Column]:
-    value = lambda label: V.after_label(text, label, False)
-    number = X.vin(value("VIN"))
-    return {
-        "color": _bounded(value("Farba"), 64), "vin": F.when(number == value("VIN"), number), "power_kw": _integer(value("Výkon")), "engine_ccm": _integer(value("Objem")),
-        "fuel": X.lookup(X.first_hint(value("Palivo"), X.FUEL_HINTS), X.FUELS), "gearbox": X.lookup(F.regexp_extract(F.lower(value("Prevodovka")), "(manuálna|manuální|manual|automatická|automat)", 1), X.GEARBOXES),
-    }
-
-
-def _price(html: Column, classes: str) -> Column:
-    euro = X.euro_in_text(F.get(_elements(html, "[a-z]+", classes), F.lit(0)))
-    return F.when(euro.between(*PRICE), euro)
-
-
-def _body(html: Column) -> Column:
-    return plain_text(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "))
-
-
-def _photos(html: Column, attributes: str, host: str) -> Column:
-    """Distinct addresses on an image host, in page order."""
-    return F.array_distinct(F.regexp_extract_all(html, F.lit(rf'(?i)<[a-z]+\b[^>]*\b(?:{attributes})="([^"]*{host}[^"]*)"'), F.lit(1)))
-
-
-def prose_detail(html: Column, source_id: Column, next_year: int, block: str, price: str, image_host: str) -> dict[str, Column]:
-    """Facts of a detail page whose seller writes prose, from the element of class ``block`` alone (neighbours' adverts stand
-    beside it), or from the whole page without one. The price comes from the element of class ``price`` and nowhere else.
-
-    A place abroad gives no region. Photos are those on the image host whose address holds the advert's id.
-    """
-    page = _body(html)
-    own = F.nullif(F.get(_elements(html, "div", block), F.lit(0)), F.lit(""))
-    text = F.coalesce(own, page)
-    place = V.locality(text)
-    heading = F.nullif(plain_text(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1)), F.lit(""))
-    seller = F.when(page.rlike(r"(?iu)firma|s\.r\.o|spol\.\s*s\s*r\.\s*o\.|autobazar"), "dealer").when(page.rlike(r"(?iu)s[uú]kromn[yý]"), "private")
-    photos = F.transform(_photos(html, "src", image_host), lambda u: F.regexp_extract(u, r"^([^?]*)", 1))
-    km = V.odometer(text)
-    return {
-        **_labelled_facts(text), "body_type": _bounded(V.after_label(text, "Karoséria", False), 32), "year": V.labelled_year(text, heading, next_year), "mileage_km": km, "price_eur": _price(html, price),
-        "locality": place["locality"], "abroad": place["abroad"], "region": F.when(~place["abroad"], X.prefixed_region(place["locality"], "SK")), "seller_type": seller, "raw_title": heading,
-        "description": F.substring(own, 1, 4000), "photos": F.array_distinct(F.filter(photos, lambda u: u.contains(source_id))),
-    }
-
-
-def sheet_detail(html: Column, next_year: int, price: str, image_host: str, dealer_host: str) -> dict[str, Column]:
-    """Facts of a detail page laid out as labels and values. No region is read: its label is unreliable there.
-
-    The seller is a dealer if a link leads to a place of their own under ``dealer_host``. Equipment are the list items of
-    3 to 80 characters that do not begin with a digit, at most 200; the description is the first paragraph of 200 or more.
-    """
-    page = _body(html)
-    value = lambda label: V.after_label(page, label, False)
-    dealer = F.regexp_extract_all(html, F.lit(rf'(?is)<a\b[^>]*\bhref="[^"]*//[\w-]+\.{dealer_host}[^"]*"[^>]*>(.*?)</a>'), F.lit(1))
-    year = F.regexp_extract(F.coalesce(value("Rok výroby"), value("Rok")), "([0-9]{4})", 1).try_cast("int")
-    reading = F.coalesce(value("Najazdené"), value("Stav km"))
-    km = F.coalesce(X.km_in_text(reading), F.regexp_replace(F.regexp_extract(reading, r"([0-9][0-9\s\x{00A0}]*)", 1), WS, "").try_cast("bigint"))
-    items = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1)), plain_text)
-    long = F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), plain_text), lambda t: F.length(t) >= 200)
-    return {
-        **_labelled_facts(page), "body_type": value("Karoséria"), "interior": value("Interiér"), "year": F.when(year.between(OLDEST_YEAR, next_year), year), "mileage_km": F.when(km > 0, km), "price_eur": _price(html, price),
-        "seller_type": F.when(F.size(dealer) > 0, "dealer").when(page.rlike(r"(?iu)s[uú]kromn[yý]"), "private"), "seller_name": F.nullif(plain_text(F.get(dealer, F.lit(0))), F.lit("")),
-        "equipment": F.slice(F.array_distinct(F.filter(items, lambda t: F.length(t).between(3, 80) & ~t.rlike("^[0-9]"))), 1, 200), "description": F.substring(F.get(long, F.lit(0)), 1, 4000),
-        "photos": F.filter(_photos(html, "href|src", image_host), lambda u: ~u.contains("/thumb/")),
-    }
-
-
-RECORD = """vin string, year double, yearValue string, mileage double, finalPrice double, price double, fuelValue string, gearboxValue string, brandValue string, carModelValue string, title string,
- bodyworkValue string, colorValue string, enginePower double, engineCapacity double, description string, otherEquipment string, user struct<displayName string, idFirm string>, location struct<name string>, images array<string>"""
-
-
-def record_detail(html: Column, script_id: str, paths: list[str], next_year: int) -> dict[str, Column]:
-    """Facts of a detail page that carries its record as JSON in a script element; all null without one."""
-    r = F.from_json(embedded_json(html, script_id, paths), RECORD)
-    whole = lambda name: F.floor(r[name] + 0.5)
-    text = lambda c: F.nullif(F.trim(c), F.lit(""))
-    year = F.coalesce(whole("year"), F.regexp_extract(r["yearValue"], "([0-9]{4})", 1).try_cast("int")).cast("int")
-    price = F.coalesce(whole("finalPrice"), whole("price"))
-    number = F.upper(r["vin"])
-    return {
-        "vin": F.when(number.rlike("^[A-HJ-NPR-Z0-9]{17}$"), number), "year": F.when(year.between(OLDEST_YEAR, next_year), year), "mileage_km": F.when(whole("mileage") > 0, whole("mileage")), "price_eur": F.when(price >= PRICE[0], price),
-        "fuel": X.lookup(r["fuelValue"], X.FUELS), "gearbox": X.lookup(r["gearboxValue"], X.GEARBOXES), "make": X.slug(r["brandValue"]), "model": X.slug(r["carModelValue"]), "raw_title": text(r["title"]),
-        "body_type": text(r["bodyworkValue"]), "color": text(r["colorValue"]), "power_kw": whole("enginePower").cast("int"), "engine_ccm": whole("engineCapacity").cast("int"), "description": text(r["description"]), "locality": text(r["location"]["name"]),
-        "equipment": F.filter(F.transform(F.split(F.coalesce(r["otherEquipment"], F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""), "seller_name": text(r["user"]["displayName"]),
-        "seller_type": F.when(r["user"].isNotNull(), F.when(F.coalesce(r["user"]["idFirm"], F.lit("0")).isin("0", "", "false"), "private").otherwise("dealer")), "photos": F.array_distinct(F.filter(F.coalesce(r["images"], F.array()), lambda u: u.isNotNull() & (u != ""))),
-    }

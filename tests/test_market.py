@@ -147,11 +147,6 @@ def test_robots_longest_rule_wins(spark):
     assert [r[0] for r in df.select(S.robots_allowed(F.col("p"), ["/a/b"], ["/a", "/*.html$"])).collect()] == [True, False, False, True]
 
 
-def test_cards_without_closing_wrapper():
-    cards = S.read_cards('<div class="c x"><a href="/1">Auto 1</a></div>2015, 10 000 km 5 000 €<div class="c"><a href="/2">B</a> dohodou', "c")
-    assert [(c["href"], c["title"], c["price_eur"], c["km"]) for c in cards] == [("/1", "Auto 1", 5000, 10000), ("/2", "B", None, None)]
-
-
 def test_cursor_rules():
     start = {"next_page": 5, "page_space": None, "max_known": None, "cycle": 0, "failures": 0}
     assert E.next_cursor(start, {"failed": False, "end": False, "last_page": 80})["next_page"] == 81
