@@ -37,40 +37,36 @@ scored as (select *, floor(100 * (0.5 * least(1, disc / 0.4) + 0.2 * least(1, sq
     floor(median - price_eur - 800 - floor(median * 0.05 + 0.5) + 0.5)::bigint as est_profit from deal)"""
 
 
-def pool(spark, d) -> DataFrame:  # noqa: ANN001
-    return D.listings(spark, d).where(P.active() & F.col("is_vehicle") & P.plausible_priced(D.NEXT_YEAR) & F.col("mileage_km").isNotNull())
-
-
-def reference(spark, d) -> DataFrame:  # noqa: ANN001
-    return D.listings(spark, d).where(P.active() & P.market_reference(D.NEXT_YEAR) & F.col("mileage_km").isNotNull())
+def scored_sets(spark, d) -> tuple:  # noqa: ANN001
+    """All adverts, the condition of the scored ones and that of the reference."""
+    known = P.active() & F.col("mileage_km").isNotNull()
+    return D.listings(spark, d), known & F.col("is_vehicle") & P.plausible_priced(D.NEXT_YEAR), known & P.market_reference(D.NEXT_YEAR)
 
 
 @query("flip_opportunities", f"""{COHORT_SQL} select id, floor(median + 0.5)::bigint as median_eur, floor(p25 + 0.5)::bigint as p25_eur, cohort_size, power_matched, floor(disc * 10000 + 0.5) / 100 as discount_pct, score, confidence, est_profit from scored""")
 def flip_opportunities(spark, d):  # noqa: ANN001, ANN201
-    return C.flip_opportunities(pool(spark, d), reference(spark, d), D.as_of())
+    return C.flip_opportunities(*scored_sets(spark, d), D.as_of())
 
 
 @query("cohort_stats", f"{COHORT_SQL} select id, round(median, 4) as median, round(p25, 4) as p25, cohort_size, power_matched, strftime(oldest_seen, '{DAY}') as oldest from cohort")
 def cohort_stats(spark, d):  # noqa: ANN001, ANN201
-    c = C.cohort_stats(pool(spark, d), reference(spark, d))
+    c = C.cohorts_within(*scored_sets(spark, d))
     return c.select("id", F.round("median", 4).alias("median"), F.round("p25", 4).alias("p25"), "cohort_size", "power_matched", F.date_format("oldest_seen", "yyyy-MM-dd").alias("oldest"))
 
 
 @query("cohort_band_join", f"{COHORT_SQL} select cohort_size, count(*) as n from cohort group by cohort_size")
 def cohort_band_join(spark, d):  # noqa: ANN001, ANN201
-    return C.cohort_stats(pool(spark, d), reference(spark, d)).groupBy("cohort_size").agg(F.count("*").alias("n"))
+    return C.cohorts_within(*scored_sets(spark, d)).groupBy("cohort_size").agg(F.count("*").alias("n"))
 
 
 @query("deal_filter", f"{COHORT_SQL} select id, price_eur, cohort_size from deal")
 def deal_filter(spark, d):  # noqa: ANN001, ANN201
-    p = pool(spark, d)
-    return C.below_quartile(p, reference(spark, d)).select("id", "price_eur", "cohort_size")
+    return C.below_quartile(*scored_sets(spark, d)).select("id", "price_eur", "cohort_size")
 
 
 @query("top_deals", f"{COHORT_SQL} select id, score, est_profit from scored where country is null or country = 'SK' order by score desc, est_profit desc, id limit 50")
 def top_deals(spark, d):  # noqa: ANN001, ANN201
-    p = pool(spark, d)
-    scored = C.flip_opportunities(p, reference(spark, d), D.as_of(), ("country",))
+    scored = C.flip_opportunities(*scored_sets(spark, d), D.as_of(), ("country",))
     return scored.where(P.domestic_only()).orderBy(F.desc("score"), F.desc("est_profit"), "id").limit(50).select("id", "score", "est_profit")
 
 
@@ -114,8 +110,7 @@ def cost_calc(spark, d):  # noqa: ANN001, ANN201
 @query("explainer", f"""{COHORT_SQL} select id, floor((median - price_eur) / median * 100 + 0.5)::bigint || '% pod mediánom ' || year || ' ' || make || ' ' || model || ' v regióne ' || region || ' (cohort n=' || cohort_size || '). '
  || case seller_type when 'private' then 'Súkromný predajca' when 'dealer' then 'Predajca' else 'Predajca neznámy' end || '. Inzerát vystavený pred ' || floor(days + 0.5)::bigint || ' dňami.' as text from deal""".replace("else 'Predajca neznámy' end", "else 'Predajca neznámy' end"))
 def explainer(spark, d):  # noqa: ANN001, ANN201
-    p = pool(spark, d)
-    rows = C.below_quartile(p, reference(spark, d), ("seller_type", "first_seen_at", "year", "make", "model", "region"))
+    rows = C.below_quartile(*scored_sets(spark, d), ("seller_type", "first_seen_at", "year", "make", "model", "region"))
     days = N.days_between(D.as_of(), F.col("first_seen_at"))
     name = F.concat_ws(" ", F.col("year").cast("string"), "make", "model")
     return rows.select("id", scoring.explainer(F.col("price_eur"), F.col("median"), F.col("cohort_size"), F.col("seller_type"), days, name, F.col("region")).alias("text"))
@@ -453,7 +448,7 @@ def dq_enrichment(spark, d):  # noqa: ANN001, ANN201
 
 @query("dq_scores", f"{COHORT_SQL} select count(*) as scored, count(*) filter (score >= 70) as good, round(avg(score), 4) as mean, count(*) filter (confidence = 'high') as high from scored")
 def dq_scores(spark, d):  # noqa: ANN001, ANN201
-    s = C.flip_opportunities(pool(spark, d), reference(spark, d), D.as_of())
+    s = C.flip_opportunities(*scored_sets(spark, d), D.as_of())
     return s.agg(F.count("*").alias("scored"), F.count_if(F.col("score") >= 70).alias("good"), F.round(F.avg("score"), 4).alias("mean"), F.count_if(F.col("confidence") == "high").alias("high"))
 
 
