@@ -22,6 +22,7 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import small_batches, struct_of
@@ -387,7 +388,8 @@ def extract(pages: DataFrame, trees: Trees, html_col: str = "html") -> DataFrame
     shared = spark.sparkContext.broadcast(trees)
     schema = struct_of(pages, T.StructField("text", T.StringType()))
     keep = schema.names[:-1]
-    fed = pages.select(*[f"`{c}`" for c in keep], pages[html_col].alias("_html"))
+    # columns go by place: their names may be those of the helpers
+    fed = pages.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], F.col(f"`{html_col}`").alias("_html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

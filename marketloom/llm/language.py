@@ -206,7 +206,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     shared = spark.sparkContext.broadcast(model)
     schema = struct_of(docs, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()))
     keep = schema.names[:-2]
-    fed = docs.select(*[F.col(f"`{c}`") for c in keep], F.lower(F.col(text_col)).alias("_low"), has_letter(F.col(text_col)).alias("_letter"))
+    # columns go by place: their names may be those of the helpers
+    fed = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], F.lower(F.col(text_col)).alias("_low"), has_letter(F.col(text_col)).alias("_letter"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

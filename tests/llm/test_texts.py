@@ -195,3 +195,30 @@ def test_lowest_is_the_same_across_blocks(monkeypatch):
     monkeypatch.setattr(passages, "PLACE_BITS", 7)
     want = [i + int(np.argmin(values[i : i + 9] >> np.uint64(7))) for i in range(2992)]
     assert passages.lowest(values, 9).tolist() == want
+
+
+# --- helper names as input columns, in operators that keep the input's columns -----------------------------------------
+
+HELPERS = ["_low", "_letter", "_html", "c0", "c1", "score", "lang_pred", "n", "uid", "packed"]
+
+
+def test_columns_named_like_helpers_stay(spark):
+    from marketloom.llm import html, language, toxicity
+
+    rows = [(i, "zorba kolipa" if i % 2 else "thirween ashtoke", "xx" if i % 2 else "yy") for i in range(40)] + [(50, None, None), (51, "zorba " * 100_000, "xx"), (52, "zorba kolipa", None), (52, "zorba kolipa", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    more = clash(docs, HELPERS)
+    model = language.train(more)
+    out = language.identify(more, model).collect()
+    assert len(out) == 44 and all(r._low == r._letter == r.c0 == 7 for r in out)
+    assert {r.doc_id: r.lang_pred for r in out} == {r.doc_id: r.lang_pred for r in language.identify(docs, model).collect()}
+    # rows without a language are judged, not learned from
+    assert {r.lang_pred for r in out if r.doc_id == 52} == {"xx"} and {r.lang_pred for r in out if r.doc_id == 50} == {"und"}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    tox = toxicity.train(docs.select("doc_id", "text"), labels)
+    scored = toxicity.score(more, tox).collect()
+    assert len(scored) == 44 and all(r._low == 7 and 0 <= r.score <= 1 for r in scored)
+    assert len({round(r.score, 9) for r in scored if r.doc_id in (1, 52)}) == 1
+    pages = clash(spark.createDataFrame([(1, "<html><body><article><p>One long enough sentence of an article, said twice.</p></article></body></html>"), (2, None), (2, None)], "page_id long, html string"), [*HELPERS, "text"])
+    texts = html.extract(pages, html.train(spark)).collect()
+    assert len(texts) == 3 and all(r._html == r._low == 7 for r in texts) and [r.text for r in texts if r.page_id == 2] == ["", ""]
