@@ -49,7 +49,11 @@ def merge_observations(old: DataFrame, new: DataFrame, now: Column) -> DataFrame
 
 
 #: What a detail page fills in where the advert has nothing.
-DETAIL_FILLS = ["year", "mileage_km", "fuel", "gearbox", "model_id", "raw_title", "price_eur"]
+DETAIL_FILLS = ["year", "mileage_km", "fuel", "gearbox", "model_id", "raw_title", "price_eur", "locality"]
+
+#: Answers that say an advert's page is gone: also a refusal or being sent elsewhere.
+GONE_PAGE = [301, 302, 303, 307, 308, 403, 404, 410]
+GONE_MARK = "[GONE]"
 
 
 def merge_details(listings: DataFrame, details: DataFrame, now: Column) -> DataFrame:
@@ -76,9 +80,24 @@ def append_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def replace_children(old: DataFrame, new: DataFrame, parent: str, position: str, most: int = 100, url_length: int = 2000) -> DataFrame:
-    """All children of re-read parents replaced; over-long addresses and places beyond ``most`` are refused."""
-    kept = old.join(new.select(parent).distinct(), parent, "left_anti")
-    return kept.unionByName(new.where((F.col(position) <= most) & (F.length("url") <= url_length)))
+    """All children of re-read parents replaced. Addresses are cut to ``url_length``, places beyond ``most`` are refused; a parent of which nothing new stays keeps its old children."""
+    fresh = new.where(F.col(position) <= most).withColumn("url", F.substring("url", 1, url_length))
+    return old.join(fresh.select(parent).distinct(), parent, "left_anti").unionByName(fresh)
+
+
+def upsert_details(old: DataFrame, read: DataFrame, statuses: DataFrame, now: Column) -> DataFrame:
+    """Detail rows after a round of reading: a page that was read replaces the whole row, nulls included; a page found gone leaves the row there is, or else a marked one.
+
+    ``old`` and ``read`` have listing_id (once each), description and the same facts; ``statuses`` (id, status) what the
+    server said. A page with both was gone: its facts are not taken.
+    """
+    gone = statuses.where(F.col("status").isin(GONE_PAGE)).select(F.col("id").alias("listing_id")).distinct()
+    taken = read.join(gone, "listing_id", "left_anti").withColumn("detailed_at", now)
+    kept = old.join(taken.select("listing_id"), "listing_id", "left_anti")
+    kind = {f.name: f.dataType for f in old.schema.fields}
+    blank = {c: F.lit(None).cast(t) for c, t in kind.items()} | {"listing_id": F.col("listing_id"), "description": F.lit(GONE_MARK), "detailed_at": now.cast(kind["detailed_at"])}
+    marked = append_absent(old, gone, ["listing_id"]).select(*[blank[c].alias(c) for c in old.columns])
+    return kept.unionByName(taken.select(*[F.col(c).cast(t).alias(c) for c, t in kind.items()])).unionByName(marked)
 
 
 def apply_liveness(listings: DataFrame, checks: DataFrame, now: Column) -> DataFrame:
@@ -93,8 +112,8 @@ def apply_liveness(listings: DataFrame, checks: DataFrame, now: Column) -> DataF
 
 
 def tombstones(details: DataFrame, checks: DataFrame, now: Column) -> DataFrame:
-    """Detail rows (listing_id, detailed_at) of adverts found gone that have none: they are not asked for again."""
-    gone = checks.where(F.col("status").isin(404, 410)).select(F.col("id").alias("listing_id"), now.alias("detailed_at")).distinct()
+    """Marked detail rows (listing_id, detailed_at, description) of adverts found gone that have none: they are not asked for again."""
+    gone = checks.where(F.col("status").isin(GONE_PAGE)).select(F.col("id").alias("listing_id"), now.alias("detailed_at"), F.lit(GONE_MARK).alias("description")).distinct()
     return append_absent(details, gone, ["listing_id"])
 
 

@@ -324,7 +324,7 @@ def upsert_merge(spark, d):  # noqa: ANN001, ANN201
 
 
 DETAIL_SQL = f"""{L}, s as (select id, case when id % 4 <> 0 then (case when id % 2 = 0 then 'SK-' else 'CZ-' end) || region end as region, year, mileage_km, fuel, country, price_eur, price_checked_at, id % 3 = 0 as has from listings)
-select id, case when has then coalesce(mileage_km, 77000) else mileage_km end as mileage_km, case when has then coalesce(fuel, 'lpg') else fuel end as fuel,
+select id, case when id % 2 = 0 then 'Old' when has then 'Town' end as locality, case when has then coalesce(mileage_km, 77000) else mileage_km end as mileage_km, case when has then coalesce(fuel, 'lpg') else fuel end as fuel,
   case when has and (region is null or left(region, 2) <> 'SK') then 'SK-Town' else region end as region, case when has and id % 5 = 0 then null when has then coalesce(country, 'SK') else country end as country,
   case when has and id % 7 > 0 then coalesce(price_eur, 1234.0) else price_eur end as price_eur, strftime(case when has and id % 7 > 0 then coalesce(price_checked_at, {NOW}) else price_checked_at end, '{DAY}') as checked from s"""
 
@@ -335,10 +335,10 @@ def detail_merge(spark, d):  # noqa: ANN001, ANN201
     rows = D.listings(spark, d).withColumn("region", F.when(k % 4 != 0, F.concat(F.when(k % 2 == 0, "SK-").otherwise("CZ-"), "region")))
     details = rows.where(k % 3 == 0).select(
         "id", F.lit(2001).alias("year"), F.lit(77000).cast("bigint").alias("mileage_km"), F.lit("lpg").alias("fuel"), F.lit("manual").alias("gearbox"), F.lit(1).alias("model_id"), F.lit("t").alias("raw_title"),
-        F.when(k % 7 > 0, 1234.0).alias("price_eur"), F.lit("SK-Town").alias("region"), F.lit("SK").alias("country"), (k % 5 == 0).alias("abroad"),
+        F.when(k % 7 > 0, 1234.0).alias("price_eur"), F.lit("SK-Town").alias("region"), F.lit("SK").alias("country"), (k % 5 == 0).alias("abroad"), F.lit("Town").alias("locality"),
     )
-    out = M.merge_details(rows, details, D.as_of())
-    return out.select("id", "mileage_km", "fuel", "region", "country", "price_eur", F.date_format("price_checked_at", "yyyy-MM-dd").alias("checked"))
+    out = M.merge_details(rows.withColumn("locality", F.when(k % 2 == 0, F.lit("Old"))), details, D.as_of())
+    return out.select("id", "locality", "mileage_km", "fuel", "region", "country", "price_eur", F.date_format("price_checked_at", "yyyy-MM-dd").alias("checked"))
 
 
 @query("append_if_absent", "select o_orderkey, o_custkey from orders where o_orderkey % 3 = 0 and not (o_orderkey % 2 = 0)")
@@ -358,10 +358,11 @@ def purge_stale(spark, d):  # noqa: ANN001, ANN201
     return D.table(spark, d, "orders").join(D.table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select("o_orderkey")
 
 
-@query("replace_children", f"with {D.LISTINGS_SQL}, {D.PHOTOS_SQL} select * from photos where listing_id % 4 <> 1 union all select listing_id, position, url || '?v=2' from photos where listing_id % 4 = 1 and position <= 100 and length(url) <= 1996")
+@query("replace_children", f"with {D.LISTINGS_SQL}, {D.PHOTOS_SQL} select * from photos where listing_id % 4 <> 1 or listing_id % 3 = 0 union all select listing_id, position, left(url || repeat('x', 1990), 2000) from photos where listing_id % 4 = 1 and listing_id % 3 <> 0")
 def replace_children(spark, d):  # noqa: ANN001, ANN201
     old = D.photos(spark, d)
-    new = old.where("listing_id % 4 = 1").withColumn("url", F.concat("url", F.lit("?v=2")))
+    # of every third re-read advert all places are out of bounds: its photos stay
+    new = old.where("listing_id % 4 = 1").withColumns({"url": F.concat("url", F.repeat(F.lit("x"), F.lit(1990))), "position": F.when(F.col("listing_id") % 3 == 0, F.col("position") + 100).otherwise(F.col("position"))})
     return M.replace_children(old, new, "listing_id", "position")
 
 

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vehicles as V
+from ..operators import minting as N
+from ..operators import numbering as O
 from ..sources import cards as C
 from ..sources import details as T
 from ..sources import pages as S
 from ..sources import registry as R
 from ..streaming import events as E
+from ..streaming import rates as L
 from . import domain as D
 from .registry import query
 
@@ -210,10 +213,62 @@ def locality(spark, d):  # noqa: ANN001, ANN201
     return D.table(spark, d, "nation").select("n_nationkey", parts["locality"].alias("locality"), parts["abroad"].alias("abroad"))
 
 
-@query("cursor_next")
+CURSOR_SQL = """with recursive r as (select 's' || (user_id % 20) as source, (event_id % 90 + 1)::int as last_page, event_id % 97 = 0 as finished, event_type = 'error' as failed, row_number() over (partition by user_id % 20 order by event_id) as k from events),
+ w as (select source, 0::bigint as k, 1 as next_page, null::int as max_known, 0 as cycle, 0 as failures from (select distinct source from r)
+  union all select w.source, r.k, case when not failed then case when finished or last_page + 1 > 80 then 1 else last_page + 1 end when failures + 1 >= 3 then greatest(next_page, last_page) + 1 else next_page end,
+   case when finished and not failed then greatest(1, last_page) else max_known end, cycle + case when not failed and (finished or last_page + 1 > 80) then 1 else 0 end, case when failed and failures + 1 < 3 then failures + 1 else 0 end
+  from w join r on r.source = w.source and r.k = w.k + 1)
+ select source, next_page, 80 as page_space, max_known, cycle, failures from w qualify row_number() over (partition by source order by k desc) = 1"""
+
+
+@query("cursor_next", CURSOR_SQL)
 def cursor_next(spark, d):  # noqa: ANN001, ANN201
     k = F.col("event_id")
     runs = D.table(spark, d, "events").select(
         F.concat(F.lit("s"), (F.col("user_id") % 20).cast("string")).alias("source"), k.alias("run_id"), (k % 90 + 1).cast("int").alias("last_page"), (k % 97 == 0).alias("end"), (F.col("event_type") == "error").alias("failed")
     )
     return E.replay_cursors(runs, 80)
+
+
+# --- state and order ------------------------------------------------------------------------------------------------
+
+FIRST_HIT_SQL = """with recursive e as (select event_id, user_id % 300 as who, ts from events), w as (select who, min(ts) as opened from e group by who
+  union all select w.who, min(e.ts) from w join e on e.who = w.who and e.ts >= w.opened + interval 6 hours group by w.who, w.opened),
+ placed as (select e.event_id, max(w.opened) as opened from e join w on w.who = e.who and w.opened <= e.ts group by e.event_id)
+ select event_id, row_number() over (partition by who, opened order by ts, event_id) <= 2 as allowed, greatest(0, 2 - row_number() over (partition by who, opened order by ts, event_id))::int as remaining, floor(epoch(opened))::bigint as opened
+ from placed join e using (event_id)"""
+
+
+@query("rate_first_hit", FIRST_HIT_SQL)
+def rate_first_hit(spark, d):  # noqa: ANN001, ANN201
+    """Two events in six hours for each of 300 keys, windows opening at the first."""
+    hits = D.table(spark, d, "events").select("event_id", (F.col("user_id") % 300).alias("who"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+    rows = L.first_hit_verdicts(hits, "who", "ts", "event_id", 2, 6 * 3600)
+    return rows.select("event_id", "allowed", "remaining", F.unix_seconds(F.col("window_start").cast("timestamp")).alias("opened"))
+
+
+@query("every_nth", f"with {D.LISTINGS_SQL} select id from (select id, row_number() over (order by id) as k from listings) where k % 7 = 1")
+def every_nth(spark, d):  # noqa: ANN001, ANN201
+    """Every seventh of all adverts."""
+    return O.every_nth(D.listings(spark, d).select("id"), 7, "id")
+
+
+MINT_SPACE = 8191
+
+
+def _minted_sql() -> str:
+    """Five attempts, each as three named steps."""
+    start = "list_prepend(2166136261::bigint, list_transform(string_split(name || '-{k}', ''), lambda x: ascii(x)::bigint))"
+    place = f"1000000 + (list_reduce({start}, lambda h, x: (xor(h, x) * 16777619) & 4294967295) & {MINT_SPACE})"
+    steps = ["names as (select distinct p_brand || '-' || p_partkey as name from part)", "t0 as (select 1000000 + p_partkey * 3 as id from part where p_partkey <= 1000 or p_size < 5)", "p0 as (select name from names)"]
+    for k in range(5):
+        steps += [f"c{k} as (select name, {place.format(k=k)} as id from p{k})", f"w{k} as (select min(name) as name, id from c{k} where id not in (select id from t{k}) group by id)", f"t{k + 1} as (select id from t{k} union select id from w{k})", f"p{k + 1} as (select name from p{k} where name not in (select name from w{k}))"]
+    return f"with {', '.join(steps)} select name, id::bigint as id from (" + " union all ".join(f"select name, id from w{k}" for k in range(5)) + ") union all select name, null from p5"
+
+
+@query("minted_ids", _minted_sql())
+def minted_ids(spark, d):  # noqa: ANN001, ANN201
+    """Ids for all parts' names in a space so small that most collide and some find no place."""
+    part = D.table(spark, d, "part")
+    taken = part.where("p_partkey <= 1000 or p_size < 5").select(F.lit("taken").alias("name"), (F.col("p_partkey") * 3 + 1_000_000).alias("id"))
+    return N.mint_ids(part.select(F.concat_ws("-", "p_brand", F.col("p_partkey").cast("string")).alias("name")), taken, space=MINT_SPACE)

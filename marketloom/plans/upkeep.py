@@ -47,14 +47,27 @@ def enrich_modes(spark, d):  # noqa: ANN001, ANN201
     return out
 
 
-@query("detail_tombstones", f"{L} select id as listing_id, strftime({NOW}, '%Y-%m-%d') as detailed from listings where id % 6 < 2 and id % 4 <> 0 union all select id, '2025-01-01' from listings where id % 4 = 0")
+@query("detail_tombstones", f"{L} select id as listing_id, strftime({NOW}, '%Y-%m-%d') as detailed, '[GONE]' as description from listings where id % 6 < 4 and id % 4 <> 0 union all select id, '2025-01-01', null from listings where id % 4 = 0")
 def detail_tombstones(spark, d):  # noqa: ANN001, ANN201
     """The detail table after a round of checks: what was found gone has a row."""
     k = F.col("id")
     rows = D.listings(spark, d)
-    details = rows.where(k % 4 == 0).select(k.alias("listing_id"), F.lit("2025-01-01 00:00:00").cast("timestamp_ntz").alias("detailed_at"))
-    checks = rows.select("id", F.when(k % 6 == 0, 404).when(k % 6 == 1, 410).otherwise(200).alias("status"))
-    return details.unionByName(M.tombstones(details, checks, D.as_of())).select("listing_id", F.date_format("detailed_at", "yyyy-MM-dd").alias("detailed"))
+    details = rows.where(k % 4 == 0).select(k.alias("listing_id"), F.lit("2025-01-01 00:00:00").cast("timestamp_ntz").alias("detailed_at"), F.lit(None).cast("string").alias("description"))
+    checks = rows.select("id", F.get(F.array(*[F.lit(s) for s in (404, 410, 403, 302, 200, 500)]), (k % 6).cast("int")).alias("status"))
+    return details.unionByName(M.tombstones(details, checks, D.as_of())).select("listing_id", F.date_format("detailed_at", "yyyy-MM-dd").alias("detailed"), "description")
+
+
+@query("detail_rows", f"""{L}, one as (select distinct id from listings), old as (select id as listing_id, 'old' as description, id % 90 as power_kw, '2025-01-01' as detailed from one where id % 3 = 0),
+ gone as (select id from one where id % 6 < 4), new as (select id as listing_id, case when id % 5 > 0 then 'new' end as description, null::bigint as power_kw, '2025-11-30' as detailed from one where id % 4 = 0 and id not in (select * from gone))
+ select * from old where listing_id not in (select listing_id from new) union all select * from new union all select id, '[GONE]', null, '2025-11-30' from gone where id not in (select listing_id from old)""")
+def detail_rows(spark, d):  # noqa: ANN001, ANN201
+    """The detail table after a round of reading: rows replaced whole, gone pages marked."""
+    k = F.col("id")
+    rows = D.listings(spark, d).select("id").distinct()
+    old = rows.where(k % 3 == 0).select(k.alias("listing_id"), F.lit("old").alias("description"), (k % 90).alias("power_kw"), F.lit("2025-01-01 00:00:00").cast("timestamp_ntz").alias("detailed_at"))
+    new = rows.where(k % 4 == 0).select(k.alias("listing_id"), F.when(k % 5 > 0, "new").alias("description"), F.lit(None).cast("long").alias("power_kw"))
+    statuses = rows.select("id", F.get(F.array(*[F.lit(s) for s in (404, 410, 403, 302, 200, 500)]), (k % 6).cast("int")).alias("status"))
+    return M.upsert_details(old, new, statuses, D.as_of()).select("listing_id", "description", "power_kw", F.date_format("detailed_at", "yyyy-MM-dd").alias("detailed"))
 
 
 @query("refresh_write", f"""{FP_SQL}, o as (select *, case when id % 5 = 0 then null when id % 7 = 0 then 'stale' else fingerprint end as old, case when id % 11 = 0 then timestamp '2025-09-01' end as detailed_at from keyed)

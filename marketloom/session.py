@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "marketloom") -> SparkSession:
@@ -18,3 +20,16 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "marke
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with its rows and their parts fixed by a checkpoint in the folder that ``spark.checkpoint.dir`` names, or in a temporary one where all runs in one process."""
+    sc = df.sparkSession.sparkContext
+    named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="marketloom-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return df.checkpoint()

@@ -60,3 +60,26 @@ def replay_cursors(runs: DataFrame, page_space: int) -> DataFrame:
         yield pd.DataFrame([{"source": k, **v} for k, v in states.items()], columns=[c.split()[0] for c in CURSOR.split(", ")]).astype({"max_known": "Int32"})
 
     return runs.repartition("source").sortWithinPartitions("source", "run_id").select("source", "last_page", "end", "failed").mapInPandas(walk, CURSOR)
+
+
+STATE = "next_page int, max_known int, cycle int, failures int"
+FIELDS = [c.split()[0] for c in CURSOR.split(", ")]
+
+
+def cursor_stream(runs: DataFrame, page_space: int) -> DataFrame:
+    """The cursor of each source after each micro-batch of a stream of runs (source, run_id, last_page, end, failed), kept as state.
+
+    A batch's runs of a source apply in order of run_id, batches in the order they come. A source's state is four numbers;
+    it lives in the query's checkpoint, so a restarted query goes on where the last finished batch ended.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: object) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in STATE.split(", ")]
+        held = dict(zip(names, state.get, strict=True)) if state.exists else {"next_page": 1, "max_known": None, "cycle": 0, "failures": 0}
+        cursor = held | {"page_space": page_space}
+        for r in pd.concat(list(frames)).sort_values("run_id").itertuples(index=False):
+            cursor = next_cursor(cursor, {"failed": bool(r.failed), "end": bool(r.end), "last_page": int(r.last_page)})
+        state.update(tuple(None if cursor[c] is None else int(cursor[c]) for c in names))
+        yield pd.DataFrame([{"source": key[0], **cursor}], columns=FIELDS).astype({"max_known": "Int32"})
+
+    return runs.groupBy("source").applyInPandasWithState(step, CURSOR, STATE, "update", "NoTimeout")

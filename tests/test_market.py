@@ -167,10 +167,11 @@ def test_hourly_counts_stream(spark, tmp_path):
 def test_detail_merge(spark):
     cols = "id long, year int, mileage_km long, fuel string, gearbox string, model_id int, raw_title string, price_eur double, region string, country string"
     rows = [(1, None, 5, None, None, None, None, None, "SK-Brno", "SK"), (2, 2000, None, "diesel", None, 3, "t", 9.0, None, None), (3, None, None, None, None, None, None, None, "SK-A", "SK"), (4, None, None, None, None, None, None, 1.0, "SK-A", None)]
-    old = spark.createDataFrame(rows, cols).withColumn("price_checked_at", F.lit(None).cast("timestamp"))
-    new = spark.createDataFrame([(1, 1999, 7, "lpg", "manual", 2, "n", 8.0, "CZ-Brno", "CZ", False), (2, 1999, 7, "lpg", "manual", 2, "n", None, "SK-B", "SK", None), (3, None, None, None, None, None, None, None, "SK-B", "DE", True)], cols + ", abroad boolean")
+    old = spark.createDataFrame(rows, cols).withColumns({"price_checked_at": F.lit(None).cast("timestamp"), "locality": F.when(F.col("id") == 1, F.lit("Brno"))})
+    new = spark.createDataFrame([(1, 1999, 7, "lpg", "manual", 2, "n", 8.0, "CZ-Brno", "CZ", False), (2, 1999, 7, "lpg", "manual", 2, "n", None, "SK-B", "SK", None), (3, None, None, None, None, None, None, None, "SK-B", "DE", True)], cols + ", abroad boolean").withColumn("locality", F.lit("Detva"))
     now = F.lit("2025-01-01 00:00:00").cast("timestamp")
     out = {r.id: r for r in M.merge_details(old, new, now).collect()}
     assert (out[1].year, out[1].mileage_km, out[1].fuel, out[1].region, out[1].country, out[1].price_eur, out[1].price_checked_at is None) == (1999, 5, "lpg", "CZ-Brno", "SK", 8.0, False)
     assert (out[2].year, out[2].fuel, out[2].region, out[2].country, out[2].price_eur, out[2].price_checked_at) == (2000, "diesel", "SK-B", "SK", 9.0, None)
+    assert [out[k].locality for k in (1, 2, 3, 4)] == ["Brno", "Detva", "Detva", None]
     assert (out[3].region, out[3].country) == ("SK-A", None) and (out[4].region, out[4].country) == ("SK-A", None)
