@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.predicates import active
+from ..functions.text import is_vehicle
+from ..functions.vehicles import make_model
+from .minting import mint_ids
 
 #: Facts that keep their old value where the new one is missing.
 KEEP_OLD = ["year", "mileage_km", "fuel", "gearbox", "region", "country", "locality", "model_id", "raw_title", "view_count"]
@@ -164,3 +167,24 @@ def daily_prices(listings: DataFrame, history: DataFrame, day: Column, days: int
     fresh = listings.where(F.col("price_eur").isNotNull() & F.col("removed_at").isNull() & (F.col("price_checked_at") >= day - F.expr(f"interval {days} days")))
     rows = fresh.select(F.col("id").alias("listing_id"), F.to_date(day).alias("recorded_on"), "price_eur")
     return append_absent(history, rows, ["listing_id", "recorded_on"])
+
+
+def backfill_models(listings: DataFrame, brands: dict[str, list[str]], catalogue: DataFrame, attempts: int = 5) -> DataFrame:
+    """``listings`` with a model where they have none and their stored title names one.
+
+    Only active adverts are filled, and no model is ever overwritten. Brand and model of the title become the catalogue's
+    id for "brand-model" (``catalogue``: name, id), or one minted for it; a title without a known model fills nothing.
+    """
+    blank = F.col("model_id").isNull() & F.col("raw_title").isNotNull() & active()
+    titles = make_model(listings.where(blank).select("raw_title").distinct(), brands, "raw_title").where("model is not null")
+    named = titles.select("raw_title", F.concat_ws("-", "make", "model").alias("name"))
+    ids = mint_ids(named.select("name"), catalogue, attempts).select("name", F.col("id").alias("_model"))
+    found = named.join(ids, "name").select(F.col("raw_title").alias("_title"), "_model")
+    out = listings.join(found, blank & (F.col("raw_title") == F.col("_title")), "left")
+    kind = listings.schema["model_id"].dataType
+    return out.withColumn("model_id", F.coalesce("model_id", F.col("_model").cast(kind))).select(*listings.columns)
+
+
+def flag_parts(listings: DataFrame) -> DataFrame:
+    """``listings`` with is_vehicle false where the stored title is one of a part. No advert is made a vehicle again, so corrections by hand stay."""
+    return listings.withColumn("is_vehicle", F.when(F.col("is_vehicle") & F.col("raw_title").isNotNull(), is_vehicle(F.col("raw_title"))).otherwise(F.col("is_vehicle")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import active, plausible_priced
 from ..functions.rounding import percent_share
+from .quantiles import group_quantiles
 
 SLA_DAYS, DEFAULT_SLA = {"A": 4, "N": 4, "R": 6}, 5
 
@@ -29,9 +30,10 @@ def freshness(listings: DataFrame, as_of: Column) -> DataFrame:
     age = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("price_checked_at").cast("timestamp"))) / F.lit(86_400_000_000.0)
     table = F.create_map(*[F.lit(x) for kv in SLA_DAYS.items() for x in kv])
     rows = rows.withColumn("age", age).withColumn("sla", F.coalesce(F.try_element_at(table, F.col("source")), F.lit(DEFAULT_SLA)))
-    out = rows.groupBy("source").agg(
-        F.count("*").alias("priced"), F.count_if(F.col("age") <= F.col("sla")).alias("fresh"), F.percentile("age", 0.5).alias("p50"), F.percentile("age", 0.9).alias("p90"), F.max("age").alias("oldest")
-    )
+    counts = rows.groupBy("source").agg(F.count("*").alias("priced"), F.count_if(F.col("age") <= F.col("sla")).alias("fresh"), F.max("age").alias("oldest"))
+    # a source holds a third of all rows or more
+    ages = group_quantiles(rows, ["source"], "age", {"p50": 0.5, "p90": 0.9}).withColumnRenamed("source", "_source")
+    out = counts.join(ages, F.col("source").eqNullSafe(F.col("_source")), "left")
     return out.select("source", "priced", percent_share(F.col("fresh"), F.col("priced")).alias("fresh_pct"), *[(F.floor(F.col(c) * 100 + 0.5) / 100).alias(f"age_{c}") for c in ("p50", "p90", "oldest")])
 
 

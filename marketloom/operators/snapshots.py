@@ -63,3 +63,19 @@ def publish(published: DataFrame, computed: DataFrame, week: Column) -> DataFram
 def retired(published: DataFrame, computed: DataFrame, week: Column) -> DataFrame:
     """This week's published cohorts that are no longer computed."""
     return published.where(F.col("captured_on") == week).join(computed.select(*COHORT), COHORT, "left_anti")
+
+
+def publish_table(computed: DataFrame, path: str, week: Column) -> None:
+    """Writes this week's cohorts into the table at ``path``, kept in parts by ``captured_on``; parts of other weeks are not touched.
+
+    The week's part is replaced as a whole by dynamic partition overwrite: rows go to a staging folder first and take the
+    old part's place when all tasks are done, so a job that fails leaves the table as it was, and one that runs again
+    changes nothing. A week without cohorts gets no part, and the part it had is removed.
+    """
+    spark = computed.sparkSession
+    rows = computed.withColumn("captured_on", week.cast("date"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("captured_on").parquet(path)
+    if rows.isEmpty():
+        day = spark.range(1).select(F.date_format(week.cast("date"), "yyyy-MM-dd")).first()[0]
+        part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/captured_on={day}")
+        part.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(part, True)

@@ -70,6 +70,27 @@ def top_deals(spark, d):  # noqa: ANN001, ANN201
     return scored.where(P.domestic_only()).orderBy(F.desc("score"), F.desc("est_profit"), "id").limit(50).select("id", "score", "est_profit")
 
 
+SHOWN_SQL = "floor(median + 0.5)::bigint as median_eur, floor(floor(disc * 10000 + 0.5) / 100 * 10 + 0.5) / 10 as discount_pct"
+
+
+@query("deal_list", f"""{COHORT_SQL}, r as (select *, floor(floor(median + 0.5) - price_eur + 0.5)::bigint as gain_eur, floor(disc * 10000 + 0.5) / 100 as pct from scored where price_eur <= 60000)
+ select 'gain' as sort, * from (select id, {SHOWN_SQL}, gain_eur, floor(price_eur + 0.5)::bigint as price_eur, confidence from r where gain_eur >= 500 and pct >= 5 order by gain_eur desc, id limit 40)
+ union all select 'discount', * from (select id, {SHOWN_SQL}, gain_eur, floor(price_eur + 0.5)::bigint, confidence from r order by pct desc, id limit 25)""")
+def deal_list(spark, d):  # noqa: ANN001, ANN201
+    """The first form of the deal list, by both orders."""
+    deals = C.flip_opportunities(*scored_sets(spark, d), D.as_of(), ("price_eur", "model_id", "region"))
+    by_gain = C.deal_list(deals, "gain", 40, discount=5, gain=500, price=60000)
+    parts = [rows.select(F.lit(sort).alias("sort"), "id", "median_eur", "discount_pct", "gain_eur", "price_eur", "confidence") for sort, rows in (("gain", by_gain), ("discount", C.deal_list(deals, "discount", 25, price=60000)))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("deal_lookup", f"{COHORT_SQL} select id, score, {SHOWN_SQL}, est_profit, cohort_size, confidence from scored where id % 3 = 0")
+def deal_lookup(spark, d):  # noqa: ANN001, ANN201
+    """Deals as the pages of a third of all adverts show them."""
+    deals = C.flip_opportunities(*scored_sets(spark, d), D.as_of(), ("price_eur",))
+    return C.deals_of(deals, D.listings(spark, d).where("id % 3 = 0")).select("id", "score", "median_eur", "discount_pct", "est_profit", "cohort_size", "confidence")
+
+
 @query("confidence", "select k, case when c_custkey % 40 >= 20 and k <= 14 then 'high' when c_custkey % 40 >= 10 and k <= 30 then 'medium' else 'low' end as c, count(*) as n from customer, range(0, 40, 7) r(k) group by all")
 def confidence(spark, d):  # noqa: ANN001, ANN201
     rows = D.table(spark, d, "customer").select((F.col("c_custkey") % 40).alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(35).cast("long"), F.lit(7).cast("long"))).alias("k"))

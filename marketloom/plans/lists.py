@@ -10,6 +10,7 @@ from ..functions.buckets import mileage_bucket, year_bucket
 from ..functions.rounding import half_up
 from ..operators import search as S
 from ..operators.quality import SLA_DAYS  # noqa: F401  (re-exported for callers of the report)
+from ..operators.quantiles import group_quantiles
 from . import domain as D
 from .registry import query
 
@@ -260,7 +261,8 @@ def run_summary(spark, d):  # noqa: ANN001, ANN201
 def age_percentiles(spark, d):  # noqa: ANN001, ANN201
     age = F.unix_micros(D.as_of().cast("timestamp")) - F.unix_micros(F.col("price_checked_at").cast("timestamp"))
     rows = D.listings(spark, d).where("price_checked_at is not null").select("source", (age / 86_400_000_000.0).alias("age"))
-    return rows.groupBy("source").agg(F.round(F.percentile("age", 0.5), 4).alias("p50"), F.round(F.percentile("age", 0.9), 4).alias("p90"), F.round(F.max("age"), 4).alias("oldest"))
+    ages = group_quantiles(rows, ["source"], "age", {"p50": 0.5, "p90": 0.9, "oldest": 1.0})
+    return ages.select("source", *[F.round(c, 4).alias(c) for c in ("p50", "p90", "oldest")])
 
 
 @query("region_counts", "with g as (select count(*) filter (n_name ilike '%_1%') as a, count(*) filter (n_name ilike '%2%') as b, count(*) filter (n_name ilike 'NATION_%') as c from supplier join nation on s_nationkey = n_nationkey) unpivot g on a, b, c into name region value n")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vehicles as V
+from ..operators import lifecycle as M
 from ..operators import minting as N
 from ..operators import numbering as O
 from ..sources import cards as C
@@ -272,3 +273,28 @@ def minted_ids(spark, d):  # noqa: ANN001, ANN201
     part = D.table(spark, d, "part")
     taken = part.where("p_partkey <= 1000 or p_size < 5").select(F.lit("taken").alias("name"), (F.col("p_partkey") * 3 + 1_000_000).alias("id"))
     return N.mint_ids(part.select(F.concat_ws("-", "p_brand", F.col("p_partkey").cast("string")).alias("name")), taken, space=MINT_SPACE)
+
+
+TYPES = ["economy", "small", "medium", "standard", "large"]
+NAME_SQL = "lower(replace(make, '#', '-')) || '-' || lower(model)"
+KNOWN_SQL = f"({NAME_SQL} in (select 'brand-' || k || '-' || t from range(0, 26, 2) b(k), (values {', '.join(f"('{t}')" for t in TYPES)}) m(t)))"
+HASH_SQL = f"1000000 + (list_reduce(list_prepend(2166136261::bigint, list_transform(string_split({NAME_SQL} || '-0', ''), lambda x: ascii(x)::bigint)), lambda h, x: (xor(h, x) * 16777619) & 4294967295) & 8388607)"
+
+
+@query("backfill_models", f"""with {D.LISTINGS_SQL} select id, case when id % 3 > 0 then model_id when not ({D.ACTIVE_SQL}) or model = 'PROMO' then null
+ when {KNOWN_SQL} then ('0x' || left(md5({NAME_SQL}), 5))::bigint else {HASH_SQL} end as model_id, is_vehicle from listings""")
+def backfill_models(spark, d):  # noqa: ANN001, ANN201
+    """A third of all adverts lack a model; brands of even numbers are in the catalogue, ids of the others are minted."""
+    brands = {f"brand-{k}": TYPES for k in range(26)}
+    names = [(f"brand-{k}-{t}",) for k in range(0, 26, 2) for t in TYPES]
+    catalogue = spark.createDataFrame(names, "name string").select("name", F.conv(F.substring(F.md5("name"), 1, 5), 16, 10).cast("long").alias("id"))
+    rows = D.listings(spark, d).withColumn("model_id", F.when(F.col("id") % 3 > 0, F.col("model_id")).cast("long"))
+    return M.backfill_models(rows, brands, catalogue).select("id", "model_id", "is_vehicle")
+
+
+@query("flag_parts", f"with {D.LISTINGS_SQL} select id, is_vehicle and id % 5 > 1 as is_vehicle from listings")
+def flag_parts(spark, d):  # noqa: ANN001, ANN201
+    """Two in five titles are made those of parts; adverts that are no vehicles already stay so."""
+    part = F.when(F.col("id") % 5 == 0, text_of("Nárazník ", F.col("raw_title"))).when(F.col("id") % 5 == 1, text_of("Zimné 205/55 R16 ", F.col("raw_title")))
+    titled = D.listings(spark, d).withColumn("raw_title", F.coalesce(part, F.col("raw_title")))
+    return M.flag_parts(titled).select("id", "is_vehicle")

@@ -133,3 +133,68 @@ def test_photos_are_cut_and_never_lost(spark):
     new = spark.createDataFrame([(1, 1, "x" * 2100), (1, 101, "y"), (2, 150, "z")], "id long, position int, url string")
     rows = sorted((r.id, r.position, len(r.url)) for r in M.replace_children(old, new, "id", "position").collect())
     assert rows == [(1, 1, 2000), (2, 1, 1), (3, 1, 1)]
+
+
+# --- quantiles of large groups, the table of snapshots, backfills ------------------------------------------------------
+
+
+def test_quantiles_of_hot_null_and_single_groups(spark):
+    import numpy as np
+
+    from marketloom.operators.quantiles import group_quantiles
+
+    r = random.Random(6)
+    rows = [("hot", r.choice([None, 5.0, r.random()])) for _ in range(700)] + [(None, 1.0), (None, 4.0), ("one", 3.0), ("none", None)] + [("b", float(r.randrange(9))) for _ in range(50)]
+    got = {x.g: (x.p25, x.p90, x.top) for x in group_quantiles(spark.createDataFrame(rows, "g string, v double").repartition(7), ["g"], "v", {"p25": 0.25, "p90": 0.9, "top": 1.0}).collect()}
+    assert set(got) == {"hot", None, "one", "b"}
+    for g, found in got.items():
+        values = [v for k, v in rows if k == g and v is not None]
+        assert found == pytest.approx([np.quantile(values, q) for q in (0.25, 0.9, 1.0)], abs=1e-12)
+    assert group_quantiles(spark.createDataFrame([], "g string, v double"), ["g"], "v", {"m": 0.5}).count() == 0
+
+
+def test_published_table_survives_reruns_and_failures(spark, tmp_path):
+    from marketloom.operators import snapshots as S
+
+    path = str(tmp_path / "published")
+    week = lambda d: F.lit(d)
+    now = spark.createDataFrame([(1, "a", 10), (2, "a", 20)], "model_id int, year_bucket string, n int")
+    stands = lambda: sorted((x.model_id, x.n, str(x.captured_on)) for x in spark.read.parquet(path).collect())
+    S.publish_table(now, path, week("2025-05-19"))
+    S.publish_table(now.where("model_id = 1"), path, week("2025-05-26"))
+    S.publish_table(now.where("model_id = 1").withColumn("n", F.lit(11)), path, week("2025-05-26"))
+    before = [(1, 10, "2025-05-19"), (1, 11, "2025-05-26"), (2, 20, "2025-05-19")]
+    assert stands() == before
+    # a job that fails midway leaves the table as it was
+    broken = now.repartition(2, "model_id").withColumn("n", F.when(F.col("model_id") == 2, F.raise_error(F.lit("lost")).cast("int")).otherwise(F.col("n")))
+    with pytest.raises(Exception, match="lost"):
+        S.publish_table(broken, path, week("2025-05-26"))
+    assert stands() == before
+    S.publish_table(now.limit(0), path, week("2025-05-26"))
+    assert stands() == [(1, 10, "2025-05-19"), (2, 20, "2025-05-19")]
+
+
+def test_backfills_never_overwrite(spark):
+    cols = "id long, model_id int, raw_title string, is_vehicle boolean, canonical_listing_id long, sold_at timestamp, removed_at timestamp"
+    rows = [(1, None, "Predám Škoda Fabia 1.2", True, None, None, None), (2, 9, "Škoda Fabia", True, None, None, None), (3, None, "Škoda Fabia", True, 1, None, None), (4, None, "Škoda Octavia", True, None, None, None), (5, None, "Škoda neznáma", True, None, None, None), (6, None, None, True, None, None, None),
+            (7, 3, "Nárazník Fabia", True, None, None, None), (8, 3, "Škoda Fabia", False, None, None, None)]
+    df = spark.createDataFrame(rows, cols)
+    catalogue = spark.createDataFrame([("skoda-fabia", 42)], "name string, id long")
+    out = {r.id: r.model_id for r in M.backfill_models(df, {"skoda": ["fabia", "octavia"]}, catalogue).collect()}
+    assert out == {1: 42, 2: 9, 3: None, 4: 1_000_000 + (fnv("skoda-octavia-0") & 0x7FFFFF), 5: None, 6: None, 7: 3, 8: 3}
+    assert {r.id: r.is_vehicle for r in M.flag_parts(df).collect()} == {1: True, 2: True, 3: True, 4: True, 5: True, 6: True, 7: False, 8: False}
+
+
+def test_deal_list_orders_and_bounds(spark):
+    from marketloom.operators import cohorts as C
+
+    rows = [(1, 1000, 700.4, 29.96, "low", 1, "a", 70), (2, 9000, 5000.0, 44.44, "high", 2, "b", 80), (3, 2000, 1500.0, 25.0, "medium", 1, "a", None), (4, 1000, 700.4, 29.96, "low", 1, None, 60)]
+    deals = spark.createDataFrame(rows, "id long, median_eur long, price_eur double, discount_pct double, confidence string, model_id int, region string, score int").withColumn("est_profit", F.lit(None).cast("long"))
+    ids = lambda **k: [r.id for r in C.deal_list(deals, **k).collect()]
+    assert ids() == [2, 1, 4, 3] and ids(sort="gain") == [2, 3, 1, 4] and ids(size=1) == [2]
+    assert ids(confidence="medium") == [2, 3] and ids(price=1000) == [1, 4] and ids(discount=30) == [2] and ids(gain=400) == [2, 3] and ids(model_id=1, region="a") == [1, 3]
+    assert C.deal_list(deals).first().discount_pct == 44.4
+    one = {r.id: r.est_profit for r in C.deals_of(deals, spark.createDataFrame([(1,), (1,), (3,), (9,)], "id long")).collect()}
+    assert one == {1: 1000 - 700 - 800 - 50}
+    with pytest.raises(ValueError):
+        C.deal_list(deals, sort="x")
