@@ -188,21 +188,21 @@ def year_label(spark, d):  # noqa: ANN001, ANN201
     k = F.col("c_custkey")
     year, two = (k % 46 + 1980).cast("string"), F.lpad((k % 27).cast("string"), 2, "0")
     texts = [
-        F.concat(F.lit("1968cm3, r.v.: "), (k % 12 + 1).cast("string"), F.lit("/"), two, F.lit(", 1968cm³, 110kW")), F.lit("r.v.: 19/22"), F.concat(F.lit("MODEL "), year), F.concat(F.lit("Peugeot 207, rocnik "), year, F.lit(", hatchback")),
-        F.concat(F.lit("Prvá evidencia "), year), F.concat(F.lit("1. evidencia: 3/"), year), F.concat(F.lit("✅Rok výroby: 5.20."), year), F.lit("servisná prehliadka, Objem: 1984cm³"),
+        F.concat(F.lit("1598cm3, r.v.: "), (k % 12 + 1).cast("string"), F.lit("/"), two, F.lit(", objem 1598cm³, 85kW")), F.lit("r.v.: 17/23"), F.concat(F.lit("MODEL "), year), F.concat(F.lit("Malé mestské auto, rocnik "), year, F.lit(", trojdverové")),
+        F.concat(F.lit("Prvá evidencia "), year), F.concat(F.lit("1. evidencia: 9/"), year), F.concat(F.lit("★Rok výroby: 7.31."), year), F.lit("servisné intervaly, Objem: 1998cm³"),
     ]
     text = F.get(F.array(*texts), (k % 8).cast("int"))
     title = F.when(k % 8 == 7, F.concat(F.lit("Auto "), (k % 46 + 1975).cast("string")))
     return D.table(spark, d, "customer").select("c_custkey", V.labelled_year(text, title, D.NEXT_YEAR).cast("long").alias("year"))
 
 
-@query("km_label", """select c_custkey, case c_custkey % 7 when 0 then 1000 + c_custkey when 1 then (1 + c_custkey % 100) * 1000 when 2 then 100000 + c_custkey when 3 then 1000 + c_custkey when 4 then 182700 when 5 then null else (1 + c_custkey % 100) * 1000 end as km from customer""")
+@query("km_label", """select c_custkey, case c_custkey % 7 when 0 then 1000 + c_custkey when 1 then (1 + c_custkey % 100) * 1000 when 2 then 100000 + c_custkey when 3 then 1000 + c_custkey when 4 then 201300 when 5 then null else (1 + c_custkey % 100) * 1000 end as km from customer""")
 def km_label(spark, d):  # noqa: ANN001, ANN201
     k = F.col("c_custkey")
     plain, few = (k + 1000).cast("string"), (k % 100 + 1).cast("string")
     texts = [
-        F.concat(F.lit("Najazdené: "), plain, F.lit(" km")), F.concat(F.lit("Rok vyroby - 2018 Najazdenych - "), few, F.lit(" tisic km")), F.concat(F.lit("motor 77 kW ✅ "), F.replace(F.format_number(k + 100000, 0), F.lit(","), F.lit(" ")), F.lit(" km")),
-        F.concat(F.lit("RV:2/2018 KW:140 KM:"), plain, F.lit(" ABS")), F.lit("MOD. ROK 2015 182 700 KM 147 KW"), F.lit("spotreba cca 5.2 lit. /100 km"), F.concat(F.lit("rv. 05/2014, najazdené "), few, F.lit("tis. km")),
+        F.concat(F.lit("Najazdené: "), plain, F.lit(" km")), F.concat(F.lit("Rok vyroby - 2015 Najazdenych - "), few, F.lit(" tisic km")), F.concat(F.lit("výkon 66 kW ★ "), F.replace(F.format_number(k + 100000, 0), F.lit(","), F.lit(" ")), F.lit(" km")),
+        F.concat(F.lit("RV:6/2014 KW:103 KM:"), plain, F.lit(" klíma")), F.lit("ROK 2013 201 300 KM 110 KW"), F.lit("spotreba okolo 6.1 lit. /100 km"), F.concat(F.lit("rv. 08/2011, najazdené "), few, F.lit("tis. km")),
     ]
     return D.table(spark, d, "customer").select("c_custkey", V.odometer(F.get(F.array(*texts), (k % 7).cast("int"))).alias("km"))
 

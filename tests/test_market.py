@@ -94,13 +94,13 @@ def test_days_to_sell_needs_five_sales(spark):
 @pytest.mark.parametrize(
     ("text", "title", "year"),
     [
-        ("r.v.: 12/22, 1968cm³", None, 2022), ("nič", "Auto 2011", 2011), ("rok 1968", None, None), ("R.V. 5.6.2019", None, 2019), ("r.v.: 3/19", None, 2019), ("r.v.: 05/98", None, 1998),
-        ("r.v.: 12/22, 1968cm³, 110kW (150PS), Automat", None, 2022), ("Objem: 1984cm³", None, None), ("Objem: 2000cm³", None, None), ("Rok výroby: 10/2018", None, 2018), ("MODEL 2020", None, 2020),
-        ("r.v.: 19/22", None, None), ("r.v 2022/4 s nájazdom 157800km", None, 2022), ("✅️r.v: 2023/3", None, 2023), ("✅Rok výroby: 5.2.2021", None, 2021), ("✅Rok výroby:18.1.2023", None, 2023),
-        ("DSG automat 7st.,r.v11/2022, Diesel", None, 2022), ("✅️PRVÁ registrácia 06/2024, ✅️NÁJAZD 147 765 km.", None, 2024), ("Rok výroby: 12.11.1998", None, 1998), ("Rok výroby: 5.20.2021", None, 2021),
-        ("R.v 2013, najazdené 247tis km", None, 2013), ("Manualna 5stupnova prevodovka, rv. 2013", None, 2013), ("Renault Master,2.5dci,rv2004,naj.146tis", None, 2004), ("rv.6/2015 avantgarde vybava", None, 2015),
-        ("r. v. 2019 – spoľahlivé kombi", None, 2019), ("Technické údaje r. v. : 05/17, 3956cm³", None, 2017), ("Peugeot 207, rocnik 2011, karoseria hatchback", None, 2011), ("ročník 2011", None, 2011),
-        ("servisná prehliadka po 2000 km", None, None), ("rezervné koleso, výbava 2000 W audio", None, None), ("Prvá evidencia 2015", None, 2015), ("1. evidencia: 3/2014", None, 2014), (None, None, None),
+        ("dátum r.v.: 04/21, 1598cm³", None, 2021), ("bez údajov", "Kombi 2009", 2009), ("rok 1971", None, None), ("R.V. 7.3.2017", None, 2017), ("r.v.: 9/16", None, 2016), ("r.v.: 11/97", None, 1997),
+        ("Diesel, r.v.: 04/21, objem 1598cm³, 85kW", None, 2021), ("Objem: 1395cm³", None, None), ("Objem: 1998cm³", None, None), ("Rok výroby: 8/2014", None, 2014), ("MODEL 2019", None, 2019),
+        ("r.v.: 17/23", None, None), ("r.v 2021/9 prejdených 40500km", None, 2021), ("★r.v: 2020/11", None, 2020), ("★Rok výroby: 14.6.2016", None, 2016), ("★Rok výroby:3.10.2020", None, 2020),
+        ("manuál 6st.,r.v10/2020, Benzín", None, 2020), ("PRVÁ registrácia 02/2022, stav 30 100 km.", None, 2022), ("Rok výroby: 24.8.1999", None, 1999), ("Rok výroby: 7.31.2018", None, 2018),
+        ("R.v 2010, prešlo 190tis km", None, 2010), ("Päťstupňová prevodovka, rv. 2008", None, 2008), ("Dodávka,1.9tdi,rv2003,naj.210tis", None, 2003), ("rv.9/2012 plná výbava", None, 2012),
+        ("r. v. 2016 – rodinné auto", None, 2016), ("Parametre r. v. : 08/15, 2998cm³", None, 2015), ("Malé mestské auto, rocnik 2007, trojdverové", None, 2007), ("ročník 2014", None, 2014),
+        ("servisné intervaly každých 2010 km", None, None), ("rezervný kľúč, zosilňovač 2005 W", None, None), ("Prvá evidencia 2012", None, 2012), ("1. evidencia: 9/2016", None, 2016), (None, None, None),
     ],
 )
 def test_labelled_years(spark, text, title, year):
@@ -111,9 +111,9 @@ def test_labelled_years(spark, text, title, year):
 @pytest.mark.parametrize(
     ("text", "km"),
     [
-        ("Najazdené: 125 000 km", 125000), ("motor 77 kW 100 005 km", 100005), ("190 tis. km", 190000), ("5 km", None), (None, None), ("Rok vyroby 2016 Najazdenych 116 tis km - zmluvne garantované", 116000),
-        ("rv. 05/2014, najazdené 225tis. km", 225000), ("Rok vyroby - 2018 Najazdenych - 42 tisic km", 42000), ("Predám auto, cena 15 tis €, dohoda možná", None), ("Vymena/Predaj RV:2/2018 KW:140 KM:130904 ABS, Airbagy", 130904),
-        ("Km 176000km Tažne, koženy interier", 176000), ("✅️km: 112000 ✅️r.v: 2023/2", 112000), ("MOD. ROK 2015 182 700 KM 147 KW", 182700), ("Najazdené: 169 676 km", 169676), ("Vyborna spotreba cca 5.2 lit. /100 km", None),
+        ("Najazdené: 88 500 km", 88500), ("výkon 66 kW 140 020 km", 140020), ("175 tis. km", 175000), ("7 km", None), (None, None), ("Rok vyroby 2012 Najazdenych 98 tis km - doklady", 98000),
+        ("rv. 08/2011, najazdené 160tis. km", 160000), ("Rok vyroby - 2015 Najazdenych - 63 tisic km", 63000), ("Cena dohodou, okolo 12 tis €", None), ("Možná výmena RV:6/2014 KW:103 KM:98760 klíma", 98760),
+        ("Km 143000km strešné nosiče", 143000), ("★km: 64000 ★r.v: 2021/5", 64000), ("ROK 2013 201 300 KM 110 KW", 201300), ("Najazdené: 54 321 km", 54321), ("Spotreba okolo 6.1 lit. /100 km", None),
     ],
 )
 def test_odometers(spark, text, km):
