@@ -69,14 +69,31 @@ def page(rows: DataFrame, sort: str, number: int, size: int) -> DataFrame:
     return rows.orderBy(*SORTS[sort]()).offset((number - 1) * size).limit(size)
 
 
+#: Borders of the grid's cells. They only deal the work out; the exact criteria decide.
+PRICE_CELLS, YEAR_CELLS = (5_000, 10_000, 20_000, 40_000, 80_000), (2000, 2010, 2015, 2020)
+NO_VALUE = -1
+
+
+def cell(value: Column, borders: Sequence[int]) -> Column:
+    """The number of borders at or below the value; a missing value has a cell of its own."""
+    return F.coalesce(sum((F.when(value >= b, 1).otherwise(0) for b in borders), F.lit(0)) + F.when(value.isNull(), None).otherwise(0), F.lit(NO_VALUE))
+
+
 def _fitting(watches: DataFrame, listings: DataFrame, *more: Column) -> DataFrame:
+    """Watches and the adverts that fit them. They meet by model and by cells of price and year: an advert lies in one cell,
+    a watch is copied to those its bounds reach, or to all, with that of missing values, where it has none. So the adverts
+    of one model meet in up to thirty places, and no candidate far outside the bounds is made."""
     new = listings.where(listed() & F.col("canonical_listing_id").isNull()).withColumnRenamed("model_id", "l_model")
+    new = new.withColumns({"_p": cell(F.col("price_eur"), PRICE_CELLS), "_y": cell(F.col("year"), YEAR_CELLS)})
     w = F.col
+    reach_p = F.when(w("price_max").isNull(), F.sequence(F.lit(NO_VALUE), F.lit(len(PRICE_CELLS)))).otherwise(F.sequence(F.lit(0), cell(w("price_max"), PRICE_CELLS)))
+    reach_y = F.when(w("year_min").isNull(), F.sequence(F.lit(NO_VALUE), F.lit(len(YEAR_CELLS)))).otherwise(F.sequence(cell(w("year_min"), YEAR_CELLS), F.lit(len(YEAR_CELLS))))
+    copies = watches.where("enabled").withColumn("w_p", F.explode(reach_p)).withColumn("w_y", F.explode(reach_y))
     fits = (
-        (w("model_id") == w("l_model")) & (w("price_max").isNull() | (w("price_eur") <= w("price_max")))
+        (w("model_id") == w("l_model")) & (w("w_p") == w("_p")) & (w("w_y") == w("_y")) & (w("price_max").isNull() | (w("price_eur") <= w("price_max")))
         & (w("year_min").isNull() | (w("year") >= w("year_min"))) & (w("mileage_max").isNull() | (w("mileage_km") <= w("mileage_max")))
     )
-    return watches.where("enabled").join(new, all_of([fits, *more])).select("watch_id", "id", "price_eur", "first_seen_at")
+    return copies.join(new, all_of([fits, *more])).select("watch_id", "id", "price_eur", "first_seen_at")
 
 
 def match_watches(watches: DataFrame, listings: DataFrame, since: Column, until: Column) -> DataFrame:
@@ -92,8 +109,15 @@ def match_since_notified(watches: DataFrame, listings: DataFrame, until: Column,
     return _fitting(own, listings.where(F.col("first_seen_at").between(oldest, until)), F.col("first_seen_at") >= F.col("since"))
 
 
-def top_per_group(rows: DataFrame, group: str, order: list[Column], shown: int) -> DataFrame:
-    """The first rows of each group, and how many more there are."""
-    w = W.partitionBy(group)
-    ranked = rows.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("extra", F.greatest(F.count("*").over(w) - shown, F.lit(0)))
-    return ranked.where(F.col("rank") <= shown)
+def top_per_group(rows: DataFrame, group: str, order: list[Column], shown: int, parts: int = 16) -> DataFrame:
+    """The first rows of each group, and how many more there are.
+
+    Groups are ranked and counted in parts first, of which only the first rows and the counts go on, so that no task sorts a
+    group of any size.
+    """
+    part = W.partitionBy(group, "_part")
+    first = rows.withColumn("_part", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(parts)))
+    first = first.withColumn("_rank", F.row_number().over(part.orderBy(*order))).withColumn("_n", F.count("*").over(part)).where(F.col("_rank") <= shown)
+    whole = W.partitionBy(group)
+    ranked = first.withColumn("rank", F.row_number().over(whole.orderBy(*order))).withColumn("extra", F.greatest(F.sum(F.when(F.col("_rank") == 1, F.col("_n")).otherwise(0)).over(whole) - shown, F.lit(0)))
+    return ranked.where(F.col("rank") <= shown).drop("_part", "_rank", "_n")

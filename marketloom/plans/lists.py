@@ -208,12 +208,12 @@ def count_distinct_having(spark, d):  # noqa: ANN001, ANN201
     return D.listings(spark, d).where("vin is not null").groupBy("vin").agg(F.count_distinct("source").alias("sources")).where("sources > 1")
 
 
-@query("incoherent_clusters", f"{L} select seller, region from listings where source = 'A' and model_id < 4 group by all having count(distinct model_id) > 1 or max(year) - min(year) > 2 or max(price_eur) > 3 * nullif(min(price_eur), 0)")
+@query("incoherent_clusters", f"{L} select seller, region, source from listings group by all having count(distinct model_id) > 1 or max(year) - min(year) > 2 or max(price_eur) > 3 * nullif(min(price_eur), 0)")
 def incoherent_clusters(spark, d):  # noqa: ANN001, ANN201
-    g = D.listings(spark, d).where("source = 'A' and model_id < 4").groupBy("seller", "region").agg(
+    g = D.listings(spark, d).groupBy("seller", "region", "source").agg(
         F.count_distinct("model_id").alias("m"), (F.max("year") - F.min("year")).alias("y"), F.max("price_eur").alias("hi"), F.nullif(F.min("price_eur"), F.lit(0)).alias("lo")
     )
-    return g.where("m > 1 or y > 2 or hi > 3 * lo").select("seller", "region")
+    return g.where("m > 1 or y > 2 or hi > 3 * lo").select("seller", "region", "source")
 
 
 @query("weighted_mean", f"{L}, s as (select model_id, region, median(price_eur) as m, count(*) as n from listings group by all) select model_id, round(sum(m * n) / nullif(sum(n), 0), 4) as wm from s group by model_id")

@@ -198,3 +198,29 @@ def test_deal_list_orders_and_bounds(spark):
     assert one == {1: 1000 - 700 - 800 - 50}
     with pytest.raises(ValueError):
         C.deal_list(deals, sort="x")
+
+
+# --- watches ----------------------------------------------------------------------------------------------------------
+
+
+def test_watches_on_one_hot_model_equal_all_pairs(spark):
+    from marketloom.operators import search as S
+
+    r = random.Random(8)
+    start = dt.datetime(2025, 1, 1)
+    ads = [(i, 1 if i % 3 else r.choice([2, None]), r.choice([None, 5000.0, 4999.99, 80_000.0, float(r.randrange(100, 200_000))]), r.choice([None, 1999, 2000, 2010, 2020, 2024]), r.choice([None, 10, 150_000, 200_000]), start + dt.timedelta(hours=i)) for i in range(300)]
+    asks = [(w, r.choice([1, 1, 2]), r.choice([None, 4999, 5000, 5001, 79_999, 80_000, 500_000]), r.choice([None, 1950, 2000, 2001, 2020, 2030]), r.choice([None, 150_000]), w % 7 > 0) for w in range(60)]
+    listings = spark.createDataFrame(ads, "id long, model_id int, price_eur double, year int, mileage_km long, first_seen_at timestamp_ntz").withColumns({"removed_at": F.lit(None).cast("timestamp"), "canonical_listing_id": F.lit(None).cast("long")})
+    watches = spark.createDataFrame(asks, "watch_id long, model_id int, price_max long, year_min int, mileage_max long, enabled boolean")
+    since, until = (F.lit(str(start + dt.timedelta(hours=h))).cast("timestamp_ntz") for h in (20, 250))
+    got = sorted((x.watch_id, x.id) for x in S.match_watches(watches, listings, since, until).collect())
+    want = sorted((w, i) for w, wm, pm, ym, km, on in asks for i, m, p, y, k, t in ads if on and m == wm and 20 <= i <= 250 and (pm is None or (p is not None and p <= pm)) and (ym is None or (y is not None and y >= ym)) and (km is None or (k is not None and k <= km)))
+    assert got == want and len(got) > 200
+
+
+def test_top_rows_of_hot_groups_with_what_is_left(spark):
+    from marketloom.operators import search as S
+
+    rows = [("hot", i) for i in range(500)] + [("few", i) for i in range(3)] + [(None, 1)]
+    got = S.top_per_group(spark.createDataFrame(rows, "g string, v int").repartition(6), "g", [F.desc("v")], 4).collect()
+    assert sorted(((x.g or "", x.v, x.rank, x.extra) for x in got)) == sorted([("hot", 499 - k, k + 1, 496) for k in range(4)] + [("few", 2 - k, k + 1, 0) for k in range(3)] + [("", 1, 1, 0)])
