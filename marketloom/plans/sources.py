@@ -91,10 +91,12 @@ ORDINAL_SQL = "row_number() over (partition by id // 1000000000000 order by id)
 # an id given twice counts once, for the card that stands first
 ONCE_SQL = "(select * from listings qualify row_number() over (partition by id order by {}) = 1)"
 FLAT_SQL = f"""select id // 1000000000000 as page_id, {ORDINAL_SQL} as ordinal, 'flat' as source, id::varchar as source_id, 'https://flat.example/inzerat/' || id || '/auto.php' as url, make || ' ' || model as raw_title,
-  case when floor(price_eur) >= 100 then floor(price_eur)::bigint end as price_eur, case when year between 1980 and 2026 then year end as year, case when mileage_km between 100 and 1999999 then mileage_km end as mileage_km, fuel, gearbox, null as region, 'SK' as country, null as locality,
+  case when floor(price_eur) >= 100 then floor(price_eur)::bigint end as price_eur, coalesce(case when year between 1980 and 2026 then year end, case when mileage_km between 1980 and 2024 then mileage_km end) as year, case when mileage_km between 100 and 1999999 then mileage_km end as mileage_km, fuel, gearbox, null as region, 'SK' as country, null as locality,
   'https://img.example.com/' || id || '.jpg' as thumbnail, case when id % 3 = 0 then id % 2000 end as view_count, case when is_featured then true end as is_featured, '0901 234 ' || lpad((id % 1000)::varchar, 3, '0') as seller_phone from {ONCE_SQL.format("year, mileage_km || ' '")}"""
 WRAPPED_SQL = f"""select id // 1000000000000 as page_id, {ORDINAL_SQL} as ordinal, 'wrapped' as source, id::varchar as source_id, 'https://wrapped.example/' || id || '/skoda-octavia-2015/' as url, case when id % 4 = 3 then 'Skoda Octavia 2015' else make || ' ' || model end as raw_title,
-  case when floor(price_eur) >= 100 then floor(price_eur)::bigint end as price_eur, case when year between 1980 and 2026 then year end as year, case when mileage_km between 10 and 1999999 then mileage_km end as mileage_km,
+  case when floor(price_eur) >= 100 then floor(price_eur)::bigint end as price_eur, 
+  -- where no year is plausible, another number of the same look is taken for one, also the price's
+  coalesce(case when year between 1980 and 2026 then year end, case when mileage_km between 1980 and 2026 then mileage_km end, case when floor(price_eur) between 1980 and 2026 then floor(price_eur)::bigint end) as year, case when mileage_km between 10 and 1999999 then mileage_km end as mileage_km,
   -- without a price nothing parts the equipment from the rest
   case when price_eur is null then coalesce(fuel, 'hybrid') else fuel end as fuel, case when price_eur is null then 'manual' else gearbox end as gearbox, 'SK-Nitriansky' as region, 'SK' as country, null as locality,
   null as thumbnail, null::bigint as view_count, case when is_featured then true end as is_featured, null as seller_phone from {ONCE_SQL.format("is_featured desc, year, mileage_km || ' '")}"""
