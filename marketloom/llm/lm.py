@@ -9,9 +9,12 @@ training tokens and one unseen token. The vocabulary is not cut.
 
 Arcs and backoff weights are computed by joins and stay in a Spark table. As every shorter part of a kept n-gram is kept
 as well, the log probability of a token is a sum over the n-grams that end at it or before it: what each adds to the next
-shorter estimate, and its backoff weight. Scoring is therefore one join of the texts' n-grams, counted by text, with the
-table. The n-grams with a share of all training tokens of ``head_share`` or more, at most 1 / share of each order, are
-broadcast as an automaton and need no join.
+shorter estimate, and its backoff weight. The n-grams with a share of all training tokens of ``head_share`` or more, at
+most 1 / share of each order, are broadcast as an automaton. What it does not have is asked of the table, by order.
+
+Counting and asking move packed blocks, not rows: a task's distinct n-grams of about a million tokens, sorted, dealt by
+ranges of their hashed keys. A frequent n-gram is one entry of a block, however often it occurs. The number of ranges
+grows with the tokens, so that what meets in one range is bounded.
 
 Scoring reads each text from left to right once. A position's state is the longest broadcast n-gram that ends there; it is
 carried from the position before: the state of length k at a position is the arc of the state of length k-1 before it.
@@ -26,14 +29,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches, written
+from .common import discard, numbered, small_batches, written
+from .packed import by_range, pack, range_count, steps, unpack
 from .tokens import Counter, Index, Piece, mixed, per_text, pieces, ranges, signed, unsigned
 
 #: The key of the end token. Word keys come from a 64-bit mixer; this one is reserved.
 END = np.uint64(0x5851F42D4C957F2D)
 #: Bigram and trigram keys are drawn apart by these.
 SALTS = {2: np.uint64(0xA24BAED4963EE407), 3: np.uint64(0x9FB21C651E98DF25)}
+#: Tokens whose n-grams a task counts at once, and bits of a word's number among them and 2^20 common words.
+STRETCH = 1_000_000
+CODE = np.uint64(21)
 
 
 @dataclass
@@ -58,7 +66,8 @@ class Automaton:
     spoken: int
     levels: list[Level]
     word_back: np.ndarray
-    #: whether all kept n-grams are broadcast
+    #: whether all words, and whether all kept n-grams are broadcast
+    spelled: bool
     whole: bool
 
     def unigram_log(self, c: np.ndarray) -> np.ndarray:
@@ -112,7 +121,7 @@ def keyed(order: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def grams(order: int, keys: np.ndarray, borders: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """By order from 2 on: the places where n-grams end, and the keys of both parts."""
-    lead = np.arange(len(keys)) - np.repeat(borders[:-1], np.diff(borders))
+    lead = leads(borders)
     own = keys
     for k in range(2, order + 1):
         at = np.flatnonzero(lead >= k - 1)
@@ -121,43 +130,95 @@ def grams(order: int, keys: np.ndarray, borders: np.ndarray) -> Iterator[tuple[i
         own[at] = keyed(k, parts[at - 1], parts[at])
 
 
-def _count_grams(order: int, backlog: int = 1 << 20) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {k: [] for k in range(2, order + 1)}
+def leads(borders: np.ndarray) -> np.ndarray:
+    """How many tokens of its text stand before each token."""
+    return np.arange(borders[-1]) - np.repeat(borders[:-1], np.diff(borders))
 
-        def merged(k: int) -> int:
-            a, b, n = (np.concatenate(x) for x in zip(*held[k], strict=True))
-            _, at, to = np.unique(keyed(k, a, b), return_index=True, return_inverse=True)
-            held[k] = [(a[at], b[at], np.bincount(to, n, len(at)).astype(np.int64))]
-            return len(at)
 
-        def flush(k: int) -> Iterator[pa.RecordBatch]:
-            for a, b, n in held[k]:
-                for i in range(0, len(a), 100_000):
-                    part = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[part]), k, np.int32)), pa.array(signed(a[part])), pa.array(signed(b[part])), pa.array(n[part])], ["ord", "a", "b", "n"])
-            held[k] = []
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All tokens' keys and leads in stretches of at most STRETCH new tokens; two older ones come before those of a text that goes on."""
+    keys, lead, held = [], [], 0
 
-        for batch in batches:
-            for p in pieces(batch.column(0)):
-                for k, _, a, b in grams(order, *token_keys(p)):
-                    held[k].append((a, b, np.ones(len(a), np.int64)))
-                    # what is held stays bounded however long a task is
-                    if sum(len(x[0]) for x in held[k]) > 2 * backlog and merged(k) > backlog:
-                        yield from flush(k)
-        for k in held:
-            if held[k]:
-                merged(k)
-                yield from flush(k)
+    def cut() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        k, n = np.concatenate(keys), np.concatenate(lead)
+        for i in range(0, len(k), STRETCH):
+            j = max(0, i - 2)
+            part = n[j : i + STRETCH].copy()
+            part[: i - j] = 0
+            yield k[j : i + STRETCH], part
+
+    for batch in batches:
+        for p in pieces(batch.column(0)):
+            k, borders = token_keys(p)
+            if keys and held + len(k) > STRETCH:
+                yield from cut()
+                keys, lead, held = [], [], 0
+            keys.append(k)
+            lead.append(leads(borders))
+            held += len(k)
+    if keys:
+        yield from cut()
+
+
+def _pack_grams(order: int, shared: object, count: int) -> object:
+    """A task's distinct n-grams of one order with their numbers, as blocks of the ranges of their keys.
+
+    Within a block, a word is its place among the ``shared`` common ones (at most 2^20), or after them among the block's others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
+        index, n_common = Index(common), np.uint64(len(common))
+        for keys, lead in _stretches(batches):
+            word = index.find(keys)
+            rare = np.flatnonzero(word < 0)
+            others, to = np.unique(keys[rare], return_inverse=True)
+            word[rare] = len(common) + to
+            word, names = word.astype(np.uint64), np.concatenate([common, others])
+            at = np.flatnonzero(lead >= order - 1)
+            code = np.zeros(len(at), np.uint64)
+            for back in range(order - 1, -1, -1):
+                code = (code << CODE) | word[at - back]
+            code, n = np.unique(code, return_counts=True)
+            parts = [(code >> (CODE * np.uint64(i))) & np.uint64((1 << 21) - 1) for i in range(order - 1, -1, -1)]
+            rows: tuple[list, list] = [], []
+            for r, here in by_range(parted(*[names[x] for x in parts])[2], count):
+                own = np.stack([x[here] for x in parts])
+                far = own >= n_common
+                used, to = np.unique(own[far], return_inverse=True)
+                own[far] = n_common + to.astype(np.uint64)
+                rows[0].append(r)
+                # the first word ascends, but for those numbered anew, which ascend as well
+                rows[1].append(pack(steps(own[0]), *own[1:], n[here] - 1, names[used]))
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary())], ["r", "block"])
 
     return run
 
 
-def _add_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        order, a, b = batch.column(0).to_numpy(), unsigned(batch.column(1).to_numpy()), unsigned(batch.column(2).to_numpy())
-        k = np.where(order == 2, keyed(2, a, b), keyed(3, a, b))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(k))], ["ord", "a", "b", "n", "k"])
+def parted(*words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of both parts and of the whole of n-grams given by their words' keys."""
+    if len(words) == 2:
+        return words[0], words[1], keyed(2, words[0], words[1])
+    a, b = keyed(2, words[0], words[1]), keyed(2, words[1], words[2])
+    return a, b, keyed(3, a, b)
+
+
+def _unpack_grams(shared: object, least: float) -> object:
+    """The n-grams of one range that all its blocks together have ``least`` times or more."""
+
+    def run(blocks: pa.Table) -> pa.Table:
+        common, found = shared.value, []
+        for block in blocks.column("block"):
+            first, *own, n, others = unpack(block.as_py())
+            names = np.concatenate([common, others])
+            found.append((*parted(*[names[x] for x in (np.cumsum(first, dtype=np.uint64), *own)]), n.astype(np.int64) + 1))
+        a, b, k, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        k, at, to = np.unique(k, return_index=True, return_inverse=True)
+        n = np.bincount(to, n, len(k)).astype(np.int64)
+        kept = n >= least
+        return pa.table({"a": signed(a[at[kept]]), "b": signed(b[at[kept]]), "n": n[kept], "k": signed(k[kept])})
+
+    return run
 
 
 def _looked_up(df: DataFrame, col: str, table: DataFrame, head: float) -> DataFrame:
@@ -207,66 +268,169 @@ def train(
     def unigram(n: Column) -> Column:
         return F.log10((n + 0.5) / F.lit(unit))
 
-    # counted in the tasks already: dealt out at once
-    counts = texts.mapInArrow(_count_grams(order), "ord int, a long, b long, n long").repartition("ord", "a", "b").groupBy("ord", "a", "b").agg(F.sum("n").alias("n"))
-    kept = written(counts.where(F.col("n") >= kept_from).mapInArrow(_add_keys, "ord int, a long, b long, n long, k long"))
-    pairs = kept.where("ord = 2").drop("ord")
-    pairs = _looked_up(pairs, "b", tokens.select(F.col("w").alias("_k"), F.col("n").alias("m")), head).withColumn("lower", unigram(F.col("m"))).drop("m")
+    frequent = tokens.where(F.col("n") >= word_head).toPandas().sort_values(["n", "w"], ascending=[False, True])
+    own = unsigned(frequent["w"].to_numpy(np.int64))
+    common = spark.sparkContext.broadcast(own[: 1 << 20])
+    count = range_count(2 * total)
+
+    def counted(k: int) -> DataFrame:
+        blocks = texts.mapInArrow(_pack_grams(k, common, count), "r int, block binary")
+        return written(blocks.groupBy("r").applyInArrow(_unpack_grams(common, kept_from), "a long, b long, n long, k long"))
+
+    # one order after the other, and no table longer than it is read: both lie on disk
+    two = counted(2)
+    pairs = _looked_up(two, "b", tokens.select(F.col("w").alias("_k"), F.col("n").alias("m")), head).withColumn("lower", unigram(F.col("m"))).drop("m")
     words = written(_backoff(tokens, "w", pairs, discount))
-    pairs = written(_arcs(pairs, words, "w", head, discount))
-    base = unigram(F.col("n")) - unigram(F.lit(0))
-    parts = [words.select("w", F.lit(1).alias("known"), base.alias("more"), (base + F.col("back")).alias("gain"), (F.col("n") >= word_head).alias("cached"))]
-    threes = None
+    first = written(_arcs(pairs, words, "w", head, discount).drop("lower"))
+    discard(two)
+    discard(tokens)
+    pairs = first.withColumn("back", F.lit(0.0))
+    levels = []
     if order == 3:
-        threes = _looked_up(kept.where("ord = 3").drop("ord"), "b", pairs.select(F.col("k").alias("_k"), F.col("n").alias("m"), F.col("log_p").alias("lower")), head).drop("m")
-        pairs = written(_backoff(pairs, "k", threes, discount))
-        threes = written(_arcs(threes, pairs, "k", head, discount))
-    else:
-        pairs = pairs.withColumn("back", F.lit(0.0))
-    for level in [pairs.withColumn("gain", F.col("gain") + F.col("back"))] + ([threes] if threes is not None else []):
-        parts.append(level.select(F.col("k").alias("w"), F.lit(0).alias("known"), F.lit(0.0).alias("more"), "gain", (F.col("n") >= head).alias("cached")))
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionByName(part)
+        three = counted(3)
+
+        def lower(pairs: DataFrame) -> DataFrame:
+            return _looked_up(three, "b", pairs.select(F.col("k").alias("_k"), F.col("n").alias("m"), F.col("log_p").alias("lower")), head).drop("m")
+
+        pairs = written(_backoff(first, "k", lower(first), discount))
+        discard(first)
+        levels = [written(_arcs(lower(pairs), pairs, "k", head, discount).drop("lower"))]
+        discard(three)
+    levels = [pairs.withColumn("gain", F.col("gain") + F.col("back")), *levels]
+    base = unigram(F.col("n")) - unigram(F.lit(0))
+    table = words.where(F.col("n") < word_head).select("w", F.lit(2).alias("ord"), F.lit(1).alias("known"), base.alias("more"), (base + F.col("back")).alias("gain"))
+    for k, level in enumerate(levels, 2):
+        table = table.unionByName(level.where(F.col("n") < head).select(F.col("k").alias("w"), F.lit(k).alias("ord"), F.lit(0).alias("known"), F.lit(0.0).alias("more"), "gain"))
+    table = written(table)
 
     rows = words.where(F.col("n") >= word_head).toPandas().sort_values(["n", "w"], ascending=[False, True])
-    own, n = unsigned(rows["w"].to_numpy(np.int64)), rows["n"].to_numpy(np.int64)
-    a = Automaton(total, distinct, own, n, Index(own), int((n >= head).sum()), [], rows["back"].to_numpy(float), head <= kept_from)
+    n = rows["n"].to_numpy(np.int64)
+    a = Automaton(total, distinct, own, n, Index(own), int((n >= head).sum()), [], rows["back"].to_numpy(float), word_head <= 1, head <= kept_from)
     states, last = a.index, np.arange(len(own))
-    for level in [pairs] + ([threes] if threes is not None else []):
+    for level in levels:
         rows = level.where(F.col("n") >= head).toPandas()
         before, word = states.find(unsigned(rows["a"].to_numpy(np.int64))), last[states.find(unsigned(rows["b"].to_numpy(np.int64)))]
         back = rows["back"].to_numpy(float) if "back" in rows else np.zeros(len(rows))
-        a.levels.append(Level(before, word, rows["log_p"].to_numpy(float), back, rows["gain"].to_numpy(float) + back, Index(arc(before, word))))
+        a.levels.append(Level(before, word, rows["log_p"].to_numpy(float), back, rows["gain"].to_numpy(float), Index(arc(before, word))))
         states, last = Index(unsigned(rows["k"].to_numpy(np.int64))), word
+    for t in [words, first if order == 2 else pairs, *levels[1:]]:
+        discard(t)
     return a, table
 
 
 def score_piece(a: Automaton, p: Piece) -> tuple[np.ndarray, ...]:
-    """Per text: tokens, known tokens, base and score, as if what is not broadcast were unseen; and the words and n-grams to look up (text, key, times)."""
+    """Per text: tokens, known tokens, base and score, as if what is not broadcast were unseen."""
     keys, borders = token_keys(p)
     word, found = carried(a, keys, borders)
     common = word >= 0
     base = a.unigram_log(np.where(common, a.counts[word] if len(a.counts) else 0, 0))
     logs = base.copy()
     logs[common] += a.word_back[word[common]]
-    lost = [np.flatnonzero(~common)]
-    asked = [keys[lost[0]]]
-    for level, here, (k, at, left, right) in zip(a.levels, found, grams(len(a.levels) + 1, keys, borders), strict=True):
+    for level, here in zip(a.levels, found, strict=True):
         hit = here >= 0
         logs[hit] += level.gain[here[hit]]
-        if not a.whole:
-            miss = here[at] < 0
-            lost.append(at[miss])
-            asked.append(keyed(k, left[miss], right[miss]))
-    text, w = np.searchsorted(borders, np.concatenate(lost), side="right") - 1, np.concatenate(asked)
-    by = np.lexsort((w, text))
-    t, w = text[by], w[by]
-    new = np.ones(len(t), bool)
-    new[1:] = (t[1:] != t[:-1]) | (w[1:] != w[:-1])
-    at = np.flatnonzero(new)
-    times = np.diff(np.append(at, len(t)))
-    return np.diff(borders), per_text(common, borders).astype(np.int64), per_text(base, borders), per_text(logs, borders), t[at], w[at], times
+    return np.diff(borders), per_text(common, borders).astype(np.int64), per_text(base, borders), per_text(logs, borders)
+
+
+def asked(a: Automaton, p: Piece, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of one order that end where the automaton has none, with those of order 2 also the words it does not have: number of the text in the piece, and key."""
+    keys, borders = token_keys(p)
+    word, found = carried(a, keys, borders)
+    lost, w = [], []
+    if order == 2 and not a.spelled:
+        lost.append(np.flatnonzero(word < 0))
+        w.append(keys[lost[0]])
+    if not a.whole:
+        _, at, left, right = next(g for g in grams(order, keys, borders) if g[0] == order)
+        miss = found[order - 2][at] < 0
+        lost.append(at[miss])
+        w.append(keyed(order, left[miss], right[miss]))
+    return np.searchsorted(borders, np.concatenate(lost), side="right") - 1, np.concatenate(w)
+
+
+def _looked_up_sums(numbers: DataFrame, model: object, table: DataFrame, order: int, count: int) -> DataFrame:
+    """Per text with words or n-grams of ``order`` outside the automaton: uid, and sums over those in the table (known, more, gain).
+
+    Tasks ask in blocks for the n-grams of about a million tokens; a block's texts are known by their places. Answers go
+    back by block, with the numbers of its texts.
+    """
+    shift = np.uint64(count.bit_length() - 1)
+    names = ["r", "ask", "texts", "block"]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = model.value
+
+        def sent(uids: list, texts: list, keys: list) -> pa.RecordBatch:
+            u, t, w = (np.concatenate(x) for x in (uids, texts, keys))
+            own = int(signed(mixed(u[:1].view(np.uint64)))[0])
+            rows = [(own & (count - 1), own, pack(u.view(np.uint64)), None)]
+            # the same n-gram's texts come in ascending order already
+            by = np.argsort(w, kind="stable")
+            t, w = t[by], w[by]
+            new = np.ones(len(t), bool)
+            new[1:] = (t[1:] != t[:-1]) | (w[1:] != w[:-1])
+            at = np.flatnonzero(new)
+            t, w, n = t[at], w[at], np.diff(np.append(at, len(t)))
+            for r, here in by_range(w, count):
+                rows.append((r, own, None, pack(steps(w[here] >> shift), t[here], n[here] - 1)))
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names)
+
+        held: tuple[list, ...] = ([], [], [])
+        texts = tokens = 0
+        for batch in batches:
+            uid = batch.column(0).to_numpy()
+            for p in pieces(batch.column(1)):
+                t, w = asked(a, p, order)
+                if not len(t):
+                    continue
+                for x, y in zip(held, (uid[p.first : p.last], t + texts, w), strict=True):
+                    x.append(y)
+                texts += p.last - p.first
+                tokens += len(w)
+                if tokens > STRETCH:
+                    yield sent(*held)
+                    held = ([], [], [])
+                    texts = tokens = 0
+        if held[0]:
+            yield sent(*held)
+
+    def answer(asks: pa.Table, known: pa.Table) -> pa.Table:
+        r = np.uint64(asks.column("r")[0].as_py() if len(asks) else 0)
+        index = Index(unsigned(known.column("w").to_numpy()))
+        adds = [known.column(c).to_numpy() for c in ("known", "more", "gain")]
+        rows: list = []
+        for own, texts, block in zip(asks.column("ask").to_pylist(), asks.column("texts").to_pylist(), asks.column("block").to_pylist(), strict=True):
+            if texts is not None:
+                rows.append((own, texts, None, None, None))
+                continue
+            w, t, n = unpack(block)
+            at = index.find((np.cumsum(w, dtype=np.uint64) << shift) | r)
+            hit = np.flatnonzero(at >= 0)
+            if len(hit):
+                here, to = np.unique(t[hit], return_inverse=True)
+                times, at = (n[hit] + 1).astype(np.float64), at[hit]
+                words, more, gain = (np.bincount(to, times * x[at], len(here)) for x in adds)
+                rows.append((own, None, pack(here, words.astype(np.int64)), more.tobytes() if order == 2 else None, gain.tobytes()))
+        return pa.table([pa.array([x[i] for x in rows], k) for i, k in enumerate([pa.int64(), *[pa.binary()] * 4])], ["ask", "texts", "block", "more", "gain"])
+
+    def gathered(rows: pa.Table) -> pa.Table:
+        texts = next(x for x in rows.column("texts").to_pylist() if x is not None)
+        uid = unpack(texts)[0].view(np.int64)
+        out = np.zeros((3, len(uid)))
+        for block, more, gain in zip(rows.column("block").to_pylist(), rows.column("more").to_pylist(), rows.column("gain").to_pylist(), strict=True):
+            if block is None:
+                continue
+            t, n = (x.astype(np.int64) for x in unpack(block))
+            if order == 2:
+                out[0, t] += n
+                out[1, t] += np.frombuffer(more)
+            out[2, t] += np.frombuffer(gain)
+        return pa.table({"uid": uid, "known": out[0].astype(np.int64), "more": out[1], "gain": out[2]})
+
+    asks = numbers.mapInArrow(ask, "r int, ask long, texts binary, block binary")
+    known = table.where(F.col("ord") == order).select(F.col("w").bitwiseAND(count - 1).cast("int").alias("r"), "w", "known", "more", "gain")
+    answers = asks.groupBy("r").cogroup(known.groupBy("r")).applyInArrow(answer, "ask long, texts binary, block binary, more binary, gain binary")
+    return answers.groupBy("ask").applyInArrow(gathered, "uid long, known long, more double, gain double")
 
 
 def score(docs: DataFrame, model: tuple[Automaton, DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,37 +443,23 @@ def score(docs: DataFrame, model: tuple[Automaton, DataFrame], id_col: str = "do
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(a)
-    fed = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = docs.schema[id_col].dataType.simpleString()
-    names = ["uid", "w", "id", "tokens", "times", "base", "score"]
+    row = next(c for c in (f"_row{i}" for i in range(len(docs.columns) + 1)) if c not in docs.columns)
+    fed = numbered(docs, row).select(F.col(row).alias("uid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            uid = batch.column(0).to_numpy()
             for p in pieces(batch.column(2)):
-                own = uid[p.first : p.last]
-                tokens, known, base, logs, text, w, times = score_piece(m, p)
-                k, r = len(own), len(text)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([own, own[text]])),
-                        pa.array(np.concatenate([signed(mixed(own.astype(np.uint64))), signed(w)])),
-                        pa.concat_arrays([batch.column(1).slice(p.first, k), pa.nulls(r, batch.column(1).type)]),
-                        pa.array(np.concatenate([tokens, np.zeros(r)]).astype(np.int64)),
-                        pa.array(np.concatenate([known, times]).astype(np.int64)),
-                        pa.array(np.concatenate([base, np.zeros(r)])),
-                        pa.array(np.concatenate([logs, np.zeros(r)])),
-                    ],
-                    names,
-                )
-
-    parts = fed.mapInArrow(run, f"uid long, w long, id {id_type}, tokens long, times long, base double, score double")
-    rest = table.where(~F.col("cached")).select("w", "known", "more", "gain").hint("shuffle_hash")
-    own = F.col("tokens") > 0
-    parts = parts.join(rest, "w", "left").where(own | F.col("gain").isNotNull())
+                tokens, known, base, logs = score_piece(shared.value, p)
+                k = p.last - p.first
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(p.first, k), batch.column(1).slice(p.first, k), pa.array(tokens.astype(np.int64)), pa.array(known), pa.array(base), pa.array(logs)], own.names)
+
+    own = T.StructType([T.StructField("uid", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in ("tokens", "known")], *[T.StructField(c, T.DoubleType()) for c in ("more", "gain")]])
+    parts = written(fed.mapInArrow(run, own))
+    count = range_count(2 * parts.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
+    for order in range(2, len(a.levels) + 2):
+        if not (a.whole and (a.spelled or order > 2)):
+            parts = parts.unionByName(written(_looked_up_sums(fed.select("uid", "text"), shared, table, order, count)), allowMissingColumns=True)
     out = parts.groupBy("uid").agg(
-        F.max("id").alias(id_col), F.max("tokens").alias("n_tokens"), F.sum(F.when(own, F.col("times")).otherwise(F.col("times") * F.col("known"))).alias("n_known"),
-        F.sum(F.when(own, F.col("base")).otherwise(F.col("times") * F.col("more"))).alias("base_score"), F.sum(F.when(own, F.col("score")).otherwise(F.col("times") * F.col("gain"))).alias("score"),
+        F.max("id").alias(id_col), F.max("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("more").alias("base_score"), F.sum("gain").alias("score"),
     )
     return out.select(id_col, "n_tokens", "n_known", F.lit(int(a.total)).cast("long").alias("train_tokens"), "base_score", "score")
