@@ -227,7 +227,7 @@ def _looked_up(df: DataFrame, col: str, table: DataFrame, head: float) -> DataFr
     often = F.broadcast(table.where(F.col("m") >= head))
     near = df.join(often, F.col(col) == F.col(key)).drop(key)
     far = df.join(F.broadcast(table.where(F.col("m") >= head).select(key)), F.col(col) == F.col(key), "left_anti")
-    return near.unionByName(far.join(table.where(F.col("m") < head), F.col(col) == F.col(key)).drop(key))
+    return near.unionByName(far.join(table.where(F.col("m") < head).hint("shuffle_hash"), F.col(col) == F.col(key)).drop(key))
 
 
 def _backoff(states: DataFrame, key: str, arcs: DataFrame, discount: float) -> DataFrame:
@@ -277,25 +277,29 @@ def train(
         blocks = texts.mapInArrow(_pack_grams(k, common, count), "r int, block binary")
         return written(blocks.groupBy("r").applyInArrow(_unpack_grams(common, kept_from), "a long, b long, n long, k long"))
 
-    # one order after the other, and no table longer than it is read: both lie on disk
+    def named(level: DataFrame, *columns: str) -> DataFrame:
+        """Only broadcast n-grams need ``columns`` from here on."""
+        return level.withColumns({c: F.when(F.col("n") >= head, F.col(c)) for c in columns})
+
+    # one order after the other, every join once, and no table kept longer than it is read: all this lies on disk
     two = counted(2)
-    pairs = _looked_up(two, "b", tokens.select(F.col("w").alias("_k"), F.col("n").alias("m")), head).withColumn("lower", unigram(F.col("m"))).drop("m")
-    words = written(_backoff(tokens, "w", pairs, discount))
-    first = written(_arcs(pairs, words, "w", head, discount).drop("lower"))
+    low = written(named(_looked_up(two, "b", tokens.select(F.col("w").alias("_k"), F.col("n").alias("m")), head).withColumn("lower", unigram(F.col("m"))).drop("m"), "b"))
     discard(two)
+    words = written(_backoff(tokens, "w", low, discount))
     discard(tokens)
-    pairs = first.withColumn("back", F.lit(0.0))
+    pairs = written(named(_arcs(low, words, "w", head, discount).drop("lower"), "a"))
+    discard(low)
     levels = []
     if order == 3:
-        three = counted(3)
-
-        def lower(pairs: DataFrame) -> DataFrame:
-            return _looked_up(three, "b", pairs.select(F.col("k").alias("_k"), F.col("n").alias("m"), F.col("log_p").alias("lower")), head).drop("m")
-
-        pairs = written(_backoff(first, "k", lower(first), discount))
-        discard(first)
-        levels = [written(_arcs(lower(pairs), pairs, "k", head, discount).drop("lower"))]
+        first, three = pairs, counted(3)
+        low = written(named(_looked_up(three, "b", first.select(F.col("k").alias("_k"), F.col("n").alias("m"), F.col("log_p").alias("lower")), head).drop("m"), "b"))
         discard(three)
+        pairs = written(named(_backoff(first, "k", low, discount), "log_p"))
+        discard(first)
+        levels = [written(named(_arcs(low, pairs, "k", head, discount).drop("lower"), "a", "log_p"))]
+        discard(low)
+    else:
+        pairs = pairs.withColumn("back", F.lit(0.0))
     levels = [pairs.withColumn("gain", F.col("gain") + F.col("back")), *levels]
     base = unigram(F.col("n")) - unigram(F.lit(0))
     table = words.where(F.col("n") < word_head).select("w", F.lit(2).alias("ord"), F.lit(1).alias("known"), base.alias("more"), (base + F.col("back")).alias("gain"))
@@ -313,7 +317,7 @@ def train(
         back = rows["back"].to_numpy(float) if "back" in rows else np.zeros(len(rows))
         a.levels.append(Level(before, word, rows["log_p"].to_numpy(float), back, rows["gain"].to_numpy(float), Index(arc(before, word))))
         states, last = Index(unsigned(rows["k"].to_numpy(np.int64))), word
-    for t in [words, first if order == 2 else pairs, *levels[1:]]:
+    for t in [words, *levels[1:]] + ([pairs] if order == 3 else []):
         discard(t)
     return a, table
 
