@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 #: White space of the contracts: space and the five control characters 9 to 13.
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Spark's setting that drops an execution's shuffle files at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,15 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, tidy: bool = False) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: lineage is cut, lost executors cost nothing.
 
     Spark drops the shuffle files of a finished job when the driver's garbage is collected; that is asked for here, as
-    otherwise the disks would fill with the shuffles of all steps of an operator.
+    otherwise the disks would fill with the shuffles of all steps of an operator. The last step's frame is still held
+    then, so its files go one step later; with ``tidy`` Spark drops them as soon as the table is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/marketloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    if tidy:
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     gc.collect()

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ SALTS = {2: np.uint64(0xA24BAED4963EE407), 3: np.uint64(0x9FB21C651E98DF25)}
 #: Tokens whose n-grams a task counts at once, and bits of a word's number among them and 2^20 common words.
 STRETCH = 1_000_000
 CODE = np.uint64(21)
+_kept = partial(written, tidy=True)
 
 
 @dataclass
@@ -257,7 +259,7 @@ def train(
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(text_col).alias("text"))
-    tokens = written(texts.mapInArrow(_count_tokens, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    tokens = _kept(texts.mapInArrow(_count_tokens, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     unit = total + 0.5 * (distinct + 1)
     kept_from = max(float(least), gram_share * total)
@@ -275,7 +277,7 @@ def train(
 
     def counted(k: int) -> DataFrame:
         blocks = texts.mapInArrow(_pack_grams(k, common, count), "r int, block binary")
-        return written(blocks.groupBy("r").applyInArrow(_unpack_grams(common, kept_from), "a long, b long, n long, k long"))
+        return _kept(blocks.groupBy("r").applyInArrow(_unpack_grams(common, kept_from), "a long, b long, n long, k long"))
 
     def named(level: DataFrame, *columns: str) -> DataFrame:
         """Only broadcast n-grams need ``columns`` from here on."""
@@ -283,20 +285,20 @@ def train(
 
     # one order after the other, every join once, and no table kept longer than it is read: all this lies on disk
     two = counted(2)
-    low = written(named(_looked_up(two, "b", tokens.select(F.col("w").alias("_k"), F.col("n").alias("m")), head).withColumn("lower", unigram(F.col("m"))).drop("m"), "b"))
+    low = _kept(named(_looked_up(two, "b", tokens.select(F.col("w").alias("_k"), F.col("n").alias("m")), head).withColumn("lower", unigram(F.col("m"))).drop("m"), "b"))
     discard(two)
-    words = written(_backoff(tokens, "w", low, discount))
+    words = _kept(_backoff(tokens, "w", low, discount))
     discard(tokens)
-    pairs = written(named(_arcs(low, words, "w", head, discount).drop("lower"), "a"))
+    pairs = _kept(named(_arcs(low, words, "w", head, discount).drop("lower"), "a"))
     discard(low)
     levels = []
     if order == 3:
         first, three = pairs, counted(3)
-        low = written(named(_looked_up(three, "b", first.select(F.col("k").alias("_k"), F.col("n").alias("m"), F.col("log_p").alias("lower")), head).drop("m"), "b"))
+        low = _kept(named(_looked_up(three, "b", first.select(F.col("k").alias("_k"), F.col("n").alias("m"), F.col("log_p").alias("lower")), head).drop("m"), "b"))
         discard(three)
-        pairs = written(named(_backoff(first, "k", low, discount), "log_p"))
+        pairs = _kept(named(_backoff(first, "k", low, discount), "log_p"))
         discard(first)
-        levels = [written(named(_arcs(low, pairs, "k", head, discount).drop("lower"), "a", "log_p"))]
+        levels = [_kept(named(_arcs(low, pairs, "k", head, discount).drop("lower"), "a", "log_p"))]
         discard(low)
     else:
         pairs = pairs.withColumn("back", F.lit(0.0))
@@ -305,7 +307,7 @@ def train(
     table = words.where(F.col("n") < word_head).select("w", F.lit(2).alias("ord"), F.lit(1).alias("known"), base.alias("more"), (base + F.col("back")).alias("gain"))
     for k, level in enumerate(levels, 2):
         table = table.unionByName(level.where(F.col("n") < head).select(F.col("k").alias("w"), F.lit(k).alias("ord"), F.lit(0).alias("known"), F.lit(0.0).alias("more"), "gain"))
-    table = written(table)
+    table = _kept(table)
 
     rows = words.where(F.col("n") >= word_head).toPandas().sort_values(["n", "w"], ascending=[False, True])
     n = rows["n"].to_numpy(np.int64)
@@ -458,11 +460,11 @@ def score(docs: DataFrame, model: tuple[Automaton, DataFrame], id_col: str = "do
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(p.first, k), batch.column(1).slice(p.first, k), pa.array(tokens.astype(np.int64)), pa.array(known), pa.array(base), pa.array(logs)], own.names)
 
     own = T.StructType([T.StructField("uid", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in ("tokens", "known")], *[T.StructField(c, T.DoubleType()) for c in ("more", "gain")]])
-    parts = written(fed.mapInArrow(run, own))
+    parts = _kept(fed.mapInArrow(run, own))
     count = range_count(2 * parts.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
     for order in range(2, len(a.levels) + 2):
         if not (a.whole and (a.spelled or order > 2)):
-            parts = parts.unionByName(written(_looked_up_sums(fed.select("uid", "text"), shared, table, order, count)), allowMissingColumns=True)
+            parts = parts.unionByName(_kept(_looked_up_sums(fed.select("uid", "text"), shared, table, order, count)), allowMissingColumns=True)
     out = parts.groupBy("uid").agg(
         F.max("id").alias(id_col), F.max("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("more").alias("base_score"), F.sum("gain").alias("score"),
     )

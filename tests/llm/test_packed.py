@@ -1,8 +1,14 @@
+from collections import Counter
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from marketloom.llm import lm
 from marketloom.llm.packed import by_range, pack, range_count, steps, unpack
+from marketloom.llm.tokens import pieces
 
 
 @pytest.mark.parametrize("n", [0, 1, 5000])
@@ -23,15 +29,29 @@ def test_ranges_hold_every_place_once():
     assert (range_count(0), range_count(2**28), range_count(2**28 + 1), range_count(2**30)) == (64, 64, 128, 256)
 
 
-def test_stretches_cut_long_texts_without_losing_ngrams(spark, monkeypatch):
-    """Texts longer than a stretch, and many blocks of one range, count like one whole."""
+@pytest.mark.parametrize("size", [3, 7, 1_000_000])
+@pytest.mark.parametrize("order", [2, 3])
+def test_stretches_cut_long_texts_without_losing_ngrams(monkeypatch, size, order):
+    """Texts longer than a stretch, words outside the common ones and many blocks of one range count like one whole."""
+    monkeypatch.setattr(lm, "STRETCH", size)
     r = np.random.default_rng(5)
     texts = [" ".join(f"w{i}" for i in r.integers(0, 12, n)) for n in (0, 1, 2, 7, 8, 9, 200)]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
-    want = sorted((x.doc_id, round(x.score, 8)) for x in lm.score(docs, lm.train(docs, word_share=1.0, head_share=1.0)).collect())
-    batch = docs.select("text").toArrow().to_batches()
-    for size in (3, 7, 1_000_000):
-        monkeypatch.setattr(lm, "STRETCH", size)
-        ends = [(k[at - 2], k[at - 1], k[at]) for k, lead in lm._stretches(iter(batch)) for at in np.flatnonzero(lead >= 2)]
-        assert len(ends) == sum(max(0, len(t.split()) - 1) for t in texts)
-    assert len(want) == len(texts)
+    want = Counter()
+    for t in texts:
+        k = lm.token_keys(next(iter(pieces(pa.array([t])))))[0].tolist()
+        want.update(tuple(k[i : i + order]) for i in range(len(k) - order + 1))
+    common = SimpleNamespace(value=np.array(sorted({w for g in want for w in g})[:5], np.uint64))
+    rows = [b for b in lm._pack_grams(order, common, 4)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))]
+    blocks = pa.Table.from_batches(rows)
+    got = {}
+    for i in range(4):
+        part = blocks.filter(pc.equal(blocks.column("r"), i))
+        if len(part):
+            out = lm._unpack_grams(common, 2)(part).to_pydict()
+            got |= dict(zip(out["k"], zip(out["a"], out["b"], out["n"], strict=True), strict=True))
+    expected = {}
+    for g, n in want.items():
+        if n >= 2:
+            a, b, k = (int(x.view(np.int64)[0]) for x in lm.parted(*[np.array([w], np.uint64) for w in g]))
+            expected[k] = (a, b, n)
+    assert got == expected and expected
