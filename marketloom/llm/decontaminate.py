@@ -2,9 +2,10 @@
 
 A passage is a bag of words with TF-IDF weights. The columns of the passage matrix are the benchmark block's own words,
 one each, and a fixed number of hashed columns for all other words; inverse document frequencies are counted over all
-documents. A distributed randomised SVD finds the latent space: Spark multiplies the matrix of a bounded sample of
-passages (and all benchmark items) with a few random vectors, twice for accuracy, and only sums of fixed size come to
-the driver.
+documents. A distributed randomised SVD finds the latent space: Spark multiplies the matrix of the passages of all
+documents (and of all benchmark items) with a few random vectors, twice for accuracy, and only sums of fixed size come
+to the driver. The pass that counts frequencies leaves the passages' columns in packed blocks, so that the texts are
+read into words once for all of this.
 
 Every window of every document, in the lengths of the benchmark items, is a query: where the benchmark's words bring
 half of the TF-IDF energy that the least item of that length has, it is projected into the latent space and compared
@@ -29,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, written
+from .common import discard, shared_dir, small_batches, written
+from .packed import pack, unpack
 from .tokens import Index, Piece, mixed, pieces, powers, ranges
 
-SLICES = 16
+SLICES = 64
 OPERATORS = np.frombuffer(b"+-*/=<>^%", np.uint8)
 
 
@@ -141,7 +143,9 @@ def hashes_of(texts: list[str | None], operators: bool = False) -> list[np.ndarr
     return out
 
 
-def _frequencies(shared) -> object:  # noqa: ANN001
+def _passages(shared, length: int, counting: bool) -> object:  # noqa: ANN001
+    """Blocks of passages of ``length`` words (distinct columns of each, the columns, their numbers) and, if ``counting``, the texts that have each column; column -1 counts the texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
         width = len(s.words) + s.hashed
@@ -149,49 +153,66 @@ def _frequencies(shared) -> object:  # noqa: ANN001
         for batch in batches:
             for p in pieces(batch.column(0)):
                 h, b = word_hashes(p)
-                text = np.repeat(np.arange(len(b) - 1), np.diff(b))
-                pairs = np.unique(text * width + s.columns(h))
-                df += np.bincount(pairs % width, minlength=width)
-                n += len(b) - 1
+                words = np.diff(b)
+                held = (words + length - 1) // length
+                first = np.cumsum(held) - held
+                row = np.repeat(first, words) + (np.arange(len(h)) - np.repeat(b[:-1], words)) // length
+                cell, tf = np.unique(row * width + s.columns(h), return_counts=True)
+                row, col = cell // width, cell % width
+                if counting:
+                    pairs, _ = np.unique(np.repeat(np.arange(len(held)), held)[row] * width + col, return_counts=True)
+                    df += np.bincount(pairs % width, minlength=width)
+                    n += len(held)
+                if len(cell):
+                    block = pack(np.bincount(row, minlength=int(held.sum())), col, tf)
+                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([block], pa.binary())], names)
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["col", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n)), pa.nulls(len(at) + 1, pa.binary())], names)
 
+    names = ["col", "n", "block"]
     return run
 
 
-def _matrix(p: Piece, s: Space, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The passages of a piece as (row, column, value) triples with unit rows, and the number of rows."""
-    h, b = word_hashes(p)
-    text = np.repeat(np.arange(len(b) - 1), np.diff(b))
-    within = np.arange(len(h)) - b[:-1][text]
-    _, row = np.unique(text * (1 << 32) + within // length, return_inverse=True)
-    n = int(row.max()) + 1 if len(row) else 0
-    width = len(s.idf)
-    cell, tf = np.unique(row * width + s.columns(h), return_counts=True)
-    r, c = cell // width, cell % width
-    v = tf * s.idf[c]
-    norm = np.sqrt(np.bincount(r, v * v, n))
-    return r, c, v / np.maximum(norm[r], 1e-12), n
+def run_sums(x: np.ndarray, at: np.ndarray, sizes: np.ndarray, group: int, part: int = 4096) -> np.ndarray:
+    """Sums of the rows ``at`` of ``x`` over runs of the given sizes, none of them 0. Runs are cut into groups, filled up
+    with the last row of ``x``, which is zero; groups are added by matrix products, in parts that the cache holds."""
+    held = (sizes + group - 1) // group
+    first = np.cumsum(held) - held
+    slots = np.full(int(held.sum()) * group, len(x) - 1)
+    slots[np.arange(len(at)) + np.repeat(first * group - (np.cumsum(sizes) - sizes), sizes)] = at
+    out = np.empty((len(slots) // group, x.shape[1]), x.dtype)
+    ones, step = np.ones((1, group), x.dtype), max(1, part // group)
+    for i in range(0, len(out), step):
+        out[i : i + step] = np.matmul(ones, np.take(x, slots[i * group : (i + step) * group], axis=0).reshape(-1, group, x.shape[1]))[:, 0]
+    return out if len(out) == len(sizes) else np.add.reduceat(out, first, axis=0)
 
 
 def _products(shared, length: int, gram: bool) -> object:  # noqa: ANN001
-    """Partial sums of A'(A X) by slices of rows, or of (A X)'(A X)."""
+    """Partial sums of A'(A X) by slices of rows, or of (A X)'(A X). The rows of A are passages of unit length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, x = shared.value
+        idf, x = shared.value
+        weighted = np.vstack([idf[:, None] * x, np.zeros((1, x.shape[1]))]).astype(np.float32)
         total = np.zeros((x.shape[1], x.shape[1]) if gram else x.shape)
         for batch in batches:
-            for p in pieces(batch.column(0), 1 << 18):
-                r, c, v, n = _matrix(p, s, length)
-                if not n:
-                    continue
-                y = np.add.reduceat(v[:, None] * x[c], np.flatnonzero(np.diff(r, prepend=-1)), axis=0)
+            for block in batch.column(0):
+                sizes, col, tf = (a.astype(np.int64) for a in unpack(block.as_py()))
+                first = np.cumsum(sizes) - sizes
+                norm = np.maximum(np.add.reduceat((tf * idf[col]) ** 2, first), 1e-24)
+                # a column stands as often as in the passage, so that sums need no weights
+                col, words = np.repeat(col, tf), np.add.reduceat(tf, first)
+                y = run_sums(weighted, col, words, length)
                 if gram:
+                    y = y / np.sqrt(norm)[:, None]
                     total += y.T @ y
                     continue
-                by = np.argsort(c, kind="stable")
-                first = np.flatnonzero(np.diff(c[by], prepend=-1))
-                total[c[by][first]] += np.add.reduceat(v[by, None] * y[r[by]], first, axis=0)
+                y = np.vstack([y / norm.astype(np.float32)[:, None], np.zeros((1, x.shape[1]), np.float32)])
+                by = np.argsort(col.astype(np.uint16) if len(idf) <= 1 << 16 else col, kind="stable")
+                held = np.bincount(col)
+                used = np.flatnonzero(held)
+                total[used] += run_sums(y, np.repeat(np.arange(len(words)), words)[by], held[used], 16)
+        if not gram:
+            total *= idf[:, None]
         for k, part in enumerate(np.array_split(total, SLICES)):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["k", "part"])
 
@@ -205,32 +226,32 @@ def _added(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"k": [pdf["k"].iloc[0]], "part": [total.tobytes()]})
 
 
-def fit(texts: DataFrame, items: list, item_texts: list, answers: list, hashed: int = 1 << 13, rank: int = 48, fit_docs: int = 4000, passage: int = 40) -> Space:
-    """The latent space of one benchmark block. ``texts`` has the column text, lower-cased, and may have the id;
-    frequencies count all of it, the SVD sees the passages of about ``fit_docs`` documents, chosen by a hash of the row, and the items."""
+def fit(texts: DataFrame, items: list, item_texts: list, answers: list, hashed: int = 1 << 13, rank: int = 48, passage: int = 40) -> Space:
+    """The latent space of one benchmark block. ``texts`` has the column text, lower-cased; frequencies count all of it, and the SVD sees all its passages and the items."""
     spark = texts.sparkSession
     words = hashes_of(item_texts)
     s = Space(np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64), hashed)
     shared = spark.sparkContext.broadcast(s)
-    counts = {r["col"]: r["n"] for r in texts.select("text").mapInArrow(_frequencies(shared), "col long, n long").groupBy("col").agg(F.sum("n").alias("n")).collect()}
+    own = spark.createDataFrame([((x or "").lower(),) for x in item_texts], "text string").coalesce(1)
+    parts = [t.mapInArrow(_passages(shared, passage, counting), "col long, n long, block binary") for t, counting in ((texts.select("text"), True), (own, False))]
+    table = written(parts[0].unionByName(parts[1]))
+    counts = {r["col"]: r["n"] for r in table.where("block is null").groupBy("col").agg(F.sum("n").alias("n")).collect()}
     total = counts.pop(-1, 0)
     df = np.zeros(len(s.words) + hashed)
     df[list(counts)] = list(counts.values())
     s.idf = np.log((total + 2) / (df + 1))
-    share = min(1.0, fit_docs / max(total, 1))
-    chosen = texts.where(F.pmod(F.xxhash64(*texts.columns, F.lit(41)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    own = spark.createDataFrame([((x or "").lower(),) for x in item_texts], "text string")
-    chosen = written(chosen.select("text").unionByName(own).coalesce(8))
+    blocks = table.where("block is not null").select("block")
     rng = np.random.default_rng(7)
     x = rng.standard_normal((len(s.idf), rank + 8))
     for turn in range(3):
         gram = turn == 2
-        shared = spark.sparkContext.broadcast((s, x))
-        parts = chosen.mapInArrow(_products(shared, passage, gram), "k int, part binary").groupBy("k").applyInPandas(_added, "k int, part binary").collect()
+        shared = spark.sparkContext.broadcast((s.idf, x))
+        parts = blocks.mapInArrow(_products(shared, passage, gram), "k int, part binary").groupBy("k").applyInPandas(_added, "k int, part binary").collect()
         z = np.concatenate([np.frombuffer(r["part"]).reshape(-1, x.shape[1]) for r in sorted(parts, key=lambda r: r["k"])])
         if not gram:
             x = np.linalg.qr(z)[0]
         shared.unpersist()
+    discard(table)
     power, turn_ = np.linalg.eigh(z)
     best = np.argsort(power)[::-1][:rank]
     sigma = np.sqrt(np.maximum(power[best], 1e-9))

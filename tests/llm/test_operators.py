@@ -264,6 +264,27 @@ def test_contamination_paraphrases_of_many_items(spark):
     assert got == want
 
 
+def test_latent_space_is_of_all_passages(spark):
+    """The latent directions are orthonormal over the passages of all documents, however many, and of the items."""
+    r = random.Random(6)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(300)]
+    texts = ["", None, *(" ".join(r.choices(vocabulary, k=r.choice([3, 12, 50]))) for _ in range(5000))]
+    items = [" ".join(r.choices(vocabulary, k=60)) for _ in range(3)]
+    s = decontaminate.fit(docs(spark, texts).select("text").where("text is not null"), [0, 1, 2], items, [""] * 3, hashed=64, rank=6, passage=20)
+    gram, seen, total = np.zeros((6, 6)), Counter(), 0
+    for k, h in enumerate(decontaminate.hashes_of([t for t in texts if t is not None] + items)):
+        c = s.columns(h)
+        if k < len(texts) - 1:
+            seen.update(set(c.tolist()))
+        for i in range(0, len(c), 20):
+            col, n = np.unique(c[i : i + 20], return_counts=True)
+            y = n @ s.embed[col] / np.sqrt(((n * s.idf[col]) ** 2).sum())
+            gram += np.outer(y, y)
+            total += 1
+    assert np.allclose(gram, np.eye(6), atol=1e-3) and total > 6000
+    assert np.allclose(s.idf, np.log((len(texts) + 1) / (np.array([seen[c] for c in range(len(s.idf))]) + 1)))
+
+
 def test_contamination_by_short_items(spark):
     items = ["What is 17 * 23?", "你好吗", "東京の人口は何人ですか、教えてください。", "yes", "?!"]
     rows = ["So: what is 17 * 23? 391", "What is 17 + 23?", "what is 17 * 234", "他说你好吗。", "你好", "問：東京の人口は何人ですか、教えてください。", "oh yes", "yesterday ?!", None, ""]
