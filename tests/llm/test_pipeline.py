@@ -1,6 +1,7 @@
 """The stages of the corpus pipeline against brute force, and row identities against changed splits of the input."""
 
 import os
+import zlib
 
 import pandas as pd
 import pytest
@@ -114,6 +115,13 @@ def test_splits_may_change_between_passes(spark, name):
     pd.testing.assert_frame_equal(order(plain), order(changed))
 
 
+def test_all_rows_with_a_language_are_learned_from(spark, tmp_path):
+    """Rows whose ids the query of the language operator holds out make a model by themselves."""
+    ids = [i for i in range(120) if zlib.crc32(str(i).encode()) % 3 == 1]
+    rows = [(i, text(0, 60) if k % 2 else text(200, 60), "xy"[k % 2], "a") for k, i in enumerate(ids)]
+    assert C.language_id(spark, frame(spark, tmp_path, rows), "").count() == len(rows) > 30
+
+
 def test_row_numbers(spark, tmp_path):
     docs = numbered(frame(spark, tmp_path), "n")
     assert docs.select("n").distinct().count() == len(ROWS)
