@@ -215,10 +215,13 @@ def _unpack_grams(shared: object, least: float) -> object:
             names = np.concatenate([common, others])
             found.append((*parted(*[names[x] for x in (np.cumsum(first, dtype=np.uint64), *own)]), n.astype(np.int64) + 1))
         a, b, k, n = (np.concatenate(x) for x in zip(*found, strict=True))
-        k, at, to = np.unique(k, return_index=True, return_inverse=True)
-        n = np.bincount(to, n, len(k)).astype(np.int64)
-        kept = n >= least
-        return pa.table({"a": signed(a[at[kept]]), "b": signed(b[at[kept]]), "n": n[kept], "k": signed(k[kept])})
+        by = np.argsort(k)
+        k = k[by]
+        first = np.flatnonzero(changes(k))
+        n = np.add.reduceat(n[by], first) if len(first) else n
+        first, n = first[n >= least], n[n >= least]
+        at = by[first]
+        return pa.table({"a": signed(a[at]), "b": signed(b[at]), "n": n, "k": signed(k[first])})
 
     return run
 
@@ -354,6 +357,27 @@ def asked(a: Automaton, p: Piece, order: int) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(borders, np.concatenate(lost), side="right") - 1, np.concatenate(w)
 
 
+def changes(ascending: np.ndarray) -> np.ndarray:
+    """Whether each of the sorted values differs from the one before it."""
+    out = np.ones(len(ascending), bool)
+    out[1:] = ascending[1:] != ascending[:-1]
+    return out
+
+
+def distinct_pairs(t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of a text's number (below 2^31) and a key, by key and then text, with their numbers.
+
+    Two plain sorts take a fraction of one stable sort's time.
+    """
+    by = np.argsort(w)
+    w = w[by]
+    new = changes(w)
+    code = np.sort((np.cumsum(new) - 1) << 32 | t[by])
+    at = np.flatnonzero(changes(code))
+    n = np.diff(np.append(at, len(code)))
+    return code[at] & ((1 << 32) - 1), w[new][code[at] >> 32], n
+
+
 def _looked_up_sums(numbers: DataFrame, model: object, table: DataFrame, order: int, count: int) -> DataFrame:
     """Per text with words or n-grams of ``order`` outside the automaton: uid, and sums over those in the table (known, more, gain).
 
@@ -370,13 +394,7 @@ def _looked_up_sums(numbers: DataFrame, model: object, table: DataFrame, order:
             u, t, w = (np.concatenate(x) for x in (uids, texts, keys))
             own = int(signed(mixed(u[:1].view(np.uint64)))[0])
             rows = [(own & (count - 1), own, pack(u.view(np.uint64)), None)]
-            # the same n-gram's texts come in ascending order already
-            by = np.argsort(w, kind="stable")
-            t, w = t[by], w[by]
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (w[1:] != w[:-1])
-            at = np.flatnonzero(new)
-            t, w, n = t[at], w[at], np.diff(np.append(at, len(t)))
+            t, w, n = distinct_pairs(t, w)
             for r, here in by_range(w, count):
                 rows.append((r, own, None, pack(steps(w[here] >> shift), t[here], n[here] - 1)))
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names)

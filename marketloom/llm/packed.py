@@ -47,7 +47,8 @@ def steps(ascending: np.ndarray) -> np.ndarray:
 
 def by_range(keys: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
     """The places of the keys of each of ``count`` (a power of two) ranges of their lowest bits, in the order given."""
-    r = (keys & np.uint64(count - 1)).astype(np.int32)
+    # numbers of 16 bits are sorted by their digits, which is several times faster
+    r = (keys & np.uint64(count - 1)).astype(np.uint16 if count <= 1 << 16 else np.int32)
     order = np.argsort(r, kind="stable")
     borders = np.searchsorted(r[order], np.arange(count + 1))
     for i in np.flatnonzero(np.diff(borders)):

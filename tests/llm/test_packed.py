@@ -55,3 +55,21 @@ def test_stretches_cut_long_texts_without_losing_ngrams(monkeypatch, size, order
             a, b, k = (int(x.view(np.int64)[0]) for x in lm.parted(*[np.array([w], np.uint64) for w in g]))
             expected[k] = (a, b, n)
     assert got == expected and expected
+
+
+def test_pairs_of_texts_and_keys():
+    r = np.random.default_rng(3)
+    t, w = np.sort(r.integers(0, 9, 500)), r.integers(0, 2**63, 40, dtype=np.uint64)[r.integers(0, 40, 500)] * np.uint64(2)
+    got = list(zip(*(x.tolist() for x in lm.distinct_pairs(t, w)), strict=True))
+    want = Counter(zip(w.tolist(), t.tolist(), strict=True))
+    assert got == [(b, a, n) for (a, b), n in sorted(want.items())]
+
+
+@pytest.mark.parametrize("count", [64, 1 << 17])
+def test_ranges_keep_the_order_given(count):
+    keys = np.random.default_rng(5).integers(0, 2**63, 3000, dtype=np.uint64)
+    got = {r: at.tolist() for r, at in by_range(keys, count)}
+    want = {}
+    for i, k in enumerate(keys.tolist()):
+        want.setdefault(k % count, []).append(i)
+    assert got == want
