@@ -239,7 +239,7 @@ def _backoff(states: DataFrame, key: str, arcs: DataFrame, discount: float) -> D
     """``states`` (``key``, n, ...) with back, the log10 backoff weight of each from its kept arcs (a, n, lower)."""
     sums = arcs.groupBy(F.col("a").alias("_a")).agg(F.sum(F.col("n") - discount).alias("_used"), F.sum(F.pow(F.lit(10.0), "lower")).alias("_below"))
     back = F.log10(F.greatest(1 - F.col("_used") / F.col("n"), F.lit(1e-12)) / F.greatest(1 - F.col("_below"), F.lit(1e-12)))
-    return states.join(sums, F.col(key) == F.col("_a"), "left").withColumn("back", F.coalesce(back, F.lit(0.0))).drop("_a", "_used", "_below")
+    return states.join(sums.hint("shuffle_hash"), F.col(key) == F.col("_a"), "left").withColumn("back", F.coalesce(back, F.lit(0.0))).drop("_a", "_used", "_below")
 
 
 def _arcs(arcs: DataFrame, states: DataFrame, key: str, head: float, discount: float) -> DataFrame:
@@ -310,7 +310,6 @@ def train(
     table = words.where(F.col("n") < word_head).select("w", F.lit(2).alias("ord"), F.lit(1).alias("known"), base.alias("more"), (base + F.col("back")).alias("gain"))
     for k, level in enumerate(levels, 2):
         table = table.unionByName(level.where(F.col("n") < head).select(F.col("k").alias("w"), F.lit(k).alias("ord"), F.lit(0).alias("known"), F.lit(0.0).alias("more"), "gain"))
-    table = _kept(table)
 
     rows = words.where(F.col("n") >= word_head).toPandas().sort_values(["n", "w"], ascending=[False, True])
     n = rows["n"].to_numpy(np.int64)
@@ -322,39 +321,49 @@ def train(
         back = rows["back"].to_numpy(float) if "back" in rows else np.zeros(len(rows))
         a.levels.append(Level(before, word, rows["log_p"].to_numpy(float), back, rows["gain"].to_numpy(float), Index(arc(before, word))))
         states, last = Index(unsigned(rows["k"].to_numpy(np.int64))), word
-    for t in [words, *levels[1:]] + ([pairs] if order == 3 else []):
-        discard(t)
     return a, table
 
 
-def score_piece(a: Automaton, p: Piece) -> tuple[np.ndarray, ...]:
-    """Per text: tokens, known tokens, base and score, as if what is not broadcast were unseen."""
+@dataclass
+class Traversed:
+    """The token keys of a piece, its texts' borders among them, and what the automaton has of them."""
+
+    keys: np.ndarray
+    borders: np.ndarray
+    word: np.ndarray
+    found: list[np.ndarray]
+
+
+def traversed(a: Automaton, p: Piece) -> Traversed:
     keys, borders = token_keys(p)
-    word, found = carried(a, keys, borders)
+    return Traversed(keys, borders, *carried(a, keys, borders))
+
+
+def scores(a: Automaton, x: Traversed) -> tuple[np.ndarray, ...]:
+    """Per text: tokens, known tokens, base and score, as if what is not broadcast were unseen."""
+    word, borders = x.word, x.borders
     common = word >= 0
     base = a.unigram_log(np.where(common, a.counts[word] if len(a.counts) else 0, 0))
     logs = base.copy()
     logs[common] += a.word_back[word[common]]
-    for level, here in zip(a.levels, found, strict=True):
+    for level, here in zip(a.levels, x.found, strict=True):
         hit = here >= 0
         logs[hit] += level.gain[here[hit]]
     return np.diff(borders), per_text(common, borders).astype(np.int64), per_text(base, borders), per_text(logs, borders)
 
 
-def asked(a: Automaton, p: Piece, order: int) -> tuple[np.ndarray, np.ndarray]:
+def asked(a: Automaton, x: Traversed, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of one order that end where the automaton has none, with those of order 2 also the words it does not have: number of the text in the piece, and key."""
-    keys, borders = token_keys(p)
-    word, found = carried(a, keys, borders)
     lost, w = [], []
     if order == 2 and not a.spelled:
-        lost.append(np.flatnonzero(word < 0))
-        w.append(keys[lost[0]])
+        lost.append(np.flatnonzero(x.word < 0))
+        w.append(x.keys[lost[0]])
     if not a.whole:
-        _, at, left, right = next(g for g in grams(order, keys, borders) if g[0] == order)
-        miss = found[order - 2][at] < 0
+        _, at, left, right = next(g for g in grams(order, x.keys, x.borders) if g[0] == order)
+        miss = x.found[order - 2][at] < 0
         lost.append(at[miss])
         w.append(keyed(order, left[miss], right[miss]))
-    return np.searchsorted(borders, np.concatenate(lost), side="right") - 1, np.concatenate(w)
+    return np.searchsorted(x.borders, np.concatenate(lost), side="right") - 1, np.concatenate(w)
 
 
 def changes(ascending: np.ndarray) -> np.ndarray:
@@ -379,41 +388,45 @@ def distinct_pairs(t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _looked_up_sums(numbers: DataFrame, model: object, table: DataFrame, order: int, count: int) -> DataFrame:
-    """Per text with words or n-grams of ``order`` outside the automaton: uid, and sums over those in the table (known, more, gain).
+    """Per text: uid, and sums (tokens, known, more, gain) over its words and n-grams of ``order`` outside the automaton that are in the table.
 
-    Tasks ask in blocks for the n-grams of about a million tokens; a block's texts are known by their places. Answers go
-    back by block, with the numbers of its texts.
+    With order 2 they are added to what the automaton has, so that no pass is needed for that alone; with order 3, where
+    tokens is 0, texts that ask for nothing may be absent. Tasks ask in blocks for the n-grams of about a million tokens; a
+    block's texts are known by their places. Answers go back by block, with the numbers of its texts.
     """
     shift = np.uint64(count.bit_length() - 1)
-    names = ["r", "ask", "texts", "block"]
+    names = ["r", "ask", "texts", "own", "block"]
+    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = model.value
 
-        def sent(uids: list, texts: list, keys: list) -> pa.RecordBatch:
+        def sent(uids: list, texts: list, keys: list, sums: list) -> pa.RecordBatch:
             u, t, w = (np.concatenate(x) for x in (uids, texts, keys))
-            own = int(signed(mixed(u[:1].view(np.uint64)))[0])
-            rows = [(own & (count - 1), own, pack(u.view(np.uint64)), None)]
+            name = int(signed(mixed(u[:1].view(np.uint64)))[0])
+            rows = [(name & (count - 1), name, pack(u.view(np.uint64)), np.concatenate(sums, axis=1).tobytes() if order == 2 else None, None)]
             t, w, n = distinct_pairs(t, w)
             for r, here in by_range(w, count):
-                rows.append((r, own, None, pack(steps(w[here] >> shift), t[here], n[here] - 1)))
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names)
+                rows.append((r, name, None, None, pack(steps(w[here] >> shift), t[here], n[here] - 1)))
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-        held: tuple[list, ...] = ([], [], [])
+        held: tuple[list, ...] = ([], [], [], [])
         texts = tokens = 0
         for batch in batches:
             uid = batch.column(0).to_numpy()
             for p in pieces(batch.column(1)):
-                t, w = asked(a, p, order)
-                if not len(t):
+                here = traversed(a, p)
+                t, w = asked(a, here, order)
+                if order > 2 and not len(t):
                     continue
-                for x, y in zip(held, (uid[p.first : p.last], t + texts, w), strict=True):
+                sums = np.array(scores(a, here)) if order == 2 else None
+                for x, y in zip(held, (uid[p.first : p.last], t + texts, w, sums), strict=True):
                     x.append(y)
                 texts += p.last - p.first
                 tokens += len(w)
-                if tokens > STRETCH:
+                if tokens > STRETCH or texts > STRETCH:
                     yield sent(*held)
-                    held = ([], [], [])
+                    held = ([], [], [], [])
                     texts = tokens = 0
         if held[0]:
             yield sent(*held)
@@ -423,9 +436,9 @@ def _looked_up_sums(numbers: DataFrame, model: object, table: DataFrame, order:
         index = Index(unsigned(known.column("w").to_numpy()))
         adds = [known.column(c).to_numpy() for c in ("known", "more", "gain")]
         rows: list = []
-        for own, texts, block in zip(asks.column("ask").to_pylist(), asks.column("texts").to_pylist(), asks.column("block").to_pylist(), strict=True):
+        for name, texts, own, block in zip(*(asks.column(c).to_pylist() for c in names[1:]), strict=True):
             if texts is not None:
-                rows.append((own, texts, None, None, None))
+                rows.append((name, texts, own, None, None, None))
                 continue
             w, t, n = unpack(block)
             at = index.find((np.cumsum(w, dtype=np.uint64) << shift) | r)
@@ -434,27 +447,27 @@ def _looked_up_sums(numbers: DataFrame, model: object, table: DataFrame, order:
                 here, to = np.unique(t[hit], return_inverse=True)
                 times, at = (n[hit] + 1).astype(np.float64), at[hit]
                 words, more, gain = (np.bincount(to, times * x[at], len(here)) for x in adds)
-                rows.append((own, None, pack(here, words.astype(np.int64)), more.tobytes() if order == 2 else None, gain.tobytes()))
-        return pa.table([pa.array([x[i] for x in rows], k) for i, k in enumerate([pa.int64(), *[pa.binary()] * 4])], ["ask", "texts", "block", "more", "gain"])
+                rows.append((name, None, None, pack(here, words.astype(np.int64)), more.tobytes() if order == 2 else None, gain.tobytes()))
+        return pa.table([pa.array([x[i] for x in rows], k) for i, k in enumerate([*types[1:], pa.binary(), pa.binary()])], [*names[1:], "more", "gain"])
 
     def gathered(rows: pa.Table) -> pa.Table:
-        texts = next(x for x in rows.column("texts").to_pylist() if x is not None)
+        texts, own = next(x for x in zip(rows.column("texts").to_pylist(), rows.column("own").to_pylist(), strict=True) if x[0] is not None)
         uid = unpack(texts)[0].view(np.int64)
-        out = np.zeros((3, len(uid)))
+        tokens, *out = np.zeros((4, len(uid))) if own is None else np.frombuffer(own).reshape(4, -1).copy()
         for block, more, gain in zip(rows.column("block").to_pylist(), rows.column("more").to_pylist(), rows.column("gain").to_pylist(), strict=True):
             if block is None:
                 continue
             t, n = (x.astype(np.int64) for x in unpack(block))
             if order == 2:
-                out[0, t] += n
-                out[1, t] += np.frombuffer(more)
-            out[2, t] += np.frombuffer(gain)
-        return pa.table({"uid": uid, "known": out[0].astype(np.int64), "more": out[1], "gain": out[2]})
+                out[0][t] += n
+                out[1][t] += np.frombuffer(more)
+            out[2][t] += np.frombuffer(gain)
+        return pa.table({"uid": uid, "tokens": tokens.astype(np.int64), "known": out[0].astype(np.int64), "more": out[1], "gain": out[2]})
 
-    asks = numbers.mapInArrow(ask, "r int, ask long, texts binary, block binary")
+    asks = numbers.mapInArrow(ask, "r int, ask long, texts binary, own binary, block binary")
     known = table.where(F.col("ord") == order).select(F.col("w").bitwiseAND(count - 1).cast("int").alias("r"), "w", "known", "more", "gain")
-    answers = asks.groupBy("r").cogroup(known.groupBy("r")).applyInArrow(answer, "ask long, texts binary, block binary, more binary, gain binary")
-    return answers.groupBy("ask").applyInArrow(gathered, "uid long, known long, more double, gain double")
+    answers = asks.groupBy("r").cogroup(known.groupBy("r")).applyInArrow(answer, "ask long, texts binary, own binary, block binary, more binary, gain binary")
+    return answers.groupBy("ask").applyInArrow(gathered, "uid long, tokens long, known long, more double, gain double")
 
 
 def score(docs: DataFrame, model: tuple[Automaton, DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -472,18 +485,22 @@ def score(docs: DataFrame, model: tuple[Automaton, DataFrame], id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p in pieces(batch.column(2)):
-                tokens, known, base, logs = score_piece(shared.value, p)
-                k = p.last - p.first
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(p.first, k), batch.column(1).slice(p.first, k), pa.array(tokens.astype(np.int64)), pa.array(known), pa.array(base), pa.array(logs)], own.names)
-
-    own = T.StructType([T.StructField("uid", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in ("tokens", "known")], *[T.StructField(c, T.DoubleType()) for c in ("more", "gain")]])
-    parts = _kept(fed.mapInArrow(run, own))
-    count = range_count(2 * parts.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
-    for order in range(2, len(a.levels) + 2):
-        if not (a.whole and (a.spelled or order > 2)):
-            parts = parts.unionByName(_kept(_looked_up_sums(fed.select("uid", "text"), shared, table, order, count)), allowMissingColumns=True)
+            for p in pieces(batch.column(1)):
+                tokens, known, base, logs = scores(shared.value, traversed(shared.value, p))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(p.first, p.last - p.first), pa.array(tokens.astype(np.int64)), pa.array(known), pa.array(base), pa.array(logs)], names)
+
+    names = ["uid", "tokens", "known", "more", "gain"]
+    texts, parts = fed.select("uid", "text"), fed.select("uid", "id")
+    if a.whole and a.spelled:
+        parts = parts.unionByName(texts.mapInArrow(run, "uid long, tokens long, known long, more double, gain double"), allowMissingColumns=True)
+    else:
+        # about six bytes a token; what the table holds is dealt by the same ranges
+        size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        count = range_count(2 * max(a.total, size // 6))
+        for order in range(2, len(a.levels) + 2):
+            if order == 2 or not a.whole:
+                parts = parts.unionByName(_kept(_looked_up_sums(texts, shared, table, order, count)), allowMissingColumns=True)
     out = parts.groupBy("uid").agg(
-        F.max("id").alias(id_col), F.max("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("more").alias("base_score"), F.sum("gain").alias("score"),
+        F.max("id").alias(id_col), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("more").alias("base_score"), F.sum("gain").alias("score"),
     )
     return out.select(id_col, "n_tokens", "n_known", F.lit(int(a.total)).cast("long").alias("train_tokens"), "base_score", "score")

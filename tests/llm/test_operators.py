@@ -523,6 +523,19 @@ def test_lm_scores_alike_whatever_is_broadcast(spark, head):
     assert [out[i] for i in range(len(new))] == pytest.approx([log(t) for t in new], abs=1e-6)
 
 
+def test_lm_reads_texts_five_times(spark, monkeypatch):
+    """Words, bigrams and trigrams of training; both orders of scoring, the first with the automaton, for texts that ask the table for nothing too."""
+    train, new = ["a b"] * 200 + ["p q r"] * 2, ["a b", None, "p q r", "a b", "a q r", "z"]
+    frames, passes = docs(spark, train), []
+    run = type(frames).mapInArrow
+    monkeypatch.setattr(type(frames), "mapInArrow", lambda self, f, *rest, **named: passes.append(f) or run(self, f, *rest, **named))
+    out = {x.doc_id: x for x in lm.score(docs(spark, new), lm.train(frames, word_share=2.0**-5, head_share=2.0**-5)).collect()}
+    log = backed_off(train)
+    assert [out[i].score for i in range(len(new))] == pytest.approx([log(t) for t in new], abs=1e-6)
+    assert [(out[i].n_tokens, out[i].n_known) for i in range(len(new))] == [(3, 3), (1, 1), (4, 4), (3, 3), (4, 4), (2, 1)]
+    assert len(passes) == 5
+
+
 # --- pipeline -------------------------------------------------------------------------------------------------------
 
 
