@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,8 @@ from .tokens import Counter, Index, Piece, mixed, per_text, pieces, ranges, sign
 END = np.uint64(0x5851F42D4C957F2D)
 #: Bigram and trigram keys are drawn apart by these.
 SALTS = {2: np.uint64(0xA24BAED4963EE407), 3: np.uint64(0x9FB21C651E98DF25)}
+#: Texts are hashed in parts of so many bytes, whose sums of eight times that size stay in a core's cache.
+CACHED = 1 << 17
 #: Tokens whose n-grams a task counts at once, and bits of a word's number among them and 2^20 common words.
 STRETCH = 1_000_000
 CODE = np.uint64(21)
@@ -75,6 +77,12 @@ class Automaton:
     def unigram_log(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
+    @cached_property
+    def adds(self) -> list[np.ndarray]:
+        """What each word adds to base and score, then what the n-grams of each order add to the score; at the end (place -1) that of none."""
+        base = self.unigram_log(np.append(self.counts, 0))
+        return [base, base + np.append(self.word_back, 0.0), *[np.append(level.gain, 0.0) for level in self.levels]]
+
 
 def arc(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The key of an arc: state number and word number as one integer."""
@@ -83,9 +91,12 @@ def arc(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def token_keys(p: Piece) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all tokens of a piece, each text followed by its end token, and the texts' borders."""
-    starts, ends, borders = p.words()
-    h = ranges(p.sums(lower=True), starts, ends)
-    return np.insert(h, borders[1:], END), borders + np.arange(len(borders))
+    keys, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for part in p.split(CACHED):
+        starts, ends, borders = part.words()
+        keys.append(np.insert(ranges(part.sums(lower=True), starts, ends), borders[1:], END))
+        sizes.append(np.diff(borders) + 1)
+    return np.concatenate(keys), np.cumsum(np.concatenate(sizes))
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,12 +354,9 @@ def scores(a: Automaton, x: Traversed) -> tuple[np.ndarray, ...]:
     """Per text: tokens, known tokens, base and score, as if what is not broadcast were unseen."""
     word, borders = x.word, x.borders
     common = word >= 0
-    base = a.unigram_log(np.where(common, a.counts[word] if len(a.counts) else 0, 0))
-    logs = base.copy()
-    logs[common] += a.word_back[word[common]]
-    for level, here in zip(a.levels, x.found, strict=True):
-        hit = here >= 0
-        logs[hit] += level.gain[here[hit]]
+    base, logs = a.adds[0][word], a.adds[1][word]
+    for gain, here in zip(a.adds[2:], x.found, strict=True):
+        logs += gain[here]
     return np.diff(borders), per_text(common, borders).astype(np.int64), per_text(base, borders), per_text(logs, borders)
 
 
@@ -494,9 +502,9 @@ def score(docs: DataFrame, model: tuple[Automaton, DataFrame], id_col: str = "do
     if a.whole and a.spelled:
         parts = parts.unionByName(texts.mapInArrow(run, "uid long, tokens long, known long, more double, gain double"), allowMissingColumns=True)
     else:
-        # about six bytes a token; what the table holds is dealt by the same ranges
+        # about seven bytes a token with its space; what the table holds is dealt by the same ranges
         size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        count = range_count(2 * max(a.total, size // 6))
+        count = range_count(2 * max(a.total, size // 7))
         for order in range(2, len(a.levels) + 2):
             if order == 2 or not a.whole:
                 parts = parts.unionByName(_kept(_looked_up_sums(texts, shared, table, order, count)), allowMissingColumns=True)

@@ -73,3 +73,13 @@ def test_ranges_keep_the_order_given(count):
     for i, k in enumerate(keys.tolist()):
         want.setdefault(k % count, []).append(i)
     assert got == want
+
+
+def test_token_keys_whatever_the_parts(monkeypatch):
+    """Texts hashed in small parts, empty ones and one longer than a part among them, have the keys and borders of each text alone."""
+    texts = ["", "a B  c", None, "lang " * 30, "", "é x", " ", "b"]
+    alone = [lm.token_keys(next(iter(pieces(pa.array([t], pa.string())))))[0].tolist() for t in texts]
+    for size in (1, 5, 40, 1 << 17):
+        monkeypatch.setattr(lm, "CACHED", size)
+        keys, borders = lm.token_keys(next(iter(pieces(pa.array(texts)))))
+        assert [keys[i:j].tolist() for i, j in zip(borders[:-1], borders[1:], strict=True)] == alone
