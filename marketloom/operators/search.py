@@ -82,7 +82,8 @@ def cell(value: Column, borders: Sequence[int]) -> Column:
 def _fitting(watches: DataFrame, listings: DataFrame, *more: Column) -> DataFrame:
     """Watches and the adverts that fit them. They meet by model and by cells of price and year: an advert lies in one cell,
     a watch is copied to those its bounds reach, or to all, with that of missing values, where it has none. So the adverts
-    of one model meet in up to thirty places, and no candidate far outside the bounds is made."""
+    of one model meet in up to thirty places, and no candidate far outside the bounds is made. They meet by sorting: the
+    copies are many times the watches, which Spark does not reckon with when it picks a side to send to all tasks."""
     new = listings.where(listed() & F.col("canonical_listing_id").isNull()).withColumnRenamed("model_id", "l_model")
     new = new.withColumns({"_p": cell(F.col("price_eur"), PRICE_CELLS), "_y": cell(F.col("year"), YEAR_CELLS)})
     w = F.col
@@ -93,7 +94,7 @@ def _fitting(watches: DataFrame, listings: DataFrame, *more: Column) -> DataFram
         (w("model_id") == w("l_model")) & (w("w_p") == w("_p")) & (w("w_y") == w("_y")) & (w("price_max").isNull() | (w("price_eur") <= w("price_max")))
         & (w("year_min").isNull() | (w("year") >= w("year_min"))) & (w("mileage_max").isNull() | (w("mileage_km") <= w("mileage_max")))
     )
-    return copies.join(new, all_of([fits, *more])).select("watch_id", "id", "price_eur", "first_seen_at")
+    return copies.hint("merge").join(new, all_of([fits, *more])).select("watch_id", "id", "price_eur", "first_seen_at")
 
 
 def match_watches(watches: DataFrame, listings: DataFrame, since: Column, until: Column) -> DataFrame:
