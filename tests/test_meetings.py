@@ -24,3 +24,5 @@ def test_copies_of_watches_are_not_sent_to_all_tasks(spark):
     met = S.match_watches(watches, listings, F.lit(DAY), F.lit(DAY))
     assert "Broadcast" not in plan(met) and "SortMergeJoin" in plan(met)
     assert sorted((r.watch_id, r.id) for r in met.collect()) == [(0, 9), (1, 9), (2, 9)]
+    own = S.match_since_notified(watches.withColumns({"last_notified_at": F.lit(None).cast("timestamp_ntz"), "created_at": F.lit(DAY)}), listings, F.lit(DAY))
+    assert "Broadcast" not in plan(own) and own.count() == 3
