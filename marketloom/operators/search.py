@@ -72,6 +72,8 @@ def page(rows: DataFrame, sort: str, number: int, size: int) -> DataFrame:
 #: Borders of the grid's cells. They only deal the work out; the exact criteria decide.
 PRICE_CELLS, YEAR_CELLS = (5_000, 10_000, 20_000, 40_000, 80_000), (2000, 2010, 2015, 2020)
 NO_VALUE = -1
+#: Up to this many rows of a group Spark drops the others before they move (spark.sql.optimizer.windowGroupLimitThreshold's own value).
+LIMITED = 1000
 
 
 def cell(value: Column, borders: Sequence[int]) -> Column:
@@ -113,12 +115,14 @@ def match_since_notified(watches: DataFrame, listings: DataFrame, until: Column,
 def top_per_group(rows: DataFrame, group: str, order: list[Column], shown: int, parts: int = 16) -> DataFrame:
     """The first rows of each group, and how many more there are.
 
-    Groups are ranked and counted in parts first, of which only the first rows and the counts go on, so that no task sorts a
-    group of any size.
+    Groups are counted apart, by sums that combine before they move. Ranks alone let Spark drop what lies beyond ``shown`` in
+    each task before rows move; where it does not, as more are shown than LIMITED, groups are ranked in parts first. So no
+    task sorts a group of any size.
     """
-    part = W.partitionBy(group, "_part")
-    first = rows.withColumn("_part", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(parts)))
-    first = first.withColumn("_rank", F.row_number().over(part.orderBy(*order))).withColumn("_n", F.count("*").over(part)).where(F.col("_rank") <= shown)
-    whole = W.partitionBy(group)
-    ranked = first.withColumn("rank", F.row_number().over(whole.orderBy(*order))).withColumn("extra", F.greatest(F.sum(F.when(F.col("_rank") == 1, F.col("_n")).otherwise(0)).over(whole) - shown, F.lit(0)))
-    return ranked.where(F.col("rank") <= shown).drop("_part", "_rank", "_n")
+    counts = rows.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_n"))
+    first = rows
+    if shown > LIMITED:
+        first = first.withColumn("_part", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(parts)))
+        first = first.withColumn("_rank", F.row_number().over(W.partitionBy(group, "_part").orderBy(*order))).where(F.col("_rank") <= shown).drop("_part", "_rank")
+    ranked = first.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("rank") <= shown)
+    return ranked.join(counts, F.col(group).eqNullSafe(F.col("_group"))).withColumn("extra", F.greatest(F.col("_n") - shown, F.lit(0))).drop("_group", "_n")

@@ -26,3 +26,12 @@ def test_copies_of_watches_are_not_sent_to_all_tasks(spark):
     assert sorted((r.watch_id, r.id) for r in met.collect()) == [(0, 9), (1, 9), (2, 9)]
     own = S.match_since_notified(watches.withColumns({"last_notified_at": F.lit(None).cast("timestamp_ntz"), "created_at": F.lit(DAY)}), listings, F.lit(DAY))
     assert "Broadcast" not in plan(own) and own.count() == 3
+
+
+def test_groups_are_cut_before_they_move(spark):
+    rows = spark.createDataFrame([("a" if i % 9 else None, i) for i in range(3000)], "g string, v int").repartition(7)
+    few = S.top_per_group(rows, "g", [F.desc("v")], 4)
+    assert "WindowGroupLimit" in plan(few)
+    assert sorted((r.g or "", r.v, r.rank, r.extra) for r in few.collect()) == sorted([("a", v, k + 1, 2662) for k, v in enumerate((2999, 2998, 2996, 2995))] + [("", v, k + 1, 330) for k, v in enumerate((2997, 2988, 2979, 2970))])
+    many = S.top_per_group(rows, "g", [F.desc("v")], S.LIMITED + 500)
+    assert [(r.g, r["n"], r.e) for r in many.groupBy("g").agg(F.count("*").alias("n"), F.max("extra").alias("e")).orderBy("g").collect()] == [(None, 334, 0), ("a", 1500, 1166)]
